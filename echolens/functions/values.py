@@ -58,7 +58,7 @@ def display_time(ts: Column) -> Column:
 
 
 def display_hours(minutes: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f", F.round(minutes / 60, 1)), F.lit(""))
+    return F.when(minutes.isNotNull(), F.format_string("%.1f", F.round(minutes / 60, 1))).otherwise("")
 
 
 def display_percent(part: Column, whole: Column) -> Column:

@@ -51,7 +51,7 @@ def windows(danmaku: DataFrame, lex: Lexicon, seconds: int = WINDOW_SECONDS, per
         )
     )
     # ``cells`` has at most one row per window and path, so the largest label is a small step.
-    best = F.max_by(F.struct("full_path", "n"), F.when(F.col("full_path").isNotNull(), F.struct(F.col("n"), F.col("full_path"))))
+    best = F.min_by(F.struct("full_path", "n"), F.when(F.col("full_path").isNotNull(), F.struct(-F.col("n"), F.col("full_path"))))
     return cells.groupBy(*keys).agg(
         F.sum("n").alias("volume"), best.alias("_top"), F.sum("pos").alias("praise"), F.sum("neg").alias("criticize"),
     ).select(

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import cut, strip
 from ..session import settled
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
@@ -163,3 +164,12 @@ def order_break_summary(comments: DataFrame, key: str = "target_id") -> DataFram
         F.count_if(F.col("step") == 0).alias("equal_times"),
         F.count_if("triple_rise").alias("triple_rises"),
     )
+
+
+def latest_reviews(comments: DataFrame, chars: int = 200) -> DataFrame:
+    """Newest non-blank review of each target, cut to ``chars`` characters."""
+    full = comments.withColumn("_text", strip(F.coalesce("content", F.lit("")))).filter(F.col("_text") != "")
+    newest = first_per_group(
+        full.select("target_id", "id", "posted_at", "rating", "_text"), ["target_id"],
+        [F.desc_nulls_last("posted_at"), F.asc("id")])
+    return newest.select("target_id", "id", cut(F.col("_text"), chars).alias("text"), "rating")
