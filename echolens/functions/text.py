@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# Unicode white space plus the four separators that also count as blank when a phrase is stripped.
-BLANK = r"[\s\x1c-\x1f]"
+# Unicode white space plus the separators 1C-1F, which also count as blank when a phrase is stripped.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NON_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``.
+
+    Catalyst inlines a column that is named once, even into a lambda that runs per dictionary word, and
+    copies it into every branch that names it; a one-element transform keeps it a single evaluation.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"(?U){BLANK}+", " "))
+    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
+
+
+def without_urls(text: Column) -> Column:
+    url = F.regexp_replace(text, f"http[^{BLANK}]+", " ")
+    return F.when(F.contains(text, F.lit("http")), url).otherwise(text)
 
 
 def has_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
@@ -24,19 +41,20 @@ def has_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Drop URLs, keep word characters and CJK, squeeze blanks."""
-    no_urls = F.regexp_replace(text, r"(?U)http\S+", " ")
-    return squeeze(F.regexp_replace(no_urls, r"(?U)[^\w\s一-鿿]", " "))
+    return F.trim(F.regexp_replace(without_urls(text), NON_WORD, " "))
 
 
 def snippet(text: Column, limit: int = 80, full: int = 200) -> Column:
     """struct(text, full, truncated)."""
-    clean = squeeze(F.coalesce(text, F.lit("")))
-    long = F.length(clean) > limit
-    return F.struct(
-        F.when(long, F.concat(F.substring(clean, 1, limit), F.lit("…"))).otherwise(clean).alias("text"),
-        F.when(long, F.substring(clean, 1, full)).otherwise(clean).alias("full"),
-        long.alias("truncated"),
-    )
+    def parts(clean: Column) -> Column:
+        long = F.length(clean) > limit
+        return F.struct(
+            F.when(long, F.concat(F.substring(clean, 1, limit), F.lit("…"))).otherwise(clean).alias("text"),
+            F.when(long, F.substring(clean, 1, full)).otherwise(clean).alias("full"),
+            long.alias("truncated"),
+        )
+
+    return let(squeeze(F.coalesce(text, F.lit(""))), parts)
 
 
 def cut(text: Column, limit: int, tail: str = "...") -> Column:
@@ -55,9 +73,13 @@ def quote_span(quote: Column, content: Column, start: Column, end: Column) -> tu
 
 def response_body(response: Column) -> Column:
     """Model reply without code fences; when that is not JSON, its outermost ``{...}`` block."""
-    bare = F.regexp_replace(strip(F.regexp_replace(response, r"(?U)```(?:json)?\s*", "")), "`+$", "")
-    block = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(bare).isNotNull(), bare).when(block != "", block)
+    unfenced = F.regexp_replace(strip(F.regexp_replace(response, f"```(?:json)?[{BLANK}]*", "")), "`+$", "")
+
+    def pick(bare: Column) -> Column:
+        block = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+        return F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(block)
+
+    return let(unfenced, pick)
 
 
 def date_parts(text: Column) -> tuple[Column, Column, Column]:
@@ -75,10 +97,4 @@ def is_overall(phrase: Column, words: list[str]) -> Column:
 
 def is_noise(phrase: Column) -> Column:
     """blank, digits only, ASCII letters only, or one character repeated."""
-    bare = strip(phrase)
-    return (
-        (bare == "")
-        | bare.rlike(r"(?U)^\d+$")
-        | F.replace(bare, F.lit(" "), F.lit("")).rlike("^[A-Za-z]+$")
-        | (F.size(F.array_distinct(F.split(bare, ""))) == 1)
-    )
+    return strip(phrase).rlike(r"(?s)^(?:\p{Nd}*|[A-Za-z ]*|(.)\1*)$")

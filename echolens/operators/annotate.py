@@ -36,19 +36,19 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     Indexes outside the batch are dropped, the last of a repeated index wins, missing ones come out empty.
     """
     body = F.from_json(tx.response_body(F.col("response")), schemas.MODEL_RESPONSE)
-    answered = F.when(F.col("batch_size") > 0, F.sequence(F.lit(0), F.col("batch_size") - 1))
+    indexes = F.when(F.col("batch_size") > 0, F.sequence(F.lit(0), F.col("batch_size") - 1))
     results = F.coalesce(F.col("_r.results"), F.array().cast(F_RESULTS))
-    last = lambda i: F.element_at(F.filter(results, lambda x: x["index"] == i.cast("string")), -1)
-    slots = responses.withColumn("_r", body).select("batch", F.explode(answered).alias("idx"), "_r")
-    # ``filter`` keeps one reply's results, at most a batch of them.
-    found = slots.withColumn("_n", F.size(F.filter(results, lambda x: x["index"] == F.col("idx").cast("string"))))
-    item = F.when(F.col("_n") > 0, last(F.col("idx")))
-    return found.withColumn("_i", item).select(
+    # The results of one reply: at most a batch of them, and a model's worth of opinions each.
+    item = lambda i: F.try_element_at(F.filter(results, lambda x: x["index"] == i.cast("string")), F.lit(-1))
+    slots = F.transform(indexes, lambda i: F.struct(i.alias("idx"), item(i).alias("item")))
+    found = responses.select("batch", "batch_size", body.alias("_r")).select("batch", F.inline(slots))
+    answered = F.col("item").isNotNull()
+    return found.select(
         "batch", "idx",
-        v.sentiment_label(F.coalesce(F.col("_i.sentiment"), F.lit("neutral"))).alias("sentiment"),
-        v.clamped_score(F.col("_i.sentiment_score")).alias("sentiment_score"),
-        F.when(F.col("_n") > 0, 0.5).otherwise(0.0).alias("sentiment_confidence"),
-        cleaned_opinions(F.col("_i.opinions")).alias("opinions"),
+        v.sentiment_label(F.coalesce(F.col("item.sentiment"), F.lit("neutral"))).alias("sentiment"),
+        v.clamped_score(F.col("item.sentiment_score")).alias("sentiment_score"),
+        F.when(answered, 0.5).otherwise(0.0).alias("sentiment_confidence"),
+        cleaned_opinions(F.col("item.opinions")).alias("opinions"),
     )
 
 
@@ -97,13 +97,18 @@ def finalise(comments: DataFrame, opinions: DataFrame, lex: Lexicon, quote_chars
     """(id, content, sentiment, sentiment_score) plus cleaned opinions to final comment labels and opinions.
 
     A comment's core and anchor are found by ``min`` over structs, which combines on the map side;
-    no comment's opinions are ever gathered in one place.
+    no comment's opinions are ever gathered in one place. Labelled rows are checkpointed, as three later
+    steps read them and matching is the costly part.
     """
-    matched = normalise_opinions(opinions, lex).filter(F.col("l3").isNotNull())
     columns = ["id", "pos", "phrase", "sentiment", "sentiment_score", "sentiment_confidence", "is_core", "l3", "full_path"]
-    bare = comments.join(matched.select("id"), "id", "left_anti")
-    whole = labelled(bare, "content", lex).filter(F.col("full_path").isNotNull()).select(
-        "id", F.lit(0).alias("pos"), F.substring("content", 1, quote_chars).alias("phrase"), "sentiment", "sentiment_score",
+    matched = settled(normalise_opinions(opinions, lex, only_matched=True).select(*columns))
+    bare = comments.join(matched.select("id").distinct(), "id", "left_anti")
+    placed = settled(
+        labelled(bare.select("id", "content", "sentiment", "sentiment_score"), "content", lex, only_matched=True)
+        .withColumn("content", F.substring("content", 1, quote_chars))
+    )
+    whole = placed.filter(F.col("full_path").isNotNull()).select(
+        "id", F.lit(0).alias("pos"), F.col("content").alias("phrase"), "sentiment", "sentiment_score",
         F.least(F.lit(1.0), F.abs("sentiment_score")).alias("sentiment_confidence"), F.lit(True).alias("is_core"), "l3", "full_path",
     )
     valid = matched.select(*columns).unionByName(whole)
@@ -157,7 +162,7 @@ def converge(comments: DataFrame, annotators: list[Annotator]) -> DataFrame:
     for number, annotate in enumerate(annotators, 1):
         new = settled(annotate(pending).withColumn("round", F.lit(number)))
         found = new if found is None else found.unionByName(new)
-        pending = pending.join(new.select("id"), "id", "left_anti")
+        pending = pending.join(new.select("id").distinct(), "id", "left_anti")
     return found
 
 

@@ -110,7 +110,7 @@ def annotation_distribution(comments: DataFrame, opinions: DataFrame, top_paths:
 
     done = comments.filter(F.col("analyzed_at").isNotNull())
     paths = counted(opinions, "path", F.col("full_path")).orderBy(F.desc("n"), "label").limit(top_paths)
-    unmatched = done.join(opinions.select(F.col("comment_id").alias("id")), "id", "left_anti").agg(
+    unmatched = done.join(opinions.select(F.col("comment_id").alias("id")).distinct(), "id", "left_anti").agg(
         F.count("*").alias("n")).select(F.lit("unmatched").alias("kind"), F.lit("comments").alias("label"), "n")
     return (
         counted(done, "topic", F.col("topic")).unionByName(counted(done, "sentiment", F.col("sentiment")))

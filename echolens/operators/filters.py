@@ -156,7 +156,7 @@ def by_ids(voices: DataFrame, opinions: DataFrame, raw: str, grain: str = "voice
             chosen.select(F.col("id").alias("comment_id")), "comment_id", "left_semi")
     chosen = opinions.filter(F.col("id").cast("string").isin(ids))
     return chosen if grain == "opinion" else voices.join(
-        chosen.select(F.col("comment_id").alias("id")), "id", "left_semi")
+        chosen.select(F.col("comment_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def newest_of_target(comments: DataFrame, target_id: str, n: int = 500) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from .filters import within
+from ..session import small
 from .ordering import ranked
 
 
@@ -24,7 +25,7 @@ def slices(remote: DataFrame, bounds: DataFrame, default_count: int = 50) -> Dat
     ranking of narrow rows, and the wanted keys are joined back.
     """
     side = bounds.select("target_id", "posted_after", F.coalesce("count", F.lit(default_count)).alias("_count"))
-    inside = remote.join(side, "target_id").filter(within(F.col("posted_at"), F.col("posted_after"), None))
+    inside = remote.join(small(side), "target_id").filter(within(F.col("posted_at"), F.col("posted_after"), None))
     narrow = inside.select("target_id", "id", "posted_at", "_count")
     wanted = ranked(narrow, ["target_id"], [F.desc_nulls_last("posted_at"), F.asc("id")], "_rn").filter("_rn <= _count")
     return remote.join(wanted.select("id"), "id", "left_semi")

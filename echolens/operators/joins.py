@@ -1,5 +1,6 @@
 """Joins between the core tables. No side is hinted: Catalyst and AQE decide on measured sizes,
-and AQE splits a hot ``comment_id`` in the shuffled case."""
+and AQE splits a hot ``comment_id`` in the shuffled case. The key side of a semi or anti join is made
+distinct first: that combines on the map side and leaves one row of a hot key."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ def missing_vectors(comments: DataFrame, vectors: DataFrame, limit: int | None =
 
 def having_opinions(comments: DataFrame, opinions: DataFrame) -> DataFrame:
     """J3"""
-    return comments.join(opinions.select(F.col("comment_id").alias("id")), "id", "left_semi")
+    return comments.join(opinions.select(F.col("comment_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def opinions_of_platform(opinions: DataFrame, comments: DataFrame, platform: str) -> DataFrame:
@@ -35,7 +36,7 @@ def opinions_of_platform(opinions: DataFrame, comments: DataFrame, platform: str
 
 def lookup(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose id is listed."""
-    return rows.join(ids.select(column), column, "left_semi")
+    return rows.join(ids.select(column).distinct(), column, "left_semi")
 
 
 def named_targets(comments: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.paths import path_dim
-from ..functions.text import has_any, strip
+from ..functions.text import has_any, let, strip
 from .lexicon import Lexicon
 
 
@@ -23,20 +23,27 @@ def masked(phrase: Column, lex: Lexicon) -> Column:
 
 def best_label(text: Column, lex: Lexicon) -> Column:
     """Label with the highest sum of matched keyword lengths; the earliest label wins a tie."""
-    matched = lambda label: F.filter(label["words"], lambda w: F.contains(text, w))
-    scored = F.transform(
-        lex.scored_labels(),
-        lambda label: F.struct(
-            F.aggregate(matched(label), F.lit(0), lambda total, w: total + F.length(w)).alias("score"),
-            label["rank"].alias("rank"),
-            label["l3"].alias("l3"),
-        ),
-    )
-    return F.array_max(F.filter(scored, lambda s: s["score"] > 0))["l3"]
-
-
-def with_label(df: DataFrame, phrase: str, lex: Lexicon, label: str = "l3") -> DataFrame:
-    """Add the label of ``phrase`` (NULL when blank or unmatched)."""
+    def best(p: Column) -> Column:
+        matched = lambda label: F.filter(label["words"], lambda w: F.contains(p, w))
+        scored = F.transform(
+            lex.scored_labels(),
+            lambda label: F.struct(
+                F.aggregate(matched(label), F.lit(0), lambda total, w: total + F.length(w)).alias("score"),
+                label["rank"].alias("rank"),
+                label["l3"].alias("l3"),
+            ),
+        )
+        return F.array_max(F.filter(scored, lambda s: s["score"] > 0))["l3"]
+
+    return let(text, best)
+
+
+def with_label(df: DataFrame, phrase: str, lex: Lexicon, label: str = "l3", only_matched: bool = False) -> DataFrame:
+    """Add the label of ``phrase`` (NULL when blank or unmatched; such rows go with ``only_matched``).
+
+    A filter on the label would be pushed below it and label every phrase twice, so unmatched rows are
+    dropped by exploding a list of no or one label.
+    """
     p = F.col("_phrase")
     general = (
         F.when(has_any(p, lex.recommend_words), lex.recommend_label)
@@ -48,6 +55,8 @@ def with_label(df: DataFrame, phrase: str, lex: Lexicon, label: str = "l3") -> D
         .when(has_any(p, lex.meme_words), lex.meme_label)
         .otherwise(F.coalesce(best_label(p, lex), general))
     )
+    if only_matched:
+        ladder = F.explode(F.filter(F.array(ladder), lambda x: x.isNotNull()))
     return df.withColumn("_phrase", masked(F.col(phrase), lex)).withColumn(label, ladder).drop("_phrase")
 
 
@@ -67,14 +76,14 @@ def with_path(df: DataFrame, lex: Lexicon, label: str = "l3", path: str = "full_
     return df.join(dim, F.col(label) == F.col("_l3"), "left").drop("_l3")
 
 
-def labelled(df: DataFrame, phrase: str, lex: Lexicon) -> DataFrame:
-    return with_path(with_label(df, phrase, lex), lex)
+def labelled(df: DataFrame, phrase: str, lex: Lexicon, only_matched: bool = False) -> DataFrame:
+    return with_path(with_label(df, phrase, lex, only_matched=only_matched), lex)
 
 
-def normalise_opinions(opinions: DataFrame, lex: Lexicon, phrase: str = "phrase") -> DataFrame:
+def normalise_opinions(opinions: DataFrame, lex: Lexicon, phrase: str = "phrase", only_matched: bool = False) -> DataFrame:
     """Blank phrases dropped, the rest stripped and given label and path."""
     bare = opinions.withColumn(phrase, strip(F.col(phrase))).filter(F.col(phrase) != "")
-    return labelled(bare, phrase, lex)
+    return labelled(bare, phrase, lex, only_matched)
 
 
 def tone(text: Column, lex: Lexicon) -> Column:

@@ -162,6 +162,6 @@ def sentiment_rows(units: DataFrame, top: int = 5) -> DataFrame:
 
 
 def unused_paths(tax: DataFrame, opinions: DataFrame) -> DataFrame:
-    return path_dim(tax).join(opinions.select("full_path"), "full_path", "left_anti")
+    return path_dim(tax).join(opinions.select("full_path").distinct(), "full_path", "left_anti")
 
 

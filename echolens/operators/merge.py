@@ -115,7 +115,7 @@ def insert_danmaku(current: DataFrame, batch: DataFrame, arrival: str = "id") ->
     }).filter(F.col("content") != "")
     keys = ["video_id", "progress", "content", "user_hash"]
     unique = first_seen(clean, keys, arrival)
-    old = current.select(*(F.col(c).alias(f"_{c}") for c in keys))
+    old = current.select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct()  # the stored key is not unique
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     condition = same[0] & same[1] & same[2] & same[3]
     return unique.join(old, condition, "left_anti")

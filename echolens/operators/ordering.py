@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import cut, strip
-from ..session import settled
+from ..session import settled, small
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 
@@ -94,7 +94,7 @@ def every_nth(df: DataFrame, keys: list[str], order: list[Column], limit: int) -
         lambda a, b: a | b,
         [(F.floor((guess + d) * step) == F.col("_rn") - 1) & (guess + d).between(0, limit - 1) for d in (0, 1)],
     )
-    joined = placed.join(sizes, keys)
+    joined = placed.join(small(sizes), keys)
     return joined.filter((F.col("_n") <= limit) | hit).drop("_n", "_rn")
 
 
@@ -117,7 +117,7 @@ def hybrid_sample(
     liked_n = min(by_likes, cap)
     newest_n = min(by_time, max(0, cap - liked_n))
     sizes = comments.groupBy(key).agg(F.count("*").alias("_n"))
-    narrow = comments.select(key, "id", "likes", "posted_at").join(sizes, key)
+    narrow = comments.select(key, "id", "likes", "posted_at").join(small(sizes), key)
     large = narrow.filter(F.col("_n") > whole_up_to)
     liked = top_per_group(large, [key], [F.desc_nulls_last("likes"), F.asc("id")], liked_n).select(key, "id")
     # The newest rows outside the first stratum lie within the newest (liked_n + newest_n) rows.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed, values as v
-from ..functions.text import clean_text
+from ..functions.text import NON_WORD, let, without_urls
 from .ordering import top_per_group
 
 CJK = r"[一-鿿]+"
@@ -22,11 +22,13 @@ def grams(run: Column, low: int, high: int) -> Column:
 
 
 def tokens(text: Column, low: int = 2, high: int = 4) -> Column:
-    """Tokens of cleaned text, with CJK runs widened to n-grams."""
-    words = F.split(F.regexp_replace(clean_text(text), rf"({CJK})", " $1 "), " +")
-    return F.flatten(F.transform(
-        words, lambda w: F.when(w.rlike(f"^{CJK}$"), grams(w, low, high)).otherwise(F.array(w))
+    """Word tokens without URLs; a text that holds CJK has those runs widened to n-grams."""
+    words = lambda cleaned: F.filter(F.split(cleaned, NON_WORD), lambda w: w != "")
+    widened = lambda cleaned: F.flatten(F.transform(
+        words(F.regexp_replace(cleaned, rf"({CJK})", " $1 ")),
+        lambda w: F.when(w.rlike(f"^{CJK}$"), grams(w, low, high)).otherwise(F.array(w)),
     ))
+    return let(without_urls(text), lambda t: F.when(t.rlike(CJK), widened(t)).otherwise(words(t)))
 
 
 def keyword_frequency(comments: DataFrame, top: int = 50, stopwords: list[str] | None = None) -> DataFrame:

@@ -496,7 +496,7 @@ def u2(t: Tables):
 
 @report("c1_clean_text", r"""
     SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(content, 'http[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'),
-      '[^\p{L}\p{M}\p{N}\p{Pc}_\s\x0b\x1c-\x1f\x{85}\p{Z}]', ' ', 'g'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS clean FROM vc""")
+      '[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]', ' ', 'g'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS clean FROM vc""")
 def c1(t: Tables):
     return t.vc.select("id", tx.clean_text(F.col("content")).alias("clean"))
 

@@ -31,7 +31,8 @@ def now():
     SELECT id, pos, l3 FROM (SELECT *, row_number() OVER (PARTITION BY id, pos ORDER BY score DESC, ord) AS rn FROM s) WHERE rn = 1""")
 def w1(t: Tables):
     rows = t.vp.withColumn("m", matching.masked(F.col("phrase"), t.lex))
-    return rows.withColumn("l3", matching.best_label(F.col("m"), t.lex)).filter(F.col("l3").isNotNull()).select("id", "pos", "l3")
+    found = F.filter(F.array(matching.best_label(F.col("m"), t.lex)), lambda x: x.isNotNull())
+    return rows.select("id", "pos", F.explode(found).alias("l3"))
 
 
 def replies(t: Tables) -> DataFrame:
@@ -100,7 +101,8 @@ def w5(t: Tables):
 
 @report("u3_sample_strata", """
     WITH c AS (SELECT id, target_id, likes, count(*) OVER (PARTITION BY target_id) AS n FROM vc)
-    SELECT CASE WHEN n <= 20 THEN 'all' ELSE 'cut' END AS kind, CAST(sum(CASE WHEN n <= 20 THEN 1 ELSE least(n, 20) / n END) + 0.5 AS INT) AS rows FROM c GROUP BY kind""")
+    SELECT 'all' AS kind, CAST(count(*) AS INT) AS rows FROM c WHERE n <= 20 HAVING count(*) > 0
+    UNION ALL SELECT 'cut', CAST(20 * count(DISTINCT target_id) AS INT) FROM c WHERE n > 20 HAVING count(*) > 0""")
 def u3(t: Tables):
     sample = ordering.hybrid_sample(t.vc, whole_up_to=20, by_likes=12, by_time=8)
     return sample.groupBy(F.when(F.col("stratum") == "all", "all").otherwise("cut").alias("kind")).agg(F.count("*").cast("int").alias("rows"))

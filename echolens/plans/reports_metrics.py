@@ -124,7 +124,7 @@ def a11(t: Tables):
 
 @report("a12_keyword_frequency", r"""
     WITH c AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(content, 'http[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'),
-      '[^\p{L}\p{M}\p{N}\p{Pc}_\s\x0b\x1c-\x1f\x{85}\p{Z}]', ' ', 'g'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS clean FROM vc),
+      '[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]', ' ', 'g'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS clean FROM vc),
     w AS (SELECT unnest(string_split(clean, ' ')) AS word FROM c)
     SELECT word, count(*) AS n FROM w WHERE length(word) >= 2 AND lower(word) NOT IN ('the', 'of', 'and', 'steam')
     GROUP BY word ORDER BY n DESC, word LIMIT 50""")

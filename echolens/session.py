@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +51,12 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast a per-group table once it is known to be short; else leave the join to Catalyst and AQE.
+
+    Keeps a hot group of the other side from being shuffled to one place when the groups are few.
+    """
+    held = settled(df)
+    return F.broadcast(held) if held.limit(rows + 1).count() <= rows else held
