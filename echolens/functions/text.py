@@ -27,7 +27,7 @@ def strip(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def without_urls(text: Column) -> Column:

@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import strip
 from ..operators.lexicon import Lexicon
+from ..session import spread
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+# Tables whose rows carry the text or payload work.
+SPREAD = {"documents": ["doc_id"], "events": ["event_id"], "conversations": ["conv_id", "turn"]}
+
 TAXONOMY = (
     (0, "Mechanics", "Core", "Combat", False), (1, "Mechanics", "Core", "Movement", False),
     (2, "Control", "Interface(UI/UX)", "Layout", False), (3, "Art", "Visual", "Style", False),
@@ -169,6 +173,8 @@ class Tables:
         if name not in self._seen:
             if name in BASE:
                 frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                if name in SPREAD:
+                    frame = spread(frame, *SPREAD[name])
             elif name in VIEWS:
                 frame = self.sql(VIEWS[name])
             elif name == "vp":
