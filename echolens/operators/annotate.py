@@ -19,8 +19,8 @@ Annotator = Callable[[DataFrame], DataFrame]
 
 def prompt_batches(comments: DataFrame, size: int = 10, chars: int = 500) -> DataFrame:
     """T5: one row per batch of ``size`` comments: ids in order and the numbered texts, one per line."""
-    numbered = batches(comments.select("id", "content"), [F.asc("id")], size)
-    line = F.concat(F.lit("["), F.col("idx"), F.lit("] "), F.substring(F.col("content"), 1, chars))
+    numbered = batches(comments.select("id", F.substring("content", 1, chars).alias("text")), [F.asc("id")], size)
+    line = F.concat(F.lit("["), F.col("idx"), F.lit("] "), F.col("text"))
     # A batch holds at most ``size`` rows.
     packed = numbered.groupBy("batch").agg(
         F.sort_array(F.collect_list(F.struct("idx", "id", line.alias("line")))).alias("rows"))
@@ -81,8 +81,8 @@ def exploded_opinions(parsed: DataFrame, *keys: str) -> DataFrame:
 
 def core_flags(opinions: DataFrame, key: str = "id") -> DataFrame:
     """One core opinion per comment (first marked one, else the first); works by aggregate and join back."""
-    core = opinions.groupBy(key).agg(F.min(F.struct(~F.col("is_core"), F.col("pos"))).alias("_c")).select(
-        key, F.col("_c.pos").alias("_core"))
+    first = F.min(F.struct(~F.col("is_core"), F.col("pos")))
+    core = settled(opinions.groupBy(key).agg(first.alias("_c")).select(key, F.col("_c.pos").alias("_core")))
     return opinions.join(core, key).withColumn("is_core", F.col("pos") == F.col("_core")).drop("_core")
 
 
@@ -123,14 +123,14 @@ def finalise(comments: DataFrame, opinions: DataFrame, lex: Lexicon, quote_chars
     anchor = F.when(F.col("core.l3").isin(*lex.fallback) & (F.col("specifics") > 0), F.col("specific")).otherwise(F.col("core.full_path"))
     l1 = F.element_at(F.split(anchor, "/"), 1)
     known_l1 = sorted({t[1] for t in lex.taxonomy})
-    labels = comments.join(marks, "id", "left").select(
+    labels = settled(comments.join(marks, "id", "left").select(
         "id",
         F.coalesce("core.sentiment", "sentiment").alias("sentiment"),
         F.coalesce("core.sentiment_score", "sentiment_score").alias("sentiment_score"),
         F.coalesce("core.sentiment_confidence", F.lit(0.5)).alias("sentiment_confidence"),
         F.when(l1.isin(known_l1), l1).otherwise(lex.meta_l1).alias("topic"),
         F.col("core.pos").alias("core_pos"),
-    )
+    ))
     final = (
         valid.join(labels.select("id", "core_pos"), "id").withColumn("is_core", F.col("pos") == F.col("core_pos"))
         .drop("core_pos")

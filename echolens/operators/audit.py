@@ -104,18 +104,16 @@ def run_summary(run_log: DataFrame) -> DataFrame:
 
 def annotation_distribution(comments: DataFrame, opinions: DataFrame, top_paths: int = 20) -> DataFrame:
     """Long form over topic, sentiment, top paths and unmatched comments."""
-    def counted(rows: DataFrame, kind: str, label) -> DataFrame:
-        return rows.groupBy(F.coalesce(label, F.lit("(none)")).alias("label")).agg(F.count("*").alias("n")).select(
-            F.lit(kind).alias("kind"), "label", "n")
-
     done = comments.filter(F.col("analyzed_at").isNotNull())
-    paths = counted(opinions, "path", F.col("full_path")).orderBy(F.desc("n"), "label").limit(top_paths)
-    unmatched = done.join(opinions.select(F.col("comment_id").alias("id")).distinct(), "id", "left_anti").agg(
-        F.count("*").alias("n")).select(F.lit("unmatched").alias("kind"), F.lit("comments").alias("label"), "n")
-    return (
-        counted(done, "topic", F.col("topic")).unionByName(counted(done, "sentiment", F.col("sentiment")))
-        .unionByName(paths).unionByName(unmatched)
-    )
+    entry = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.coalesce(column, F.lit("(none)")).alias("label"))
+    labels = done.select(F.inline(F.array(entry("topic", "topic"), entry("sentiment", "sentiment"))))
+    counts = labels.groupBy("kind", "label").agg(F.count("*").alias("n"))
+    paths = opinions.select(F.lit("path").alias("kind"), F.col("full_path").alias("label")).groupBy("kind", "label").agg(
+        F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(top_paths)
+    with_opinion = opinions.select(F.col("comment_id").alias("id")).distinct()
+    unmatched = done.join(with_opinion, "id", "left_anti").agg(F.count("*").alias("n")).select(
+        F.lit("unmatched").alias("kind"), F.lit("comments").alias("label"), "n")
+    return counts.unionByName(paths).unionByName(unmatched)
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

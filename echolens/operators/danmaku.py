@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import values as v
 from ..functions.paths import segment
+from ..session import settled
 from .lexicon import Lexicon
 from .matching import labelled, tone
 from .metrics import over_all
@@ -18,7 +19,7 @@ def label_distribution(danmaku: DataFrame, lex: Lexicon, top: int = 15) -> DataF
 
     Everything derives from one count per path, which the taxonomy bounds.
     """
-    by_path = labelled(danmaku, "content", lex).groupBy("full_path").agg(F.count("*").alias("n"))
+    by_path = settled(labelled(danmaku, "content", lex).groupBy("full_path").agg(F.count("*").alias("n")))
     state = F.when(F.col("full_path").isNull(), "unmatched").otherwise("matched")
     match = by_path.groupBy(state.alias("label")).agg(F.sum("n").alias("n")).withColumn(
         "pct", v.percent(F.col("n"), over_all("n")))

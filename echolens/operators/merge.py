@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx, values as v
 from ..functions.paths import segment
+from ..session import settled
 from .filters import derived_target
 from .lexicon import Lexicon
 from .matching import labelled, with_path
@@ -67,7 +68,7 @@ def replace_analysis(
     ``new_opinions``: comment_id, pos, full_path, sentiment, sentiment_confidence, quote, quote_start, quote_end.
     Labels of unknown comments are ignored; opinions without path or quote are skipped.
     """
-    known = labels.join(comments.select("id"), "id", "left_semi")
+    known = settled(labels.join(comments.select("id"), "id", "left_semi"))
     side = known.select("id", *(F.col(c).alias(f"n_{c}") for c in ANALYSIS[:-1]), F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
     joined = comments.join(side, "id", "left")
@@ -80,8 +81,8 @@ def replace_analysis(
     clean = (
         new_opinions.withColumns({"full_path": path, "quote": quote})
         .filter((F.col("full_path") != "") & (F.col("quote") != ""))
-        .join(known.select(F.col("id").alias("comment_id")).join(
-            comments.select(F.col("id").alias("comment_id"), "content"), "comment_id"), "comment_id")
+        .join(touched, "comment_id", "left_semi")
+        .join(comments.select(F.col("id").alias("comment_id"), "content"), "comment_id")
     )
     start, end = tx.quote_span(F.col("quote"), F.col("content"), F.col("quote_start"), F.col("quote_end"))
     fresh = clean.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import resolve_paths
+from ..session import small
 
 SLICE = 1000
 
@@ -19,7 +20,8 @@ def nested_opinions(opinions: DataFrame, per_row: int = SLICE) -> DataFrame:
     spread = F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / per_row)), F.lit(0))
     item = F.struct("id", F.col("full_path").alias("path"), "sentiment", "quote")
     return (
-        opinions.join(large, "comment_id", "left").withColumn("slice", spread)
+        opinions.join(small(large), "comment_id", "left").withColumn("slice", spread)
+        .repartition("comment_id", "slice")  # not by comment alone, which the join may have left behind
         .groupBy("comment_id", "slice")
         .agg(F.sort_array(F.collect_list(item)).alias("opinions"))
     )

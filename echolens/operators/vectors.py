@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import settled
 from .ordering import top_per_group
 from .words import tokens
 
@@ -100,7 +101,7 @@ def anchored(opinions: DataFrame, comments: DataFrame, anchor: str, target: str
 
 def micro_topics(vectors: DataFrame, k: int = 5, rounds: int = 25, seed: int = 42, id: str = "id") -> DataFrame:
     """V4: cosine k-means labels; with no more rows than clusters every row is its own cluster."""
-    rows = vectors.filter(F.exists("vector", lambda x: x != 0))
+    rows = settled(vectors.filter(F.exists("vector", lambda x: x != 0)))  # read again in every round
     n = rows.limit(k + 1).count()
     if n <= k:
         order = Window.partitionBy().orderBy(id)  # at most k rows

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tuned
 from .tables import Tables, with_views
 
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -24,7 +25,7 @@ def report(name: str, sql: str | None = None):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(build):
-        return lambda spark, folder: build(Tables(spark, folder))
+        return lambda spark, folder: build(Tables(tuned(spark), folder))
 
     return {name: bound(build) for name, build in REPORTS.items()}
 

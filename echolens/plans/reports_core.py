@@ -560,8 +560,10 @@ def c8(t: Tables):
     FROM vp p JOIN vc c ON c.id = p.id""")
 def c9(t: Tables):
     none = F.lit(None).cast("int")
+    pieces = t.vc.select("id", "content", F.posexplode(F.split("content", "[.]")).alias("pos", "phrase"))
     start, end = tx.quote_span(F.col("phrase"), F.col("content"), none, none)
-    return t.vp.join(t.vc.select("id", "content"), "id").select("id", "pos", start.alias("quote_start"), end.alias("quote_end"))
+    stripped = pieces.withColumn("phrase", tx.strip(F.col("phrase"))).filter(F.col("phrase") != "")
+    return stripped.select("id", "pos", start.alias("quote_start"), end.alias("quote_end"))
 
 
 @report("c10_response_bodies", """

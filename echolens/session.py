@@ -7,13 +7,17 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SETTINGS = {
+# Settings the jobs rely on; all can be set on a running session.
+RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where the next step then needs one more shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+SETTINGS = {**RUNTIME, "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
@@ -28,6 +32,14 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.getOrCreate()
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session made elsewhere."""
+    for key, value in RUNTIME.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or a scratch folder in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -46,7 +58,11 @@ def run_dir(spark: SparkSession, label: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write the rows out once and read them back, so that later branches see the same layout."""
+    """Write the rows out once and read them back.
+
+    Later branches then see the same layout and repeat no work. A per-key aggregate that a larger table
+    joins to is settled too: AQE splits a hot key only where both join inputs are plain shuffles.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
