@@ -126,11 +126,11 @@ def top_game_ids(units: DataFrame, n: int = 5) -> list[str]:
 
 
 def store_stats(comments: DataFrame, opinions: DataFrame) -> DataFrame:
-    """Totals as one row (two one-row aggregates on a constant key)."""
-    one = F.lit(1).alias("_one")
-    c = comments.agg(F.count("*").alias("comments"), F.count("analyzed_at").alias("analyzed")).select("*", one)
-    o = opinions.agg(F.count("*").alias("opinions")).select("*", one)
-    return c.join(o, "_one").select(
+    """Totals as one row."""
+    zero = F.lit(0).cast("bigint")
+    c = comments.agg(F.count("*").alias("comments"), F.count("analyzed_at").alias("analyzed")).withColumn("opinions", zero)
+    o = opinions.agg(F.count("*").alias("opinions")).select(zero.alias("comments"), zero.alias("analyzed"), "opinions")
+    return c.unionByName(o).agg(*(F.sum(x).alias(x) for x in c.columns)).select(
         "comments", "analyzed", "opinions", v.percent(F.col("analyzed"), F.col("comments")).alias("analyzed_pct"),
         F.when(F.col("analyzed") > 0, F.round(F.col("opinions") / F.col("analyzed"), 1)).alias("opinions_per_comment"),
     )

@@ -280,7 +280,8 @@ def f7b(t: Tables):
 
 @report("f8_voices_by_opinion_ids", "SELECT DISTINCT c.id FROM vc c JOIN vo o ON o.comment_id = c.id WHERE o.id IN (1001, 3001, 5000)")
 def f8(t: Tables):
-    return filters.by_ids(t.vc, t.vo, "1001；3001, 5000 zzz", "voice").select("id")
+    voices = t.vc.withColumn("source_id", F.concat(F.lit("v"), "source_id"))  # ids of both grains must differ
+    return filters.by_ids(voices, t.vo, "1001；3001, 5000 zzz", "voice").select("id")
 
 
 @report("f8_mixed_ids", "SELECT id FROM vc WHERE false")
