@@ -158,8 +158,9 @@ def rematch(opinions: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def apply_rematch(opinions: DataFrame, changes: DataFrame) -> DataFrame:
-    side = changes.filter("write_back").select("id", F.col("new_path").alias("_new"))
-    return opinions.join(side, "id", "left").withColumn("full_path", F.coalesce("_new", "full_path")).select(*opinions.columns)
+    # By comment too: opinion ids are 64-bit hashes, and among very many of them two may be equal.
+    side = changes.filter("write_back").select("comment_id", "id", F.col("new_path").alias("_new"))
+    return opinions.join(side, ["comment_id", "id"], "left").withColumn("full_path", F.coalesce("_new", "full_path")).select(*opinions.columns)
 
 
 def sink_topics(comments: DataFrame, first_l1: DataFrame, meta_l1: str) -> DataFrame:
