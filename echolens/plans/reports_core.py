@@ -447,9 +447,9 @@ def j6(t: Tables):
 
 @report("j7_reconcile", """
     SELECT platform, source_id, CASE WHEN d.id IS NULL THEN 'only_remote' WHEN r.id IS NULL THEN 'only_local' ELSE 'matched' END AS state
-    FROM (SELECT * FROM vc WHERE id % 2 = 0) d FULL JOIN (SELECT * FROM vc WHERE id % 3 = 0) r USING (platform, source_id)""")
+    FROM (SELECT * FROM vc WHERE likes IS NULL) d FULL JOIN (SELECT * FROM vc WHERE rating IS NOT NULL) r USING (platform, source_id)""")
 def j7(t: Tables):
-    return joins.reconcile(t.vc.filter("id % 2 = 0"), t.vc.filter("id % 3 = 0"))
+    return joins.reconcile(t.vc.filter(F.col("likes").isNull()), t.vc.filter(F.col("rating").isNotNull()))
 
 
 @report("j8_layered_view", """
@@ -482,10 +482,10 @@ def j10(t: Tables):
 
 
 @report("u1_label_coverage", """
-    SELECT l3, 'missing' AS state FROM (SELECT DISTINCT split_part(full_path, '/', -1) AS l3 FROM vo WHERE id % 2 = 0) WHERE l3 NOT IN (SELECT l3 FROM kw)
-    UNION ALL SELECT l3, 'extra' FROM (SELECT DISTINCT l3 FROM kw) WHERE l3 NOT IN (SELECT split_part(full_path, '/', -1) FROM vo WHERE id % 2 = 0)""")
+    SELECT l3, 'missing' AS state FROM (SELECT DISTINCT split_part(full_path, '/', -1) AS l3 FROM vo WHERE sentiment = 'neutral') WHERE l3 NOT IN (SELECT l3 FROM kw)
+    UNION ALL SELECT l3, 'extra' FROM (SELECT DISTINCT l3 FROM kw) WHERE l3 NOT IN (SELECT split_part(full_path, '/', -1) FROM vo WHERE sentiment = 'neutral')""")
 def u1(t: Tables):
-    used = t.vo.filter("id % 2 = 0").select(F.element_at(F.split("full_path", "/"), -1).alias("l3"))
+    used = t.vo.filter(F.col("sentiment") == "neutral").select(F.element_at(F.split("full_path", "/"), -1).alias("l3"))
     return audit.label_coverage(used, t.kw)
 
 

@@ -252,18 +252,19 @@ def t8(t: Tables):
 
 
 @report("t9_rebuilt_golden", """
-    WITH s AS (SELECT id, full_path, split_part(full_path, '/', -1) AS l3 FROM vo),
+    WITH s AS (SELECT id, full_path, sentiment, sentiment_confidence, split_part(full_path, '/', -1) AS l3 FROM vo),
     m AS (SELECT a.l3 AS old_l3, b.l3 AS new_l3 FROM tax a JOIN tax b ON b.ord = a.ord + 1 WHERE a.ord % 2 = 0),
-    g AS (SELECT s.*, CASE WHEN s.id % 10 = 0 THEN 'Score' ELSE m.new_l3 END AS label FROM s LEFT JOIN m ON m.old_l3 = s.l3)
-    SELECT g.id AS opinion_id, g.full_path AS old_full_path, CASE WHEN g.id % 10 = 5 THEN 'Own/Path/Here' WHEN x.l3 IS NOT NULL THEN concat(x.l1, '/', x.l2, '/', x.l3) END AS new_full_path,
-      g.id % 7 = 0 AS excluded FROM g LEFT JOIN tax x ON x.l3 = g.label""")
+    g AS (SELECT s.*, CASE WHEN sentiment_confidence = 0.3 THEN 'Score' ELSE m.new_l3 END AS label FROM s LEFT JOIN m ON m.old_l3 = s.l3)
+    SELECT g.id AS opinion_id, g.full_path AS old_full_path, CASE WHEN g.sentiment = 'neutral' THEN 'Own/Path/Here' WHEN x.l3 IS NOT NULL THEN concat(x.l1, '/', x.l2, '/', x.l3) END AS new_full_path,
+      g.sentiment_confidence >= 0.6 AS excluded FROM g LEFT JOIN tax x ON x.l3 = g.label""")
 def t9(t: Tables):
     sample = t.vo.select(F.col("id").alias("opinion_id"), F.col("quote").alias("phrase"), F.col("full_path").alias("old_full_path"))
-    ids = t.vo.select(F.col("id").alias("opinion_id"))
-    overrides = ids.filter("opinion_id % 5 = 0").withColumn("override", F.when(F.col("opinion_id") % 10 == 0, "Score").otherwise("Own/Path/Here"))
+    ids = t.vo.select(F.col("id").alias("opinion_id"), "sentiment", "sentiment_confidence")
+    neutral, third = F.col("sentiment") == "neutral", F.col("sentiment_confidence") == 0.3
+    overrides = ids.filter(neutral | third).select("opinion_id", F.when(neutral, "Own/Path/Here").otherwise("Score").alias("override"))
     a, b = t.tax.filter("ord % 2 = 0").select((F.col("ord") + 1).alias("ord"), F.col("l3").alias("old_l3")), t.tax.select("ord", F.col("l3").alias("new_l3"))
     mechanical = a.join(b, "ord").select("old_l3", "new_l3")
-    return annotate.rebuilt_golden(sample, overrides, mechanical, ids.filter("opinion_id % 7 = 0"), t.lex).drop("phrase")
+    return annotate.rebuilt_golden(sample, overrides, mechanical, ids.filter("sentiment_confidence >= 0.6").select("opinion_id"), t.lex).drop("phrase")
 
 
 # ---- merges
@@ -274,20 +275,20 @@ def full_comments(t: Tables) -> DataFrame:
 
 
 def landed_rows(t: Tables) -> DataFrame:
-    """A landed batch in which every second key arrives twice with other values."""
-    base = t.vf.filter("id % 2 = 0").select(
+    """A landed batch of every comment; those of one platform arrive twice, with other values first."""
+    base = t.vf.select(
         "platform", "source_id", F.lit("key").alias("target_key"), "content", "author", "author_id", "rating", "language",
         "likes", "replies", "posted_at", "extra_json", "id")
-    first = base.withColumns({"content": F.lit("early"), "likes": F.lit(7), "arrival": F.col("id") * 2}).filter("id % 4 = 0")
+    first = base.withColumns({"content": F.lit("early"), "likes": F.lit(7), "arrival": F.col("id") * 2}).filter(F.col("platform") == "steam")
     last = base.withColumns({
         "content": F.concat(F.lit("new "), "language"), "replies": F.when(F.col("id") % 8 == 0, 9), "likes": F.when(F.col("id") % 6 == 0, 5), "arrival": F.col("id") * 2 + 1})
     return first.unionByName(last).drop("id")
 
 
 UPSERT = f"""
-    WITH cur AS (SELECT * FROM vf WHERE id % 3 <> 0),
+    WITH cur AS (SELECT * FROM vf WHERE likes IS NOT NULL),
     n AS (SELECT platform, source_id, concat('new ', language) AS content, CASE WHEN id % 6 = 0 THEN 5 END AS likes, CASE WHEN id % 8 = 0 THEN 9 END AS replies, extra_json,
-      CASE WHEN platform = 'steam' AND extra_json IS NOT NULL THEN concat('steam:', CAST(id % 9 AS VARCHAR)) ELSE concat(platform, ':key') END AS derived FROM vf WHERE id % 2 = 0)
+      CASE WHEN platform = 'steam' AND extra_json IS NOT NULL THEN concat('steam:', CAST(id % 9 AS VARCHAR)) ELSE concat(platform, ':key') END AS derived FROM vf)
     SELECT platform, source_id, coalesce(cur.target_id, n.derived) AS target_id, coalesce(n.content, cur.content) AS content,
       CAST(coalesce(n.likes, cur.likes) AS INT) AS likes, CAST(coalesce(n.replies, cur.replies) AS INT) AS replies, cur.sentiment, cur.topic,
       CASE WHEN n.content IS NOT NULL AND (n.likes IS NOT NULL OR (cur.id IS NOT NULL AND n.replies IS NOT NULL)) THEN {NOW_SQL} ELSE cur.likes_refreshed_at END AS likes_refreshed_at,
@@ -299,11 +300,11 @@ UPSERT_COLUMNS = ["platform", "source_id", "target_id", "content", "likes", "rep
 
 @report("m1_upsert_comments", UPSERT)
 def m1(t: Tables):
-    return merge.upsert_comments(full_comments(t).filter("id % 3 <> 0"), landed_rows(t), now()).select(*UPSERT_COLUMNS)
+    return merge.upsert_comments(full_comments(t).filter(F.col("likes").isNotNull()), landed_rows(t), now()).select(*UPSERT_COLUMNS)
 
 
 def replaced(t: Tables):
-    labels = t.vc.filter("id % 2 = 0").select(
+    labels = t.vc.filter(F.col("language") == "en").select(
         F.when(F.col("id") % 10 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"), F.lit("negative").alias("sentiment"), F.lit(-0.3).alias("sentiment_score"),
         F.lit(0.3).alias("sentiment_confidence"), F.lit("Tech").alias("topic"), F.array(F.lit("Frames")).alias("sub_topics"))
     word = F.element_at(F.split("content", " "), 2)
@@ -318,15 +319,15 @@ def replaced(t: Tables):
 @report("m2_replaced_labels", f"""
     SELECT id, CASE WHEN h THEN 'negative' ELSE sentiment END AS sentiment, CASE WHEN h THEN CAST(0.3 AS DOUBLE) ELSE sentiment_confidence END AS sentiment_confidence,
       CASE WHEN h THEN 'Tech' ELSE topic END AS topic, CASE WHEN h THEN {NOW_SQL} ELSE analyzed_at END AS analyzed_at
-    FROM (SELECT *, id % 2 = 0 AND id % 10 <> 0 AS h FROM vf)""")
+    FROM (SELECT *, language = 'en' AND id % 10 <> 0 AS h FROM vf)""")
 def m2(t: Tables):
     return replaced(t)[0].select("id", "sentiment", "sentiment_confidence", "topic", "analyzed_at")
 
 
 @report("m2_replaced_opinions", f"""
-    WITH q AS (SELECT id, content, {strip_sql("split_part(content, ' ', 2)")} AS quote FROM vc WHERE id % 2 = 0 AND id % 10 <> 0 AND id % 4 <> 0)
+    WITH q AS (SELECT id, content, {strip_sql("split_part(content, ' ', 2)")} AS quote FROM vc WHERE language = 'en' AND id % 10 <> 0 AND id % 4 <> 0)
     SELECT comment_id, full_path, sentiment, sentiment_confidence, quote, CAST(NULL AS INT) AS quote_start, CAST(NULL AS INT) AS quote_end FROM vo
-    WHERE NOT (comment_id IN (SELECT id FROM vc WHERE id % 2 = 0 AND id % 10 <> 0))
+    WHERE NOT (comment_id IN (SELECT id FROM vc WHERE language = 'en' AND id % 10 <> 0))
     UNION ALL SELECT id, 'Tech/Frames/Stutter', 'negative', CAST(NULL AS DOUBLE), quote, CAST(position(quote IN content) - 1 AS INT), CAST(position(quote IN content) - 1 + length(quote) AS INT) FROM q WHERE quote <> ''""")
 def m2b(t: Tables):
     return replaced(t)[1].select("comment_id", "full_path", "sentiment", "sentiment_confidence", "quote", "quote_start", "quote_end")
@@ -337,9 +338,9 @@ def vector_batch(t: Tables, where: str, model: str) -> DataFrame:
 
 
 @report("m3_upsert_vectors", """
-    SELECT comment_id, CASE WHEN comment_id % 3 = 0 THEN 'm-2' ELSE 'm-1' END AS model, dim FROM ve WHERE comment_id % 2 = 0 OR comment_id % 3 = 0""")
+    SELECT comment_id, CASE WHEN label >= 3 THEN 'm-2' ELSE 'm-1' END AS model, dim FROM ve""")
 def m3(t: Tables):
-    current, batch = vector_batch(t, "comment_id % 2 = 0", "m-1"), vector_batch(t, "comment_id % 3 = 0", "m-2")
+    current, batch = vector_batch(t, "label < 6", "m-1"), vector_batch(t, "label >= 3", "m-2")
     return merge.upsert_vectors(current, batch).select("comment_id", "model", "dim")
 
 
@@ -352,13 +353,13 @@ def m4(t: Tables):
 @report("m5_insert_danmaku", """
     SELECT video_id, progress, content, user_hash, min(id) AS id FROM (SELECT id, video_id, CASE WHEN id % 9 = 0 THEN NULL ELSE progress END AS progress,
       content, CASE WHEN id % 5 = 0 THEN '' ELSE user_hash END AS user_hash FROM vd WHERE id % 11 <> 0) b
-    WHERE NOT EXISTS (SELECT 1 FROM vd o WHERE o.id % 2 = 0 AND o.video_id = b.video_id AND o.progress = b.progress AND o.content = b.content AND o.user_hash = b.user_hash)
+    WHERE NOT EXISTS (SELECT 1 FROM vd o WHERE o.content IN ('click', 'view') AND o.video_id = b.video_id AND o.progress = b.progress AND o.content = b.content AND o.user_hash = b.user_hash)
     GROUP BY video_id, progress, content, user_hash""")
 def m5(t: Tables):
     batch = t.vd.withColumns({
         "content": F.when(F.col("id") % 11 == 0, "　 ").otherwise(F.concat(F.lit(" "), "content", F.lit("　"))),
         "progress": F.when(F.col("id") % 9 != 0, F.col("progress")), "user_hash": F.when(F.col("id") % 5 != 0, F.col("user_hash"))})
-    return merge.insert_danmaku(t.vd.filter("id % 2 = 0"), batch).select("video_id", "progress", "content", "user_hash", "id")
+    return merge.insert_danmaku(t.vd.filter(F.col("content").isin("click", "view")), batch).select("video_id", "progress", "content", "user_hash", "id")
 
 
 def dim(t: Tables, where: str, shift: int = 1) -> DataFrame:
@@ -431,11 +432,11 @@ def m8(t: Tables):
 
 
 @report("m9_merge_refreshed", f"""
-    SELECT id, CASE WHEN id % 4 = 0 AND likes_refreshed_at IS NULL THEN CAST(3 AS INT) ELSE likes END AS likes,
-      CASE WHEN id % 4 = 0 AND likes_refreshed_at IS NULL THEN {NOW_SQL} ELSE likes_refreshed_at END AS likes_refreshed_at FROM vf""")
+    SELECT id, CASE WHEN platform = 'steam' AND likes_refreshed_at IS NULL THEN CAST(3 AS INT) ELSE likes END AS likes,
+      CASE WHEN platform = 'steam' AND likes_refreshed_at IS NULL THEN {NOW_SQL} ELSE likes_refreshed_at END AS likes_refreshed_at FROM vf""")
 def m9(t: Tables):
     current = full_comments(t)
-    remote = current.filter("id % 4 = 0").select(
+    remote = current.filter(F.col("platform") == "steam").select(
         "platform", "source_id", F.lit("k").alias("target_key"), "content", "author", "author_id", "rating", "language", F.lit(3).alias("likes"),
         F.lit(None).cast("int").alias("replies"), "posted_at", "extra_json", F.col("id").alias("arrival"))
     due = current.filter(F.col("likes_refreshed_at").isNull())
@@ -520,11 +521,11 @@ def targets(t: Tables) -> DataFrame:
 
 BOUNDS = """
     WITH g AS (SELECT target_id, CASE WHEN min(id) % 2 = 0 THEN 3 END AS count FROM vc GROUP BY target_id UNION ALL SELECT DISTINCT concat('new:', language), 5 FROM vc),
-    b AS (SELECT g.target_id, g.count, x.m - INTERVAL 1 DAY AS posted_after FROM g LEFT JOIN (SELECT target_id, max(posted_at) AS m FROM vc WHERE id % 2 = 0 GROUP BY target_id) x ON x.target_id = g.target_id)"""
+    b AS (SELECT g.target_id, g.count, x.m - INTERVAL 1 DAY AS posted_after FROM g LEFT JOIN (SELECT target_id, max(posted_at) AS m FROM vc WHERE rating IS NOT NULL GROUP BY target_id) x ON x.target_id = g.target_id)"""
 
 
 def bounds(t: Tables) -> DataFrame:
-    return incremental.lower_bounds(targets(t), t.vc.filter("id % 2 = 0"))
+    return incremental.lower_bounds(targets(t), t.vc.filter(F.col("rating").isNotNull()))
 
 
 @report("i1_lower_bounds", BOUNDS + " SELECT target_id, posted_after FROM b")
@@ -541,7 +542,7 @@ def i2(t: Tables):
 
 
 @report("i3_run_log", """
-    WITH f AS (SELECT target_id, count(*) AS fetched, count(*) FILTER (WHERE id % 3 = 0) AS inserted, count(analyzed_at) AS analyzed FROM vc GROUP BY target_id),
+    WITH f AS (SELECT target_id, count(*) AS fetched, count(*) FILTER (WHERE likes IS NULL) AS inserted, count(analyzed_at) AS analyzed FROM vc GROUP BY target_id),
     e AS (SELECT c.target_id, count(*) AS embedded FROM vc c JOIN ve ON ve.comment_id = c.id GROUP BY ALL),
     x AS (SELECT target_id FROM vc GROUP BY target_id HAVING min(id) % 5 = 0)
     SELECT f.target_id, x.target_id IS NULL AS ok, fetched, inserted, analyzed, coalesce(embedded, 0) AS embedded, CASE WHEN x.target_id IS NOT NULL THEN 'timeout' END AS error
@@ -550,18 +551,18 @@ def i3(t: Tables):
     embedded = t.vc.join(t.ve.select(F.col("comment_id").alias("id")), "id", "left_semi").select("target_id", "id")
     failed = t.vc.groupBy("target_id").agg(F.min("id").alias("m")).filter("m % 5 = 0").select("target_id", F.lit("timeout").alias("error"))
     return incremental.run_log(
-        t.vc, t.vc.filter("id % 3 <> 0"), t.vc.filter(F.col("analyzed_at").isNotNull()).select("target_id", "id"), embedded, failed)
+        t.vc, t.vc.filter(F.col("likes").isNotNull()), t.vc.filter(F.col("analyzed_at").isNotNull()).select("target_id", "id"), embedded, failed)
 
 
 @report("i4_landing_log", """
-    WITH k AS (SELECT CASE WHEN id % 3 <> 0 THEN target_id WHEN platform = 'steam' AND extra_json IS NOT NULL THEN concat('steam:', CAST(id % 9 AS VARCHAR)) ELSE concat(platform, ':key') END AS target_id,
-      id % 2 = 0 AS landed, id % 3 = 0 AS new, id % 3 = 0 OR analyzed_at IS NULL AS todo FROM vf WHERE id % 3 <> 0 OR id % 2 = 0)
-    SELECT target_id, true AS ok, count(*) FILTER (WHERE landed) AS fetched, count(*) FILTER (WHERE landed AND new) AS inserted, count(*) FILTER (WHERE todo) AS analyzed, count(*) AS embedded, CAST(NULL AS VARCHAR) AS error
+    WITH k AS (SELECT CASE WHEN likes IS NOT NULL THEN target_id WHEN platform = 'steam' AND extra_json IS NOT NULL THEN concat('steam:', CAST(id % 9 AS VARCHAR)) ELSE concat(platform, ':key') END AS target_id,
+      likes IS NULL AS new, likes IS NULL OR analyzed_at IS NULL AS todo FROM vf)
+    SELECT target_id, true AS ok, count(*) AS fetched, count(*) FILTER (WHERE new) AS inserted, count(*) FILTER (WHERE todo) AS analyzed, count(*) AS embedded, CAST(NULL AS VARCHAR) AS error
     FROM k GROUP BY target_id""")
 def i4(t: Tables):
     stored = t.spark.createDataFrame([], schemas.EMBEDDINGS)
     opinions = t.spark.createDataFrame([], schemas.OPINIONS)
-    done = daily.land(landed_rows(t), full_comments(t).filter("id % 3 <> 0"), opinions, stored, t.lex, NOW, dim=128)
+    done = daily.land(landed_rows(t), full_comments(t).filter(F.col("likes").isNotNull()), opinions, stored, t.lex, NOW, dim=128)
     if done.errors:
         raise RuntimeError(done.errors)
     return done.log
