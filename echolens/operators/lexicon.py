@@ -45,22 +45,34 @@ class Lexicon:
     def keywords_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.keywords), "l3 string, keyword string, pos int")
 
-    def scored_labels(self) -> Column:
-        """Literal array of (rank, l3, words) for the labels that compete by keyword, in dictionary order."""
-        order: dict[str, list[str]] = {}
-        for l3, keyword, _ in self.keywords:
-            if l3 not in self.fallback and keyword:
-                order.setdefault(l3, []).append(keyword)
+    def competing(self) -> list[tuple[str, dict[str, int]]]:
+        """Labels that compete by keyword, in dictionary order, each with the weight of its words.
+
+        A word's weight is its length, counted once per time the dictionary lists it.
+        """
+        weights: dict[str, dict[str, int]] = {}
+        for l3, word, _ in self.keywords:
+            if l3 not in self.fallback and word:
+                of_label = weights.setdefault(l3, {})
+                of_label[word] = of_label.get(word, 0) + len(word)
         ords = {t[3]: t[0] for t in self.taxonomy}
-        # A label outside the taxonomy ranks after those inside, in the order met.
+        # A label outside the taxonomy comes after those inside, in the order met.
+        return sorted(weights.items(), key=lambda item: ords.get(item[0], MAX_LEAVES))
+
+    def scored_labels(self) -> Column:
+        """Literal array of (rank, l3, words) of the competing labels; a word appears once per listing."""
         labels = [
-            {"rank": -ords.get(l3, MAX_LEAVES + i), "l3": l3, "words": words}
-            for i, (l3, words) in enumerate(order.items())
+            {"rank": -rank, "l3": l3, "words": [w for w, n in words.items() for _ in range(n // len(w))]}
+            for rank, (l3, words) in enumerate(self.competing())
         ]
         return F.from_json(
             F.lit(json.dumps(labels, ensure_ascii=False)), "array<struct<rank: int, l3: string, words: array<string>>>"
         )
 
+    def competing_words(self) -> list[str]:
+        """Words in the order of ``keyword_rows``."""
+        return [k for l3, k, _ in self.keywords if l3 not in self.fallback and k]
+
     def keyword_rows(self) -> Column:
         rows = [{"l3": l3, "keyword": k, "pos": p} for l3, k, p in self.keywords if l3 not in self.fallback and k]
         return F.from_json(

@@ -88,6 +88,20 @@ def test_random_phrases_match_brute_force(spark, lex):
     assert [got[i] for i in range(len(phrases))] == [brute(p, lex) for p in phrases]
 
 
+def test_long_dictionaries_give_the_same_labels(spark, lex, monkeypatch):
+    rng = random.Random(6)
+    bits = ["打击", "手感", "连招", "连击手", "菜单", "按钮", "卡", "卡总", "甲乙", "推荐", "神", " ", "xxxx", "一二三四五六", "😀"]
+    phrases = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(400)] + [None]
+    rows = spark.createDataFrame(list(enumerate(phrases)), "i int, phrase string").repartition(5)
+    short_hits = sorted(map(tuple, matching.keyword_hits(rows, "phrase", lex).select("i", "l3", "keyword", "pos").collect()))
+    monkeypatch.setattr(matching, "FEW_KEYWORDS", 0)
+    got = {r["i"]: r["l3"] for r in matching.with_label(rows, "phrase", lex).collect()}
+    assert [got[i] for i in range(len(phrases))] == [brute(p, lex) for p in phrases]
+    kept = matching.with_label(rows, "phrase", lex, only_matched=True)
+    assert kept.count() == sum(brute(p, lex) is not None for p in phrases)
+    assert sorted(map(tuple, matching.keyword_hits(rows, "phrase", lex).select("i", "l3", "keyword", "pos").collect())) == short_hits
+
+
 def test_paths_and_unmatched_rows(spark, lex):
     rows = spark.createDataFrame([("按钮",), ("甲乙",), ("x" * 40,)], "phrase string")
     got = {r["phrase"]: r["full_path"] for r in matching.labelled(rows, "phrase", lex).collect()}
