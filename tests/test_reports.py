@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from echolens.plans import catalog
 
 from .twins import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = catalog.queries(), catalog.oracle_sql()  # the corpus operators have tests of their own
 
 
 @pytest.fixture(scope="module")
