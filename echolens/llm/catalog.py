@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, toxicity
 
 _QUERIES = {
+    "op5_toxicity": toxicity.op5,
     "op10_benchmark_decontamination": decontaminate.op10,
 }
 _SQL = {
