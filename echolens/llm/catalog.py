@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, toxicity
+from . import bpe, decontaminate, toxicity
 
 _QUERIES = {
+    "op4_bpe": bpe.op4,
     "op5_toxicity": toxicity.op5,
     "op10_benchmark_decontamination": decontaminate.op10,
 }
