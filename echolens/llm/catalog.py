@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, toxicity
+from . import bpe, decontaminate, packed_ids, token_counts, toxicity
 
 _QUERIES = {
+    "op2_token_counts": token_counts.op2,
+    "op3_packed_ids": packed_ids.op3,
     "op4_bpe": bpe.op4,
     "op5_toxicity": toxicity.op5,
     "op10_benchmark_decontamination": decontaminate.op10,
