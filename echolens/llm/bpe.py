@@ -303,14 +303,16 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     names = [f.split()[0] for f in DIGESTS.split(", ")]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
     at, schema = docs.columns.index(text), StructType([*docs.schema.fields, *_parse_datatype_string(DIGESTS).fields])
-    keep = [i for i, c in enumerate(docs.columns)]
+    columns = [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Digester(tokenizer(path))
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             n, a, b = zip(*map(work, batch.column(at).to_pylist()))
             made = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=[*docs.columns, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=columns)
 
     return docs.mapInArrow(run, schema)
 
