@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, packed_ids, token_counts, toxicity
+from . import bpe, chat_format, decontaminate, packed_ids, token_counts, toxicity
 
 _QUERIES = {
+    "op1_chat_format": chat_format.op1,
     "op2_token_counts": token_counts.op2,
     "op3_packed_ids": packed_ids.op3,
     "op4_bpe": bpe.op4,
@@ -12,6 +13,7 @@ _QUERIES = {
     "op10_benchmark_decontamination": decontaminate.op10,
 }
 _SQL = {
+    "op1_chat_format": chat_format.OP1_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
 }
 
