@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .frames import table
 
 CHUNK = 512
-CACHE = 300_000  # pieces remembered per task
+CACHE = 150_000  # pieces or words remembered per task, and as many of the generation before
 LONG_PIECE = 64  # longer pieces are not remembered
 
 
@@ -323,31 +323,41 @@ class Digester:
     def __init__(self, tok: Tokenizer):
         self.tok = tok
         self.joined: dict[str, tuple[str, str]] = {}
+        self.before: dict[str, tuple[str, str]] = {}
 
-    def _join(self, piece: str) -> tuple[str, str]:
-        if len(piece) > LONG_PIECE:
-            ids = list(self.tok.piece(piece))
-            return " ".join(map(str, ids)), self.tok.decode(ids)
-        tokens = self.tok.short(piece)
-        if len(self.joined) >= CACHE:
-            self.joined.clear()
-        got = self.joined[piece] = " ".join([str(self.tok.vocab[t]) for t in tokens]), " ".join(tokens)
+    def _join(self, word: str) -> tuple[str, str]:
+        """Ids and decoded form of a run without white space, which may hold several pieces."""
+        got = self.before.get(word)
+        if got is None:
+            ids: list[int] = []
+            for piece in self.tok.pieces.findall(word):
+                ids += [self.tok.vocab[t] for t in self.tok.short(piece)] if len(piece) <= LONG_PIECE else self.tok.piece(piece)
+            got = " ".join(map(str, ids)), " ".join([self.tok.tokens[i] for i in ids])
+        if len(word) <= LONG_PIECE:
+            if len(self.joined) >= CACHE:  # the oldest half goes; what is still in use moves up
+                self.before, self.joined = self.joined, {}
+            self.joined[word] = got
         return got
 
+    def _words(self, text: str) -> list[str]:
+        """Runs without white space: no piece crosses them. Four control characters are blank to split() only."""
+        return self.tok.pieces.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
     def __call__(self, text: str | None) -> tuple[int, str, str]:
         tok, text = self.tok, text or ""
         if tok.byte_decoder:  # characters may straddle tokens
             ids = list(tok.encode(text))
             return len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(tok.decode(ids).encode()).hexdigest()
         rows: list[tuple[str, str]] = []
-        get, join = self.joined.get, self._join
+        join = self._join
         for part, special in tok.segments(text):
             if special:
                 rows.append((str(tok.special[part]), part))
             else:
-                rows += [get(p) or join(p) for p in tok.pieces.findall(tok.normalise(part))]
-        ids = " ".join([r[0] for r in rows if r[0]])
-        decoded = " ".join([r[1] for r in rows if r[0]])
+                get = self.joined.get
+                rows += [get(p) or join(p) for p in self._words(tok.normalise(part))]
+        ids = " ".join([i for i, _ in rows if i])
+        decoded = " ".join([d for i, d in rows if i])
         return ids.count(" ") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
 
 

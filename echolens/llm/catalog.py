@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, langid, packed_ids, token_counts, toxicity, vector_dedup
+from . import bpe, chat_format, decontaminate, langid, packed_ids, parity_join, token_counts, toxicity, vector_dedup
 
 _QUERIES = {
     "op1_chat_format": chat_format.op1,
@@ -11,10 +11,12 @@ _QUERIES = {
     "op4_bpe": bpe.op4,
     "op5_toxicity": toxicity.op5,
     "op6_language_id": langid.op6,
+    "op7_parity_join": parity_join.op7,
     "op9_vector_dedup": vector_dedup.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
 }
 _SQL = {
+    "op7_parity_join": parity_join.OP7_SQL,
     "op9_vector_dedup": vector_dedup.OP9_SQL,
     "op1_chat_format": chat_format.OP1_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,

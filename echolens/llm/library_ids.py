@@ -1,14 +1,16 @@
-"""Token ids by the tokenizers library, with the ids of common pieces remembered per task.
+"""Token ids by the tokenizers library, with the ids of common units remembered per task.
 
-A byte-level BPE works piece by piece, so the ids of a text are the ids of its pieces in a row. Each distinct piece
-goes through the library once (until the memory of ``CACHE`` pieces is full and starts anew); a text that holds a
-special string, or a tokenizer that is not plain byte-level BPE, is encoded by the library as a whole.
+A byte-level BPE works piece by piece, so the ids of a text are the ids of any units cut at piece boundaries, in a
+row. Each distinct unit goes through the library once while it stays in a memory of two generations;
+a text that holds a special string, or a tokenizer that is not plain byte-level BPE, is encoded by the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +18,8 @@ import regex
 
 from .bpe import BYTE_LEVEL_PATTERN
 
-CACHE = 300_000
-LONG_PIECE = 64
+CACHE = 200_000  # units remembered, and as many of the generation before
+SPACED = re.compile(r"\s ")
 
 
 class LibraryEncoder:
@@ -37,31 +39,69 @@ class LibraryEncoder:
         white = r"\p{White_Space}"
         pattern = BYTE_LEVEL_PATTERN.replace(r"[^\s", rf"[^{white}").replace(r"\s", white).replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(pattern) if plain else None
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.widths = None
+        if plain:  # a token of a byte-level vocabulary has one character per byte
+            self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.special = [] if special_is_text else [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        got = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, got)}
+        self.before: dict[str, bytes] = {}
+
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units that begin with a space: joined, one library call encodes them all, and the tokens' byte
+        lengths tell where each unit ends. Other units (few) are encoded one by one."""
+        joined = [u for u in units if u[:1] == " " and u[1:2] != " "] if self.widths is not None else []
+        out = {}
+        if joined:
+            ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(u.encode()) for u in joined])
+            cut = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * 4
+            raw, low = ids.tobytes(), 0
+            for u, high in zip(joined, cut.tolist()):
+                out[u] = raw[low:high]
+                low = high
+        rest = [u for u in units if u not in out]
+        got = self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        out.update((u, array("I", e.ids).tobytes()) for u, e in zip(rest, got))
+        return out
+
+    def units(self, text: str) -> list[str]:
+        """The text cut where a piece surely begins: before each space, if none follows other white space."""
+        if SPACED.search(text):
+            return self.pieces.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers in the machine's (little-endian) order."""
+        cut = [None if self.pieces is None or any(s in (t or "") for s in self.special) else self.units(t or "") for t in texts]
+        if len(self.known) > CACHE:  # the oldest half goes; what is still in use moves up
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        missing = {u for units in cut if units for u in units if u not in known}
+        if missing:
+            known.update({u: before[u] for u in missing if u in before})
+            known.update(self._learn([u for u in missing if u not in before]))
+        whole = lambda t: array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
+        return [whole(t) if units is None else b"".join([known[u] for u in units]) for t, units in zip(texts, cut)]
 
     def __call__(self, text: str | None) -> bytes:
-        """Ids of one text as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if self.pieces is None or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = self.pieces.findall(text)
-        known = self.known
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = set(pieces)
-            learned = self._learn(list(new))
-            long = {p: ids for p, ids in learned.items() if len(p) > LONG_PIECE}
-            if long or len(new) > CACHE // 2:  # not worth remembering
-                return b"".join([learned[p] if p in learned else known[p] for p in pieces])
-            known.update(learned)
-        return b"".join([known[p] for p in pieces])
+        return self.many([text])[0]
+
+
+def groups(column, limit: int = 1 << 20):
+    """Texts of an Arrow column in groups of about ``limit`` characters: (first row, texts)."""
+    low, held, size = 0, [], 0
+    for value in column:
+        text = value.as_py()
+        held.append(text)
+        size += len(text or "")
+        if size >= limit:
+            yield low, held
+            low, held, size = low + len(held), [], 0
+    if held:
+        yield low, held
 
 
 @lru_cache(maxsize=4)

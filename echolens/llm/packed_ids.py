@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .frames import table, written
-from .library_ids import byte_bpe, encoder
+from .library_ids import byte_bpe, encoder, groups
 
 BLOCK_IDS = 1 << 16
 FORMAT = "shard int, block int, bits int, count int, keys array<bigint>, ends array<int>, payload binary"
@@ -85,14 +85,14 @@ def write(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: st
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in FORMAT.split(", ")])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = encode(batch.column(1)[i].as_py()) + end
-                if keys and ends[-1] + len(ids) // 4 > BLOCK_IDS:
-                    yield flush()
-                    keys, parts, ends, block = [], [], [0], block + 1
-                keys.append(batch.column(0)[i].as_py())
-                parts.append(ids)
-                ends.append(ends[-1] + len(ids) // 4)
+            for low, texts in groups(batch.column(1)):
+                for i, ids in enumerate(encode.many(texts), low):
+                    if keys and ends[-1] + len(ids) // 4 + 1 > BLOCK_IDS:
+                        yield flush()
+                        keys, parts, ends, block = [], [], [0], block + 1
+                    keys.append(batch.column(0)[i].as_py())
+                    parts += ids, end
+                    ends.append(ends[-1] + len(ids) // 4 + 1)
         if keys:
             yield flush()
 

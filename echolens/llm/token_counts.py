@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .frames import table, written
-from .library_ids import byte_bpe, encoder
+from .library_ids import byte_bpe, encoder, groups
 
 BLOCK_IDS = 1 << 18
 STRETCH = 1024
@@ -48,8 +48,9 @@ def write_flat(docs: DataFrame, path: str, separator: int, key: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for value in batch.column(1):
-                held += np.frombuffer(encode(value.as_py()), "<u4").astype(kind).tobytes() + end
+            for _, texts in groups(batch.column(1)):
+                for ids in encode.many(texts):
+                    held += np.frombuffer(ids, "<u4").astype(kind).tobytes() + end
                 while len(held) >= size:
                     yield row(bytes(held[:size]), None)
                     del held[:size]
