@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, langid, packed_ids, parity_join, token_counts, toxicity, vector_dedup
+from . import bpe, chat_format, decontaminate, langid, packed_ids, parity_join, suffix_dedup, token_counts, toxicity, vector_dedup
 
 _QUERIES = {
     "op1_chat_format": chat_format.op1,
@@ -12,10 +12,12 @@ _QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_language_id": langid.op6,
     "op7_parity_join": parity_join.op7,
+    "op8_suffix_dedup": suffix_dedup.op8,
     "op9_vector_dedup": vector_dedup.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
 }
 _SQL = {
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op7_parity_join": parity_join.OP7_SQL,
     "op9_vector_dedup": vector_dedup.OP9_SQL,
     "op1_chat_format": chat_format.OP1_SQL,
