@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, chat_format, decontaminate, langid, packed_ids, parity_join, suffix_dedup, token_counts, toxicity, vector_dedup
 
 _QUERIES = {
@@ -26,7 +28,7 @@ _SQL = {
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {**_QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

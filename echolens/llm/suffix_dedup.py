@@ -453,11 +453,11 @@ def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[at], reach[np.append(at[1:], len(low)) - 1]
 
 
-ADDED = "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:bigint,stop:bigint>>"
+ADDED = "kept binary, kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:bigint,stop:bigint>>"
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``kept`` (remaining UTF-8 bytes), ``n_bytes``, ``n_removed``, ``n_spans``, ``removed``."""
+    """All columns of ``docs`` plus ``kept`` (remaining bytes), ``kept_text`` (without characters cut in two), ``n_bytes``, ``n_removed``, ``n_spans``, ``removed``."""
     names = [f.name for f in _parse_datatype_string(ADDED).fields]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in [*names, "_doc", "_sign", "_starts", "_ends"]])
     docs = docs.withColumns({"_doc": F.col(key).cast("bigint"), "_sign": F.xxhash64(text)})
@@ -483,12 +483,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            made: list[list] = [[], [], [], [], []]
+            made: list[list] = [[] for _ in names]
             for value, starts, ends in zip(batch.column(at), batch.column(first).to_pylist(), batch.column(last).to_pylist()):
                 raw = value.as_buffer().to_pybytes() if value.is_valid else b""
                 starts, ends = starts or [], ends or []
                 kept = b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)]))
-                for to, x in zip(made, (kept, len(raw), len(raw) - len(kept), len(starts), [{"start": a, "stop": b} for a, b in zip(starts, ends)])):
+                for to, x in zip(made, (kept, kept.decode("utf-8", "ignore") if value.is_valid else None, len(raw), len(raw) - len(kept), len(starts), [{"start": a, "stop": b} for a, b in zip(starts, ends)])):
                     to.append(x)
             added = [pa.array(x, arrow.field(n).type) for x, n in zip(made, names)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *added], schema=arrow)
