@@ -86,6 +86,14 @@ def canonical_role(role: Column) -> Column:
     return F.coalesce(names[F.lower(role)], role, F.lit(""))
 
 
+def _under(array: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{array}[]."), k))
+
+
+def _array_turns(turns: Column, role: str, text: str) -> Column:
+    return F.transform(turns, lambda t: F.struct(canonical_role(t[role]).alias("role"), t[text].alias("text")))
+
+
 def record_turns(df: DataFrame, record: str = "record", layouts=LAYOUTS) -> DataFrame:
     """JSON records of any declared layout: adds ``layout`` and ``turns`` (array of role and text)."""
     layouts = [x for x in layouts if x.single or x.array]
@@ -96,7 +104,7 @@ def record_turns(df: DataFrame, record: str = "record", layouts=LAYOUTS) -> Data
     fields = [f"`{p}` string" for p in sorted({p for x in layouts for _, p in x.single})]
     fields += [f"`{a}` array<struct<{','.join(f'`{k}`:string' for k in sorted(keys))}>>" for a, keys in sorted(arrays.items())]
     text, keys = F.col(record), F.expr(f"json_object_keys(`{record}`)")
-    nested = [F.coalesce(F.transform(F.json_object_keys(F.get_json_object(text, f"$.{a}[0]")), lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)),
+    nested = [F.coalesce(_under(a, F.json_object_keys(F.get_json_object(text, f"$.{a}[0]"))),
                          F.when(F.array_contains(keys, a), F.array(F.lit(a))), F.array().cast("array<string>")) for a in sorted(arrays)]
     paths = F.concat(F.coalesce(F.filter(keys, lambda k: ~k.isin(*arrays)), F.array().cast("array<string>")), *nested)
     mark = F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
@@ -105,8 +113,7 @@ def record_turns(df: DataFrame, record: str = "record", layouts=LAYOUTS) -> Data
     turns = F.lit(None).cast(f"array<{TURN}>")
     for x in layouts:
         if x.array:
-            a, role, value = x.array
-            made = F.transform(F.col(f"_parsed.{a}"), lambda t, role=role, value=value: F.struct(canonical_role(t[role]).alias("role"), t[value].alias("text")))
+            made = _array_turns(F.col(f"_parsed.{x.array[0]}"), *x.array[1:])
         else:
             made = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"_parsed.{p}").alias("text")) for r, p in x.single])
             made = F.filter(made, lambda t: ~((t["role"] == "user") & (F.coalesce(t["text"], F.lit("")) == ""))) if x.name == "instruction_input" else made

@@ -20,6 +20,7 @@ from .bpe import BYTE_LEVEL_PATTERN
 
 CACHE = 200_000  # units remembered, and as many of the generation before
 SPACED = re.compile(r"\s ")
+BLANK_SPACE = [chr(c) + " " for c in (0x20, *range(0x09, 0x0E), *range(0x1C, 0x20))]  # the same for ASCII
 
 
 class LibraryEncoder:
@@ -47,44 +48,60 @@ class LibraryEncoder:
         self.special = [] if special_is_text else [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units that begin with a space: joined, one library call encodes them all, and the tokens' byte
-        lengths tell where each unit ends. Other units (few) are encoded one by one."""
-        joined = [u for u in units if u[:1] == " " and u[1:2] != " "] if self.widths is not None else []
-        out = {}
-        if joined:
-            ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(u.encode()) for u in joined])
-            cut = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * 4
-            raw, low = ids.tobytes(), 0
-            for u, high in zip(joined, cut.tolist()):
-                out[u] = raw[low:high]
-                low = high
-        rest = [u for u in units if u not in out]
-        got = self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else []
-        out.update((u, array("I", e.ids).tobytes()) for u, e in zip(rest, got))
-        return out
-
-    def units(self, text: str) -> list[str]:
-        """The text cut where a piece surely begins: before each space, if none follows other white space."""
-        if SPACED.search(text):
-            return self.pieces.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        self.odd: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words as they stand after a space: joined, one library call encodes them all, and the tokens' byte
+        lengths tell where each ends."""
+        if not words:
+            return
+        ids = np.frombuffer(self._whole(" " + " ".join(words)), "<u4")
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cut = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * 4
+        raw, low = ids.tobytes(), 0
+        for w, high in zip(words, cut.tolist()):
+            self.known[w] = raw[low:high]
+            low = high
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def words(self, text: str) -> list[str] | None:
+        """The text cut at spaces, if each space surely begins a piece: none follows white space, none ends the text."""
+        if self.pieces is None or any(s in text for s in self.special):
+            return None
+        blank = any(b in text for b in BLANK_SPACE) if text.isascii() else SPACED.search(text)
+        return None if blank or text[:1] == " " or text[-1:].isspace() else text.split(" ")
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers in the machine's (little-endian) order."""
-        cut = [None if self.pieces is None or any(s in (t or "") for s in self.special) else self.units(t or "") for t in texts]
+        cut = [self.words(t) if t else [] for t in texts]
         if len(self.known) > CACHE:  # the oldest half goes; what is still in use moves up
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
-        missing = {u for units in cut if units for u in units if u not in known}
+        missing = {w for words in cut if words for w in words[1:] if w not in known}
         if missing:
-            known.update({u: before[u] for u in missing if u in before})
-            known.update(self._learn([u for u in missing if u not in before]))
-        whole = lambda t: array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
-        return [whole(t) if units is None else b"".join([known[u] for u in units]) for t, units in zip(texts, cut)]
+            known.update({w: before[w] for w in missing if w in before})
+            self._learn([w for w in missing if w not in before])
+        out = []
+        for text, words in zip(texts, cut):
+            if words is None:
+                out.append(self._pieced(text))
+            else:
+                out.append(self._whole(words[0]) + b"".join([known[w] for w in words[1:]]) if words else b"")
+        return out
+
+    def _pieced(self, text: str) -> bytes:
+        """A text with runs of white space or special strings: piece by piece, or by the library as a whole."""
+        if self.pieces is None or any(s in text for s in self.special):
+            return self._whole(text)
+        pieces, got = self.pieces.findall(text), self.odd
+        new = list(set(pieces).difference(got))
+        if len(got) + len(new) > CACHE:
+            got.clear()
+            new = list(set(pieces))
+        got.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
+        return b"".join([got[p] for p in pieces])
 
     def __call__(self, text: str | None) -> bytes:
         return self.many([text])[0]
