@@ -15,10 +15,14 @@ is among the first d + 1 of either. These d + 1 parts are the document's join ke
 shingles last (frequency from a counting sketch over all documents; it steers cost, never results), so common passages
 seldom become keys.
 
-**Verification.** Per key the smallest document is the pivot; each member is compared with its pivots on full shingle
-sets. What is linked forms components; only members of one key that are in different components are then compared with
-each other. So each candidate pair is either compared or already connected, and a group of copies costs its size, not
-its square. Documents with equal sets are one class from the start.
+**Hamming test.** A second sketch of ``BITS`` parity bits per document tests every candidate pair inside the join: if
+more bits differ than shingles may, the pair is dropped without its sets.
+
+**Verification.** Each document is first compared, on full shingle sets, with one pivot: of the documents it shares a
+key with, the one that shares most keys with others (in a group of near copies, the original). What is linked forms
+components; then all members of one key that are in different components are compared with each other. So each
+candidate pair is either compared or already connected, and a group of copies costs its size, not its square.
+Documents with equal sets are one class from the start.
 
 Cases: null, empty and word-less text has an empty set and links with nothing; with fewer than five words the whole
 sequence is the one shingle; repeated documents are one class; rows that share a doc_id are one node of the graph; a
@@ -42,6 +46,7 @@ from .ragged import mix, shingle_sets
 K, PERCENT = 5, 80
 SMALL = 64
 CELL_BITS, SEGMENT = 21, 1 << 15
+BITS = 2048
 
 
 def common_cells(texts: DataFrame) -> np.ndarray:
@@ -99,19 +104,26 @@ def join_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-SKETCH = "doc bigint, n int, f1 bigint, f2 bigint"
+SIZES = "doc bigint, n int, f1 bigint, f2 bigint, bits array<bigint>"
+
+
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the number of shingles whose hash falls on i, as 64-bit words."""
+    count = np.bincount((mix(s ^ np.uint64(0x27BB2EE6)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((count & 1).astype(np.uint8)).view("<i8")
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, set size, 128-bit digest of the set)."""
+    """(doc, set size, 128-bit digest of the set, parity bits)."""
     for batch in batches:
-        n, f1, f2 = [], [], []
+        n, f1, f2, bits = [], [], [], []
         for s in shingle_sets(batch.column(1), K):
             n.append(len(s))
             f1.append(mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0))
             f2.append(mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) if len(s) else np.uint64(0))
+            bits.append(parity_bits(s))
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), as_long(f1), as_long(f2)], names=["doc", "n", "f1", "f2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), as_long(f1), as_long(f2), pa.array(bits, pa.list_(pa.int64()))], names=["doc", "n", "f1", "f2", "bits"])
 
 
 def keys_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
@@ -185,57 +197,60 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(test, "a bigint, b bigint")
 
 
+def may_link(x: str, y: str):
+    """Size and Hamming test of two rows (n, least, bits): false only for pairs that cannot link."""
+    sizes = (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.least")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.least"))
+    differ = F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
+    # A key with several texts (least < n) has the bits of one of them only.
+    return sizes & ((9 * differ <= F.col(f"{x}.n") + F.col(f"{y}.n")) | (F.col(f"{x}.least") < F.col(f"{x}.n")) | (F.col(f"{y}.least") < F.col(f"{y}.n")))
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_shingles, component) of every row; component is the smallest key reachable by links."""
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
-    sizes = written(texts.mapInArrow(_sizes, SKETCH), "sets")
+    sizes = written(texts.mapInArrow(_sizes, SIZES), "sets")
     texts = texts.filter("doc IS NOT NULL")
     live = sizes.filter("doc IS NOT NULL AND n > 0")
     same = live.groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"))
-    # A doc_id with several different texts has several classes; its edges (doc, rep) connect them.
-    known = written(live.join(same, ["f1", "f2", "n"]).select("doc", "n", "rep").distinct(), "classes")
-    equal = known.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    known = live.select("doc", "n", "f1", "f2").join(same, ["f1", "f2", "n"]).select("doc", F.struct("f1", "f2", "n").alias("class"), "rep")
+    # A doc_id with several different texts stands for itself; its edges (doc, rep) connect its classes.
+    several = F.min("class") != F.max("class")
+    nodes = known.groupBy("doc").agg(F.when(several, F.col("doc")).otherwise(F.min("rep")).alias("rep"), F.collect_set("rep").alias("reps"), several.alias("several"))
+    nodes = written(nodes, "nodes")
+    equal = nodes.select(F.col("doc").alias("a"), F.explode("reps").alias("b")).filter("a <> b")
+    stands = nodes.filter("doc = rep").select("doc", "several")
+    sketch = live.select("doc", "n", "bits").join(stands, "doc").groupBy("doc").agg(
+        F.max("n").alias("n"), F.when(F.first("several"), F.lit(0)).otherwise(F.max("n")).alias("least"), F.first("bits").alias("bits"))
 
     keys = keys_of(texts, common_cells(texts.select("text")))
+    shared = keys.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1").select("key", "doc")
+    members = written(shared.join(nodes.select("doc", "rep"), "doc").select("key", F.col("rep").alias("doc")).distinct(), "members")
     of_key = Window.partitionBy("key")
-    shared = keys.withColumn("pivot", F.min("doc").over(of_key)).filter("pivot < doc")
-    shared = written(shared.select("key", "doc", "pivot"), "shared-keys")
-
-    alone = F.min("rep") == F.max("rep")  # a key with several texts stands for itself
-    one = known.groupBy("doc").agg(F.when(alone, F.min("rep")).otherwise(F.col("doc")).alias("rep"), F.max("n").alias("n"), F.min("n").alias("least"))
-    one = written(one, "nodes")
-    pairs = shared.select("doc", "pivot").distinct()
-    pairs = _sized(pairs.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), one)
-    pairs = written(pairs, "candidates")
-    links = written(verified(texts, pairs).unionByName(equal), "links")
+    score = members.withColumn("many", F.count("*").over(of_key)).groupBy("doc").agg(F.sum("many").alias("score"))
+    ranked = members.join(score, "doc").withColumn("pivot", F.max(F.struct("score", (-F.col("doc")).alias("doc"))).over(of_key))
+    ranked = ranked.filter("pivot.doc <> -doc").groupBy("doc").agg(F.max("pivot").alias("pivot"))
+    first = written(ranked.select(F.col("doc").alias("a"), (-F.col("pivot.doc")).alias("b")), "pivots")
+    sketch = written(sketch.join(members.select("doc").distinct(), "doc", "left_semi"), "sketches")
+    x, y = sketch.select(F.col("doc").alias("a"), F.struct("n", "least", "bits").alias("x")), sketch.select(F.col("doc").alias("b"), F.struct("n", "least", "bits").alias("y"))
+    pairs = first.join(x, "a").join(y, "b").filter(may_link("x", "y")).select("a", "b")
+    links = written(verified(texts, written(pairs, "candidates")).unionByName(equal), "links")
     group = written(components(links), "components")
 
     # Members of one key that are still apart.
-    member = shared.select("key", "doc").unionByName(shared.select("key", F.col("pivot").alias("doc")).distinct())
-    placed = member.join(one, "doc").select("key", "rep", "n", "least").distinct()
-    placed = placed.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = written(placed.join(apart, "key"), "apart")
+    left = written(placed.join(apart, "key").join(sketch, "doc"), "apart")
     x, y = left.alias("x"), left.alias("y")
-    fits = (5 * F.col("x.n") >= 4 * F.col("y.least")) & (5 * F.col("y.n") >= 4 * F.col("x.least"))
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits)
-    more = more.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "residual")
-    further = written(verified(texts, more), "more-links")
-    group = components(links.unionByName(further))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y"))
+    more = more.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "residual")
+    group = components(links.unionByName(written(verified(texts, more), "more-links")))
 
     per_row = sizes.select("doc", F.col("n").cast("bigint").alias("n_shingles"))
     return per_row.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def _sized(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """Candidate pairs of different classes whose sizes allow a link, as pairs of class representatives."""
-    a = one.select(F.col("doc").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("least").alias("la"))
-    b = one.select(F.col("doc").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("least").alias("lb"))
-    both = pairs.join(a, "a").join(b, "b").filter("ra <> rb AND 5 * na >= 4 * lb AND 5 * nb >= 4 * la")
-    return both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-
-
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = similar_groups(table(spark, folder, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
