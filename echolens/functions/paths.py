@@ -12,7 +12,7 @@ def segment(path: Column, level: str) -> Column:
         return F.element_at(parts, 1)
     if level == "L2":
         return F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(2))).otherwise(F.element_at(parts, 1))
-    return F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 3, 1000), "/")).otherwise(F.element_at(parts, -1))
+    return F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "/")).otherwise(F.element_at(parts, -1))
 
 
 def path_of(l1: Column, l2: Column, l3: Column) -> Column:

@@ -42,6 +42,11 @@ class Lexicon:
     def taxonomy_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.taxonomy), "ord int, l1 string, l2 string, l3 string, is_fallback boolean")
 
+    def path_map(self) -> Column:
+        """Literal map from label to full path; a label that holds a slash already carries its second level."""
+        paths = {l3: f"{l1}/{l3}" if "/" in l3 else f"{l1}/{l2}/{l3}" for _, l1, l2, l3, _ in reversed(self.taxonomy)}
+        return F.from_json(F.lit(json.dumps(paths, ensure_ascii=False)), "map<string, string>")
+
     def keywords_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.keywords), "l3 string, keyword string, pos int")
 

@@ -17,7 +17,6 @@ except ImportError:
     ahocorasick = None
 
 from ..functions import fixed_values as fixed
-from ..functions.paths import path_dim
 from ..functions.text import has_any, let, strip
 from .lexicon import Lexicon
 
@@ -143,9 +142,8 @@ def keyword_hits(df: DataFrame, phrase: str, lex: Lexicon) -> DataFrame:
 
 
 def with_path(df: DataFrame, lex: Lexicon, label: str = "l3", path: str = "full_path") -> DataFrame:
-    """Label to full path through the taxonomy (a configuration table, broadcast on its size)."""
-    dim = path_dim(lex.taxonomy_df(df.sparkSession)).select(F.col("full_path").alias(path), F.col("l3").alias("_l3"))
-    return df.join(dim, F.col(label) == F.col("_l3"), "left").drop("_l3")
+    """Label to full path by a literal map (size checked by ``Lexicon``): no join, so no row moves for its label."""
+    return df.withColumn(path, F.try_element_at(lex.path_map(), F.col(label)))
 
 
 def labelled(df: DataFrame, phrase: str, lex: Lexicon, only_matched: bool = False) -> DataFrame:

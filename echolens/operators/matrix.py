@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fixed, values as v
 from ..functions.paths import level_column, path_dim, resolve_paths, segment
+from ..session import settled
 from .filters import parsed_list
 from .joins import with_comment
 from .metrics import top_game_ids
@@ -30,18 +31,20 @@ def topic_counts(
 
 
 def opinion_matrix(opinions: DataFrame, comments: DataFrame, targets: list[str], **options) -> DataFrame:
-    """A3: one row per topic, one zero-filled column per chosen target."""
+    """A3 for display: one row per topic, one zero-filled column per chosen target."""
     cells = topic_counts(opinions, comments, targets=targets, **options)
     return cells.groupBy("topic").pivot("target_id", targets).agg(F.sum("n")).fillna(0, targets)
 
 
-def long_matrix(matrix: DataFrame, targets: list[str]) -> DataFrame:
-    """A3 in long form: (topic, target_id, n)."""
-    cells = F.array(*[F.struct(F.lit(t).alias("target_id"), F.col(f"`{t}`").alias("n")) for t in targets])
-    seen = cells if targets else F.array()
-    long = matrix.select("topic", F.inline(seen))
-    # A target without any counted opinion has no column in the matrix.
-    return long.withColumn("_total", F.sum("n").over(Window.partitionBy("target_id"))).filter("_total > 0").drop("_total")
+def filled(cells: DataFrame) -> DataFrame:
+    """A3 in long form: (topic, target_id, n) with zeros, for any number of targets.
+
+    The topics that occur (the taxonomy bounds them) are one scalar; each target explodes it.
+    """
+    held = settled(cells)
+    topics = held.agg(F.collect_set("topic").alias("topics")).scalar()
+    grid = held.select("target_id").distinct().select("target_id", F.explode(topics).alias("topic"))
+    return grid.join(held, ["topic", "target_id"], "left").select("topic", "target_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def shares(long: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import resolve_paths
 from ..session import small
+from .ordering import ranked
 
 SLICE = 1000
 
@@ -13,14 +14,16 @@ SLICE = 1000
 def nested_opinions(opinions: DataFrame, per_row: int = SLICE) -> DataFrame:
     """One row per comment with its opinions in id order.
 
-    A comment with more than ``per_row`` opinions is spread over several rows (``slice`` 0, 1, ...), so no
-    array and no task grows with a single comment; every opinion is in exactly one slice.
+    A comment with more than ``per_row`` opinions is spread over several rows (``slice`` 0, 1, ...) by rank, so no
+    array and no task grows with a single comment; slices in order, and the opinions in each, are in id order.
     """
-    large = opinions.groupBy("comment_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > per_row)
-    spread = F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / per_row)), F.lit(0))
+    large = opinions.groupBy("comment_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > per_row).select("comment_id")
+    many = opinions.join(small(large), "comment_id", "left_semi").select("comment_id", "id")
+    rank = ranked(many, ["comment_id"], [F.col("id")], "_rank")
+    place = rank.select("id", F.floor((F.col("_rank") - 1) / per_row).alias("slice"))
     item = F.struct("id", F.col("full_path").alias("path"), "sentiment", "quote")
     return (
-        opinions.join(small(large), "comment_id", "left").withColumn("slice", spread)
+        opinions.join(place, "id", "left").withColumn("slice", F.coalesce("slice", F.lit(0)))
         .repartition("comment_id", "slice")  # not by comment alone, which the join may have left behind
         .groupBy("comment_id", "slice")
         .agg(F.sort_array(F.collect_list(item)).alias("opinions"))

@@ -50,7 +50,9 @@ def scored(vectors: DataFrame, query: list[float], top: int, vector: str = "vect
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep)), pa.array(scores[keep])], names=["comment_id", "score"])
 
-    usable = vectors.filter(F.size(vector) == q.size).select(F.col(id).cast("bigint").alias("comment_id"), vector)
+    same = F.assert_true(F.size(vector) == q.size, F.lit("a vector and the query differ in length: more than one space"))
+    checked = F.when(same.isNull(), F.col(vector)).alias(vector)  # assert_true is null or fails
+    usable = vectors.select(F.col(id).cast("bigint").alias("comment_id"), checked)
     return usable.mapInArrow(best, "comment_id bigint, score double")
 
 
@@ -60,7 +62,8 @@ def semantic_search(
     """V2: the ``top`` comments by cosine (vectors are stored normalised), score to 4 digits."""
     hits = scored(vectors, query, top).orderBy(F.desc("score"), "comment_id").limit(top)
     side = comments.select(F.col("id").alias("comment_id"), *columns)
-    return hits.join(side, "comment_id").withColumn("score", F.round("score", 4))
+    found = hits.join(side, "comment_id").orderBy(F.desc("score"), "comment_id")
+    return found.withColumn("score", F.round("score", 4))
 
 
 def centroids(labelled: DataFrame, label: str = "label", vector: str = "vector") -> DataFrame:
@@ -91,24 +94,31 @@ def cluster_shares(labelled: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("volume_ratio", F.round(F.col("hit_count") / total, 4))
 
 
-def anchored(opinions: DataFrame, comments: DataFrame, anchor: str, target: str | None = None, limit: int = 500) -> DataFrame:
-    """V4: opinions whose path holds the anchor, lowest ids first."""
+def anchored(opinions: DataFrame, comments: DataFrame, anchor: str, target: str | None = None, limit: int | None = None) -> DataFrame:
+    """V4: opinions whose path holds the anchor; with a limit the lowest ids only. A blank quote gets its comment's content."""
     rows = opinions.filter(F.contains("full_path", F.lit(anchor)))
     side = comments.filter(F.col("target_id") == target) if target else comments
-    joined = rows.join(side.select(F.col("id").alias("comment_id")), "comment_id", "left_semi")
-    return joined.orderBy("id").limit(limit)
+    text = side.select(F.col("id").alias("comment_id"), F.col("content").alias("_content"))
+    blank = F.trim(F.coalesce("quote", F.lit(""))) == ""
+    joined = rows.join(text, "comment_id").withColumn("quote", F.when(blank, F.col("_content")).otherwise(F.col("quote"))).drop("_content")
+    return joined if limit is None else joined.orderBy("id").limit(limit)
 
 
 def micro_topics(vectors: DataFrame, k: int = 5, rounds: int = 25, seed: int = 42, id: str = "id") -> DataFrame:
-    """V4: cosine k-means labels; with no more rows than clusters every row is its own cluster."""
-    rows = settled(vectors.filter(F.exists("vector", lambda x: x != 0)))  # read again in every round
+    """V4: cosine k-means labels; with no more rows than clusters every row is its own cluster.
+
+    A zero vector has no direction; such rows get label -1.
+    """
+    every = settled(vectors)  # read again in every round
+    some = F.exists("vector", lambda x: x != 0)
+    rows, none = every.filter(some), every.filter(~some).select(id, "vector", F.lit(-1).alias("label"))
     n = rows.limit(k + 1).count()
     if n <= k:
         order = Window.partitionBy().orderBy(id)  # at most k rows
-        return rows.withColumn("label", F.row_number().over(order) - 1).select(id, "vector", "label")
+        return rows.withColumn("label", F.row_number().over(order) - 1).select(id, "vector", "label").unionByName(none)
     features = rows.withColumn("features", array_to_vector("vector"))
     model = KMeans(k=k, maxIter=rounds, seed=seed, distanceMeasure="cosine", predictionCol="label").fit(features)
-    return model.transform(features).select(id, "vector", "label")
+    return model.transform(features).select(id, "vector", "label").unionByName(none)
 
 
 def assign(vectors: DataFrame, seeds: list[list[float]], vector: str = "vector") -> DataFrame:

@@ -115,13 +115,21 @@ def s5(t: Tables):
 
 
 @report("s6_keyword_mentions", """
-    SELECT k.l3, k.keyword, k.pos, count(c.id) AS n FROM kw k LEFT JOIN vc c ON contains(c.content, k.keyword)
+    WITH own AS (SELECT * FROM kw WHERE keyword <> l3 OR pos = 1),
+    k AS (SELECT * FROM own UNION ALL SELECT l3, l3, CAST(count(*) AS INT) FROM own GROUP BY l3)
+    SELECT k.l3, k.keyword, k.pos, count(c.id) AS n FROM k LEFT JOIN vc c ON contains(c.content, k.keyword)
     GROUP BY k.l3, k.keyword, k.pos""")
 def s6(t: Tables):
+    # As a file lists them: the label's own name is added by the reader.
+    listed: dict = {}
+    for l3, word, pos in t.lex.keywords:
+        if word != l3 or pos == 1:
+            listed.setdefault(l3, {"keywords": []})["keywords"].append(word)
+    entries = config.keyword_rows({"definitions": listed})
     # One conditional count per dictionary entry: a single scan, no join.
     cells = F.array(*[
         F.struct(F.lit(l3).alias("l3"), F.lit(k).alias("keyword"), F.lit(p).alias("pos"), F.count_if(F.contains("content", F.lit(k))).alias("n"))
-        for l3, k, p in t.lex.keywords])
+        for l3, k, p in entries])
     return t.vc.agg(cells.alias("cells")).select(F.inline("cells"))
 
 
@@ -160,7 +168,7 @@ def s8b(t: Tables):
 
 
 @report("s9_voice_documents", """
-    SELECT f.id, f.source_id, f.rating, f.topic, split_part(f.target_id, ':', 2) AS appid, json_extract_string(f.extra_meta, '$.name') AS game,
+    SELECT f.id, f.source_id, f.rating, f.topic, coalesce(nullif(json_extract_string(f.extra_json, '$.appid'), ''), split_part(f.target_id, ':', 2)) AS appid, json_extract_string(f.extra_meta, '$.name') AS game,
       strftime(f.posted_at, '%Y-%m-%d %H:%M:%S') AS posted_at, f.likes,
       CAST(json_extract_string(f.extra_json, '$.playtime_at_review') AS BIGINT) AS playtime_at_review,
       coalesce(CAST(json_extract_string(f.extra_json, '$.refunded') AS BOOLEAN), false) AS refunded,

@@ -151,6 +151,18 @@ def w11(t: Tables):
     return ordering.seeded_sample(t.vc.select("id", "target_id"), 500, 42)
 
 
+@report("w11_sample_checks", """
+    SELECT least(500, count(*)) AS n, least(500, count(*)) AS n_distinct, least(500, count(*)) AS n_known, CAST(0 AS BIGINT) AS n_moved FROM vc""")
+def w11_checks(t: Tables):
+    """A seeded sample has its size, no row twice, only rows of the table, and the same rows under another layout."""
+    rows = t.vc.select("id", "target_id")
+    one = ordering.seeded_sample(rows, 500, 42).select("id")
+    two = ordering.seeded_sample(rows.repartition(7, "target_id"), 500, 42).select(F.col("id"), F.lit(1).alias("again"))
+    seen = one.join(two, "id", "left").join(rows.select("id", F.lit(1).alias("known")), "id", "left")
+    return seen.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_distinct"), F.count("known").alias("n_known"),
+                    F.count_if(F.col("again").isNull()).alias("n_moved"))
+
+
 # ---- annotation
 
 @report("t1_match_labels", f"WITH {labels_sql('SELECT id, pos, phrase FROM vp')} SELECT id, pos, l3 FROM lab")
@@ -492,6 +504,15 @@ def v4b(t: Tables):
     return vectors.micro_topics(vectors.vectorise(rows, "quote", 128)).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@report("v4_micro_topic_coverage", """
+    SELECT count(*) AS n, count(DISTINCT o.id) AS n_opinions FROM vo o JOIN vc c ON c.id = o.comment_id WHERE contains(o.full_path, 'Combat')""")
+def v4c(t: Tables):
+    """Every anchored opinion gets one label."""
+    rows = vectors.anchored(t.vo, t.vc, "Combat").select("id", "quote")
+    labels = vectors.micro_topics(vectors.vectorise(rows, "quote", 128)).filter("label IS NOT NULL")
+    return labels.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_opinions"))
+
+
 CENTERS = """
     WITH u AS (SELECT comment_id, label, unnest(CAST(vector AS DOUBLE[])) AS x, generate_subscripts(vector, 1) AS i FROM ve),
     m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) + 1e-8 AS norm FROM m GROUP BY label),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import values as v
 from ..operators import audit, danmaku, filters, joins, matrix, metrics, nesting, trends, words
 from .registry import report
-from .tables import Tables, labels_sql, targets_of
+from .tables import Tables, labels_sql
 from .reports_core import PARSED
 
 OVERVIEW = """
@@ -50,8 +50,7 @@ def cells_sql(level: str, extra: str = "") -> str:
 
 
 def long(t: Tables, level: str, **options):
-    chosen = targets_of(t)
-    return matrix.long_matrix(matrix.opinion_matrix(t.vo, t.vc, chosen, level=level, meta_l1="Meta", **options), chosen)
+    return matrix.filled(matrix.topic_counts(t.vo, t.vc, level, meta_l1="Meta", **options))
 
 
 for _level in ("L1", "L2", "L3"):

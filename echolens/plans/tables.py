@@ -12,13 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import strip
 from ..operators.lexicon import Lexicon
-from ..session import spread
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-# Tables whose rows carry the text or payload work.
-SPREAD = {"documents": ["doc_id"], "events": ["event_id"], "conversations": ["conv_id", "turn"]}
-
 TAXONOMY = (
     (0, "Mechanics", "Core", "Combat", False), (1, "Mechanics", "Core", "Movement", False),
     (2, "Control", "Interface(UI/UX)", "Layout", False), (3, "Art", "Visual", "Style", False),
@@ -173,8 +169,6 @@ class Tables:
         if name not in self._seen:
             if name in BASE:
                 frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-                if name in SPREAD:
-                    frame = spread(frame, *SPREAD[name])
             elif name in VIEWS:
                 frame = self.sql(VIEWS[name])
             elif name == "vp":
@@ -190,11 +184,3 @@ class Tables:
         ready = text.replace("{", "{{").replace("}", "}}")
         ready = reduce(lambda s, n: re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{{{n}}}", s), names, ready)
         return self.spark.sql(ready, **{n: getattr(self, n) for n in names})
-
-
-def targets_of(t: Tables) -> list[str]:
-    """Targets as a caller would list them for a matrix; a pivot refuses more columns than this."""
-    rows = t.vc.select("target_id").distinct().orderBy("target_id").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("choose the targets of a matrix; there are more than 10,000")
-    return [r["target_id"] for r in rows]

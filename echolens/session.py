@@ -76,14 +76,3 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """
     held = settled(df)
     return F.broadcast(held) if held.limit(rows + 1).count() <= rows else held
-
-
-def spread(df: DataFrame, *keys: str, bytes_per_core: int = 4 << 20) -> DataFrame:
-    """Give every core a share of a small file set.
-
-    A few megabytes often sit in one row group, which one task reads while the others idle; hashing such
-    a table by its key costs little. Larger tables have splits enough and pass through untouched.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if size < cores * bytes_per_core else df

@@ -59,10 +59,13 @@ def voice_documents(comments: DataFrame, opinions: DataFrame, platform: str = "s
     names = rows.groupBy("target_id").agg(F.min("extra_meta").alias("_meta"))
     nested = nested_opinions(opinions).withColumnRenamed("comment_id", "id")
     fields = ["id", "source_id", "content", "rating", "language", "sentiment", "sentiment_score", "sentiment_confidence", "topic"]
+    # The payload's own id comes first; the target is the fallback.
+    own = F.nullif(F.get_json_object("extra_json", "$.appid"), F.lit(""))
+    appid = F.coalesce(own, F.element_at(F.split("target_id", ":"), -1))
     return (
         rows.join(names, "target_id").join(nested, "id", "left").select(
-            *fields, parsed_list("sub_topics").alias("sub_topics"), "target_id", F.element_at(F.split("target_id", ":"), -1).alias("appid"),
-            v.meta_name(F.col("_meta"), F.element_at(F.split("target_id", ":"), -1)).alias("game"),
+            *fields, parsed_list("sub_topics").alias("sub_topics"), "target_id", appid.alias("appid"),
+            v.meta_name(F.col("_meta"), appid).alias("game"),
             F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), "likes",
             *v.extras_with_defaults(F.col("extra_json")), F.coalesce("slice", F.lit(0)).alias("slice"), "opinions",
         )

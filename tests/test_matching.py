@@ -135,3 +135,14 @@ def test_gaps(spark, lex):
 def test_dictionary_size_is_checked():
     with pytest.raises(ValueError):
         Lexicon((), tuple(("a", str(i), i) for i in range(50_001)))
+
+
+def test_label_to_path_moves_no_row(spark):
+    from echolens.plans.tables import LEXICON
+
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'Overall' WHEN id % 7 = 0 THEN 'none' END AS l3")
+    got = matching.with_path(rows, LEXICON)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {(r["l3"], r["full_path"]) for r in got.collect()} == {("Overall", "Meta/Impression/Overall"), ("none", None), (None, None)}

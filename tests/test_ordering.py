@@ -106,3 +106,21 @@ def test_long_opinion_lists_are_sliced(spark):
     assert len({o["id"] for r in rows for o in r["opinions"]}) == 1000
     assert max(len(r["opinions"]) for r in rows) < 250 and sum(r["comment_id"] == 1 for r in rows) == 9
     assert all([o["id"] for o in r["opinions"]] == sorted(o["id"] for o in r["opinions"]) for r in rows)
+
+
+def test_slices_follow_the_id_order(spark):
+    data = [(i, 7, "a/b/c", "neutral", "q") for i in range(2500)]
+    df = spark.createDataFrame(data, "id bigint, comment_id bigint, full_path string, sentiment string, quote string").repartition(8)
+    rows = sorted(nesting.nested_opinions(df).collect(), key=lambda r: r["slice"])
+    assert [r["slice"] for r in rows] == [0, 1, 2]
+    assert [o["id"] for r in rows for o in r["opinions"]] == list(range(2500))
+
+
+def test_matrices_take_any_number_of_targets(spark):
+    from echolens.operators import matrix
+
+    cells = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS topic", "concat('t', id) AS target_id", "id + 1 AS n")
+    got = matrix.filled(cells)
+    assert got.count() == 40_000 and got.filter("n = 0").count() == 20_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Cartesian" not in plan

@@ -181,5 +181,20 @@ def test_search_keeps_ties_by_id_across_batches(spark):
 def test_micro_topics(spark, texts):
     rows = vectors.vectorise(texts, "content", 64)
     got = vectors.micro_topics(rows, k=2)
-    assert {r["label"] for r in got.collect()} == {0, 1} and got.count() == 4  # the blank text has no direction
-    assert sorted(r["label"] for r in vectors.micro_topics(rows, k=9).collect()) == [0, 1, 2, 3]
+    labels = {r["id"]: r["label"] for r in got.collect()}
+    assert set(labels.values()) == {-1, 0, 1} and len(labels) == 5 and labels[4] == -1  # the blank text has no direction
+    assert sorted(r["label"] for r in vectors.micro_topics(rows, k=9).collect()) == [-1, 0, 1, 2, 3]
+
+
+def test_search_refuses_another_space(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "comment_id bigint, vector array<float>")
+    with pytest.raises(Exception, match="more than one space"):
+        vectors.scored(rows, [1.0, 0.0], 5).collect()
+
+
+def test_anchored_takes_all_and_falls_back_to_the_content(spark):
+    opinions = spark.createDataFrame([(i, i % 3, "A/B/C", "" if i == 5 else f"q{i}") for i in range(700)], "id bigint, comment_id bigint, full_path string, quote string")
+    comments = spark.createDataFrame([(i, "t", f"content {i}") for i in range(3)], "id bigint, target_id string, content string")
+    got = {r["id"]: r["quote"] for r in vectors.anchored(opinions, comments, "B").collect()}
+    assert len(got) == 700 and got[5] == "content 2" and got[6] == "q6"
+    assert vectors.anchored(opinions, comments, "B", limit=10).count() == 10
