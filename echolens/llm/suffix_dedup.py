@@ -38,7 +38,7 @@ from .ragged import Block, blocks, prefix, span_hash
 LENGTH, ANCHOR = 50, 24
 REACH = LENGTH - ANCHOR + 1  # anchor positions within a string
 RUN = 16 << 20  # bytes of text per sorted run
-SHARE = 64 << 20  # bytes of text whose anchors one counting task takes
+SHARE = 32 << 20  # bytes of text whose anchors one counting task takes
 PART = 16 << 20  # bytes of text whose suffixes one merge task takes
 SLICE = 100_000  # records resolved at a time
 KEY_BITS = 40
@@ -95,7 +95,7 @@ def shared_anchors(texts: DataFrame, parts: int) -> DataFrame:
         kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batches:
             docs, signs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for block in blocks(batch.column(2), 4 << 20):
+            for block in blocks(batch.column(2), 2 << 20):
                 for low in range(0, len(block), 1 << 16):
                     cut = block.starts[low : low + (1 << 16) + 1]
                     part_block = Block(block.lo + low, block.data[cut[0] : cut[-1]], cut - cut[0])
