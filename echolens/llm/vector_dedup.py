@@ -4,9 +4,9 @@ Equal vectors are first counted as one class. K-means is fitted on a bounded sam
 one cell per ``CELL`` vectors; then every class goes to its nearest cell and, as a guest, to every cell whose border
 with the nearest is closer than ``margin`` (the distance of two vectors at the threshold is 0.447; a margin of
 sin(acos(threshold)) = 0.436 would make the search exact for any data, 0.2 misses a pair only if it is spread across
-a border by far more than chance allows: measured recall in the README). Within a cell, vectors are dealt to blocks of
-about ``ROWS`` and each pair of blocks is one task with one matrix product, so a hot cell is many tasks. A task returns
-counts and a spanning forest of its links, never the pairs.
+a border by far more than chance allows: measured recall in the README). Within a cell, the vectors at home are dealt
+to blocks of about ``ROWS`` and all its vectors to blocks of about ``MEMBERS``; each pair of blocks is one task of
+matrix products, so a hot cell is many tasks. A task returns counts and a spanning forest of its links, never the pairs.
 
 Cases: null, empty or zero vectors and vectors with null, NaN or infinite parts link with nothing and are kept; vectors
 of different length never link; equal vectors link with cosine 1; rows that share a vec_id are one node of the graph
@@ -27,7 +27,7 @@ from .frames import table, written
 from .langid import cluster
 
 THRESHOLD, MARGIN = 0.9, 0.2
-FIT_ROWS, CELL, MAX_CELLS, ROWS = 65_536, 2048, 4096, 1024
+FIT_ROWS, CELL, MAX_CELLS, ROWS, MEMBERS, STEP = 65_536, 2048, 4096, 4096, 16_384, 512
 
 
 def centroids_of(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -53,32 +53,45 @@ def cells_of(x: np.ndarray, centroids: np.ndarray, margin: float) -> tuple[np.nd
 
 
 def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links within a block or between two blocks: per home class its weighted links, and star edges of the local groups."""
-    frame = frame.sort_values(["rep", "h"], kind="stable").reset_index(drop=True)
+    """Links of a block at home with a block of members: per home class its weighted links, and star edges of the groups."""
+    frame = frame.sort_values(["rep", "h", "at_home"], kind="stable").reset_index(drop=True)
     x = unit(np.array(frame["v"].tolist(), float))
-    side, home = frame["side"].to_numpy(), frame["home"].to_numpy()
-    link = x @ x.T >= threshold
-    np.fill_diagonal(link, False)
-    if len(np.unique(side)) == 2 or frame["cross"].iloc[0]:
-        link &= side[:, None] != side[None, :]
-    link &= home[:, None] | home[None, :]
-    links = link @ frame["n"].to_numpy(np.float64)
-    label, moved = np.arange(len(frame)), True
-    while moved:
-        least = np.minimum(label, np.where(link, label[None, :], len(frame)).min(axis=1))
-        least = least[least]
-        moved = (least != label).any()
-        label = least
-    frame["links"] = np.where(home, links, 0).astype(np.int64)
-    frame["other"] = frame["rep"].to_numpy()[label]
-    return frame.loc[(frame["links"] > 0) | (label != np.arange(len(frame))), ["rep", "h", "links", "other"]]
+    node = frame.groupby(["rep", "h"], sort=True).ngroup().to_numpy().astype(np.int32)
+    home, member = np.flatnonzero(frame["at_home"]), np.flatnonzero(~frame["at_home"])
+    weight, to = frame["n"].to_numpy(np.float64)[member], np.ascontiguousarray(x[member].T)
+    links, packed = np.zeros(len(home), np.int64), []
+    for low in range(0, len(home), STEP):
+        own = home[low : low + STEP]
+        link = (x[own] @ to >= threshold) & (node[own][:, None] != node[member][None, :])
+        links[low : low + STEP] = link @ weight
+        packed.append(np.packbits(link, axis=1))
+    first = np.full(node.max() + 1, len(frame))
+    np.minimum.at(first, node, np.arange(len(frame)))
+    label, none, moved = np.arange(node.max() + 1, dtype=np.int32), np.int32(node.max() + 1), bool(links.any())
+    while moved:  # the smallest node that is reached, until nothing changes
+        before = label.copy()
+        for k, low in enumerate(range(0, len(home), STEP)):
+            own = node[home[low : low + STEP]]
+            link = np.unpackbits(packed[k], axis=1, count=len(member)).astype(bool)
+            np.minimum.at(label, own, np.where(link, label[node[member]][None, :], none).min(axis=1))
+            np.minimum.at(label, node[member], np.where(link, label[own][:, None], none).min(axis=0))
+        label = label[label]
+        moved = (label != before).any()
+    rep, h = frame["rep"].to_numpy()[first], frame["h"].to_numpy()[first]
+    count = np.zeros(len(rep), np.int64)
+    np.add.at(count, node[home], links)
+    out = pd.DataFrame({"rep": rep, "h": h, "links": count, "other": rep[label]})
+    return out[(out["links"] > 0) | (label != np.arange(len(label)))]
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.transform(vector, lambda c: c.cast("double")).alias("v"))
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0) & F.col("vec_id").isNotNull()
-    rows = written(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("v", F.when(F.col("sound"), F.transform("v", lambda c: c + 0.0))), "vectors")
+    plus_zero = F.transform("v", lambda c: F.when(c == 0, F.lit(0).cast(kind)).otherwise(c))  # -0 equals 0
+    rows = written(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("v", F.when(F.col("sound"), plus_zero)), "vectors")
     member = rows.withColumn("h", F.xxhash64("v"))
     classes = member.filter("sound").groupBy("v", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = written(classes.withColumn("dim", F.size("v")), "vector-classes")
@@ -100,14 +113,18 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                     out = part.iloc[row].assign(cell=cell, home=home)
                     yield pa.RecordBatch.from_pandas(out[["rep", "h", "n", "v", "dim", "cell", "home"]], preserve_index=False, schema=placed_schema)
 
-    placed_schema = pa.schema([("rep", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("dim", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_())])
-    placed = classes.select("rep", "h", "n", "v", "dim").mapInArrow(assign, "rep bigint, h bigint, n bigint, v array<double>, dim int, cell int, home boolean")
+    placed_schema = pa.schema([("rep", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("dim", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_())])
+    placed = classes.select("rep", "h", "n", "v", "dim").mapInArrow(assign, f"rep bigint, h bigint, n bigint, v array<{kind}>, dim int, cell int, home boolean")
     placed = written(placed, "vector-cells")
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))  # a row per cell
-    dealt = placed.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep", "h", F.lit(1)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("dim", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "h", "n", "v", "home",
-                         F.col("part").alias("side"), (F.col("part") != F.col("other")).alias("cross"))
+    # A row per cell: into how many blocks its vectors at home and all its vectors are dealt.
+    sizes = placed.groupBy("dim", "cell").agg(
+        F.ceil(F.count_if("home") / ROWS).cast("int").alias("homes"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("members"))
+    dealt = placed.join(F.broadcast(sizes.filter("homes > 0")), ["dim", "cell"])
+    spot = lambda n: F.pmod(F.xxhash64("rep", "h", F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at_home = dealt.filter("home").select("dim", "cell", spot("homes").alias("i"), F.explode(every("members")).alias("j"), "rep", "h", "n", "v", F.lit(True).alias("at_home"))
+    inside = dealt.select("dim", "cell", F.explode(every("homes")).alias("i"), spot("members").alias("j"), "rep", "h", "n", "v", F.lit(False).alias("at_home"))
+    dealt = at_home.unionByName(inside)
     links = dealt.groupBy("dim", "cell", "i", "j").applyInPandas(lambda f: compare(f, threshold), "rep bigint, h bigint, links bigint, other bigint")
     links = written(links, "vector-links")
     equal = member.filter("sound").join(classes.select("h", "v", "rep", "n"), ["h", "v"]).select("vec_id", "rep", "h", "n")

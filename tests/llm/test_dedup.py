@@ -123,6 +123,8 @@ def vectors(count=400, dim=16, seed=5):
 def test_vectors(spark, cell, rows, monkeypatch):
     monkeypatch.setattr(vector_dedup, "CELL", cell)
     monkeypatch.setattr(vector_dedup, "ROWS", rows)
+    monkeypatch.setattr(vector_dedup, "MEMBERS", 2 * rows)
+    monkeypatch.setattr(vector_dedup, "STEP", 7)
     data = vectors()
     links, group = brute.vector_links(data)
     exact = vector_dedup.near_duplicates(frame(spark, data, "vec_id bigint, embedding array<double>"), margin=float(np.sin(np.arccos(0.9))))
