@@ -20,7 +20,8 @@ more bits differ than shingles may, the pair is dropped without its sets.
 
 **Verification.** Each document is first compared, on full shingle sets, with one pivot: of the documents it shares a
 key with, the one that shares most keys with others (in a group of near copies, the original). What is linked forms
-components; then all members of one key that are in different components are compared with each other. So each
+components. Components that still share a key are compared by one delegate each, twice; at last all members of one key
+that are in different components are compared with each other. So each
 candidate pair is either compared or already connected, and a group of copies costs its size, not its square.
 Documents with equal sets are one class from the start.
 
@@ -47,6 +48,7 @@ K, PERCENT = 5, 80
 SMALL = 64
 CELL_BITS, SEGMENT = 21, 1 << 15
 BITS = 2048
+DELEGATE_ROUNDS = 2  # cost only: what they leave apart is compared in full
 
 
 def common_cells(texts: DataFrame) -> np.ndarray:
@@ -236,14 +238,23 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(verified(texts, written(pairs, "candidates")).unionByName(equal), "links")
     group = written(components(links), "components")
 
-    # Members of one key that are still apart.
-    placed = members.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = written(placed.join(apart, "key").join(sketch, "doc"), "apart")
+    # Groups that still share a key meet by one delegate each, before their members do.
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rank = F.struct("score", (-F.col("doc")).alias("doc"))
+    for _ in range(DELEGATE_ROUNDS):
+        of_group = _apart(members, group).join(score, "doc").groupBy("key", "component").agg(F.max(rank).alias("delegate"))
+        meet = of_group.withColumn("pivot", F.max("delegate").over(of_key)).filter("delegate.doc <> pivot.doc")
+        meet = meet.select((-F.least("delegate.doc", "pivot.doc")).alias("a"), (-F.greatest("delegate.doc", "pivot.doc")).alias("b")).distinct()
+        meet = written(meet.join(tried, ["a", "b"], "left_anti").select("a", "b"), "delegates")
+        pairs = meet.join(x, "a").join(y, "b").filter(may_link("x", "y")).select("a", "b")
+        links = written(verified(texts, written(pairs, "candidates")).unionByName(links), "links")
+        group, tried = written(components(links), "components"), tried.unionByName(meet)
+
+    # All members of one key that are still apart.
+    left = written(_apart(members, group).join(sketch, "doc"), "apart")
     x, y = left.alias("x"), left.alias("y")
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y"))
     more = more.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
-    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = written(more.join(tried, ["a", "b"], "left_anti"), "residual")
     group = components(links.unionByName(written(verified(texts, more), "more-links")))
 
@@ -251,6 +262,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return per_row.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
+def _apart(members: DataFrame, group: DataFrame) -> DataFrame:
+    """(key, doc, component) of the members of keys that more than one component shares."""
+    placed = members.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return placed.join(several, "key")
+
+
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = similar_groups(table(spark, folder, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
