@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .frames import checked, table, written
-from .ragged import Block, blocks, prefix, span_hash
+from .ragged import Block, blocks, mix, prefix, span_hash
 
 LENGTH, ANCHOR = 50, 24
 REACH = LENGTH - ANCHOR + 1  # anchor positions within a string
@@ -130,9 +130,26 @@ def shared_anchors(texts: DataFrame, parts: int) -> DataFrame:
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         live = np.repeat(several, np.diff(np.append(first, len(key))))
         key, doc, sign = key[live], doc[live], sign[live]
+        # A row per bucket of documents, not per document: the rows stay few however many parts a document spans.
+        bucket = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[order], np.arange(parts + 1))
+        for b in range(parts):
+            mine = order[at[b] : at[b + 1]]
+            if len(mine):
+                values = [[b], [doc[mine].tobytes()], [sign[mine].tobytes()], [_bytes5(key[mine])]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, [pa.int32()] + [pa.binary()] * 3)], names=["bucket", "docs", "signs", "keys"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
+            return
+        doc, sign = (np.frombuffer(b"".join(r[n] for r in rows), "<i8") for n in ("docs", "signs"))
+        key = _from5(b"".join(r["keys"] for r in rows))
+        del rows
         order = np.lexsort((sign, doc))
         key, doc, sign = key[order], doc[order], sign[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sign[1:] != sign[:-1])])) if len(key) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sign[1:] != sign[:-1])]))
         ends = np.append(first[1:], len(key))
         for low in range(0, len(first), 10_000):
             a, b = first[low : low + 10_000], ends[low : low + 10_000]
@@ -140,8 +157,8 @@ def shared_anchors(texts: DataFrame, parts: int) -> DataFrame:
                 [pa.array(doc[a]), pa.array(sign[a]), pa.array([_bytes5(key[i:j]) for i, j in zip(a, b)], pa.binary())], names=["doc", "sign", "keys"])
 
     rows = texts.mapInArrow(emit, "part int, docs array<bigint>, signs array<bigint>, keys binary, owners binary")
-    found = rows.repartition(parts, "part").mapInArrow(count, "doc bigint, sign bigint, keys binary")
-    return found.groupBy("doc", "sign").agg(F.collect_list("keys").alias("keys"))
+    found = rows.repartition(parts, "part").mapInArrow(count, "bucket int, docs binary, signs binary, keys binary")
+    return found.repartition(parts, "bucket").mapInArrow(gather, "doc bigint, sign bigint, keys binary")
 
 
 def _distinct(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +181,7 @@ def runs_of(live: DataFrame, parts: int) -> DataFrame:
     def row(**given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([given.get(n)], k) for n, k in zip(names, kinds)], names=names)
 
-    def build(held: list[tuple[int, int, np.ndarray, list]]) -> Iterator[pa.RecordBatch]:
+    def build(held: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         run = int.from_bytes(os.urandom(8), "little", signed=True)
         seen: dict[str, list[np.ndarray]] = {k: [] for k in ("doc", "sign", "start", "windows", "key", "left", "size", "rows", "mark")}
         for block, docs, signs, keys in _live_blocks(held):
@@ -239,7 +256,7 @@ def runs_of(live: DataFrame, parts: int) -> DataFrame:
 def _live_blocks(held: list) -> Iterator[tuple[Block, np.ndarray, np.ndarray, list[np.ndarray]]]:
     for block in blocks(pa.array([t for _, _, t, _ in held], pa.large_binary()), 2 << 20):
         rows = held[block.lo : block.lo + len(block)]
-        yield block, np.array([d for d, _, _, _ in rows], np.int64), np.array([s for _, s, _, _ in rows], np.int64), [_from5(b"".join(k)) for _, _, _, k in rows]
+        yield block, np.array([d for d, _, _, _ in rows], np.int64), np.array([s for _, s, _, _ in rows], np.int64), [_from5(k) for _, _, _, k in rows]
 
 
 class Run:
