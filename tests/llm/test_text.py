@@ -1,6 +1,5 @@
 """Chat formatting, token files, tokenizers and classifiers."""
 
-import hashlib
 import itertools
 import json
 import zlib
