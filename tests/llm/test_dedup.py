@@ -134,6 +134,23 @@ def test_vectors(spark, cell, rows, monkeypatch):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == want
 
 
+@pytest.mark.parametrize("dim,rows", [(2, 16), (3, 4096)])
+def test_default_margin_misses_no_link_across_borders(spark, dim, rows, monkeypatch):
+    """Many cells on rings, arcs and clumps: links that are spread across borders by up to the angle of the threshold."""
+    monkeypatch.setattr(vector_dedup, "CELL", 15)
+    monkeypatch.setattr(vector_dedup, "ROWS", rows)
+    monkeypatch.setattr(vector_dedup, "MEMBERS", 2 * rows)
+    r = np.random.default_rng(dim)
+    turn = np.concatenate([r.uniform(0, 6.28, 120), 0.44 * np.arange(14), r.normal(1, 0.02, 60)])
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    if dim == 3:
+        x = np.concatenate([np.column_stack([x, r.normal(0, 0.1, len(x))]), r.normal(size=(60, 3))])
+    data = [(i, (v * r.uniform(0.5, 2)).tolist()) for i, v in enumerate(x)] + [(900 + i, x[i].tolist()) for i in range(8)]
+    links, group = brute.vector_links(data)
+    got = vector_dedup.near_duplicates(frame(spark, data, "vec_id bigint, embedding array<double>"))
+    assert sorted((g["vec_id"], g["n_links"], g["component_id"]) for g in got.collect()) == [(v, links[i], group[v]) for i, (v, _) in enumerate(data)]
+
+
 def test_recall_of_the_default_margin(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "CELL", 40)
     data = vectors(800, 64, 9)
