@@ -1,4 +1,4 @@
-"""Opinions nested per comment, in arrays of bounded length."""
+"""Opinions nested per comment: whole lists, or on request slices of bounded length."""
 
 from __future__ import annotations
 
@@ -11,8 +11,17 @@ from .ordering import ranked
 SLICE = 1000
 
 
+def in_id_order():
+    return F.sort_array(F.collect_list(F.struct("id", F.col("full_path").alias("path"), "sentiment", "quote"))).alias("opinions")
+
+
+def whole_opinions(opinions: DataFrame) -> DataFrame:
+    """One row per comment with all its opinions in id order, however many: one comment is one output row by nature."""
+    return opinions.groupBy("comment_id").agg(in_id_order())
+
+
 def nested_opinions(opinions: DataFrame, per_row: int = SLICE) -> DataFrame:
-    """One row per comment with its opinions in id order.
+    """The opinions of each comment in id order, in slices for a reader that wants bounded arrays (no report does).
 
     A comment with more than ``per_row`` opinions is spread over several rows (``slice`` 0, 1, ...) by rank, so no
     array and no task grows with a single comment; slices in order, and the opinions in each, are in id order.
@@ -21,12 +30,11 @@ def nested_opinions(opinions: DataFrame, per_row: int = SLICE) -> DataFrame:
     many = opinions.join(small(large), "comment_id", "left_semi").select("comment_id", "id")
     rank = ranked(many, ["comment_id"], [F.col("id")], "_rank")
     place = rank.select("id", F.floor((F.col("_rank") - 1) / per_row).alias("slice"))
-    item = F.struct("id", F.col("full_path").alias("path"), "sentiment", "quote")
     return (
         opinions.join(place, "id", "left").withColumn("slice", F.coalesce("slice", F.lit(0)))
         .repartition("comment_id", "slice")  # not by comment alone, which the join may have left behind
         .groupBy("comment_id", "slice")
-        .agg(F.sort_array(F.collect_list(item)).alias("opinions"))
+        .agg(in_id_order())
     )
 
 

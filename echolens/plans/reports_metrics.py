@@ -431,9 +431,9 @@ def a33(t: Tables):
 @report("a34_nested_opinions", """
     SELECT comment_id, CAST(0 AS BIGINT) AS slice, CAST(count(*) AS INT) AS size, string_agg(concat(CAST(id AS VARCHAR), '=', full_path), '|' ORDER BY id) AS opinions FROM vo GROUP BY comment_id""")
 def a34(t: Tables):
-    rows = nesting.nested_opinions(t.vo)
+    rows = nesting.whole_opinions(t.vo)
     shown = F.transform("opinions", lambda o: F.concat(o["id"].cast("string"), F.lit("="), o["path"]))
-    return rows.select("comment_id", "slice", F.size("opinions").alias("size"), F.array_join(shown, "|").alias("opinions"))
+    return rows.select("comment_id", F.lit(0).cast("bigint").alias("slice"), F.size("opinions").alias("size"), F.array_join(shown, "|").alias("opinions"))
 
 
 @report("a34_second_levels", """

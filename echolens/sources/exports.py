@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import values as v
 from ..operators.filters import parsed_list
 from ..operators.joins import with_comment
-from ..operators.nesting import nested_opinions, opinion_counts
+from ..operators.nesting import opinion_counts, whole_opinions
 
 SENTIMENT_WORDS = {"positive": "正向", "neutral": "中性", "negative": "负向"}
 
@@ -54,10 +54,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def voice_documents(comments: DataFrame, opinions: DataFrame, platform: str = "steam") -> DataFrame:
-    """Comments with typed extras and nested opinions (see ``nesting`` for very long lists)."""
+    """Each comment once, with typed extras and all its opinions (``opinion_documents`` has them as rows)."""
     rows = comments.filter(F.col("platform") == platform)
     names = rows.groupBy("target_id").agg(F.min("extra_meta").alias("_meta"))
-    nested = nested_opinions(opinions).withColumnRenamed("comment_id", "id")
+    nested = whole_opinions(opinions).withColumnRenamed("comment_id", "id")
     fields = ["id", "source_id", "content", "rating", "language", "sentiment", "sentiment_score", "sentiment_confidence", "topic"]
     # The payload's own id comes first; the target is the fallback.
     own = F.nullif(F.get_json_object("extra_json", "$.appid"), F.lit(""))
@@ -67,7 +67,7 @@ def voice_documents(comments: DataFrame, opinions: DataFrame, platform: str = "s
             *fields, parsed_list("sub_topics").alias("sub_topics"), "target_id", appid.alias("appid"),
             v.meta_name(F.col("_meta"), appid).alias("game"),
             F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), "likes",
-            *v.extras_with_defaults(F.col("extra_json")), F.coalesce("slice", F.lit(0)).alias("slice"), "opinions",
+            *v.extras_with_defaults(F.col("extra_json")), "opinions",
         )
     )
 
