@@ -12,7 +12,8 @@ another role) and the characters under loss that follow.
 Cases: null role or text counts as empty; turns are ordered by (turn, role, text), so ties have one order; repeated
 rows are repeated turns; rows of a null conversation id form one conversation; a record whose fingerprint no layout
 declares has no turns and a null layout; an empty table gives no conversation. Extra columns of typed tables do not
-change the fingerprint, which covers the declared columns only; of JSON records they do, as any path does.
+change the fingerprint, which covers the declared columns only; of JSON records they do, as any path does: that of any
+element of an array and within any object. A record that is no valid JSON, or repeats a key, has a null layout.
 """
 
 from __future__ import annotations
@@ -86,8 +87,20 @@ def canonical_role(role: Column) -> Column:
     return F.coalesce(names[F.lower(role)], role, F.lit(""))
 
 
-def _under(array: str, keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.concat(F.lit(f"{array}[]."), k))
+def _paths(value: Column, path: Column, depth: int) -> Column:
+    """Paths of the scalars and empty containers in a variant; what lies ``depth`` levels down is given by its schema."""
+    kind = F.schema_of_variant(value)
+    if depth == 0:
+        return F.array(F.when(kind.startswith("OBJECT<") | kind.startswith("ARRAY<"), F.concat(path, F.lit("."), kind)).otherwise(path))
+    name = lambda k: F.regexp_replace(k, r"([\\.\[\n])", r"\\$1")
+    fields = F.map_entries(F.when(kind.startswith("OBJECT<"), value.try_cast("map<string,variant>")))
+    items = F.when(kind.startswith("ARRAY<"), value.try_cast("array<variant>"))
+    start = F.when(path == "", "").otherwise(F.concat(path, F.lit(".")))
+    return (
+        F.when(F.size(fields) > 0, F.flatten(F.transform(fields, lambda e: _paths(e["value"], F.concat(start, name(e["key"])), depth - 1))))
+        .when(F.size(items) > 0, F.flatten(F.transform(items, lambda e: _paths(e, F.concat(path, F.lit("[]")), depth - 1))))
+        .otherwise(F.array(path))
+    )
 
 
 def _array_turns(turns: Column, role: str, text: str) -> Column:
@@ -103,10 +116,10 @@ def record_turns(df: DataFrame, record: str = "record", layouts=LAYOUTS) -> Data
             arrays[x.array[0]] |= {x.array[1], x.array[2]}
     fields = [f"`{p}` string" for p in sorted({p for x in layouts for _, p in x.single})]
     fields += [f"`{a}` array<struct<{','.join(f'`{k}`:string' for k in sorted(keys))}>>" for a, keys in sorted(arrays.items())]
-    text, keys = F.col(record), F.expr(f"json_object_keys(`{record}`)")
-    nested = [F.coalesce(_under(a, F.json_object_keys(F.get_json_object(text, f"$.{a}[0]"))),
-                         F.when(F.array_contains(keys, a), F.array(F.lit(a))), F.array().cast("array<string>")) for a in sorted(arrays)]
-    paths = F.concat(F.coalesce(F.filter(keys, lambda k: ~k.isin(*arrays)), F.array().cast("array<string>")), *nested)
+    text = F.col(record)
+    # One level more than the deepest layout: further down no path is declared.
+    depth = max(p.count(".") + p.count("[]") for x in layouts for p in x.paths) + 1
+    paths = F.array_distinct(_paths(F.from_json(text, "variant"), F.lit(""), depth))
     mark = F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
     names = F.create_map(*[F.lit(y) for x in layouts for y in (x.fingerprint, x.name)])
     df = df.drop("layout", "turns").withColumn("_parsed", F.from_json(text, ", ".join(fields))).withColumn("layout", names[mark])

@@ -51,6 +51,26 @@ def test_layouts_by_fingerprint(spark):
     assert all(got[i] == (None, []) for i in (6, 7, 8, 9, 10, 20, 21, 22))
 
 
+def test_fingerprints_cover_every_element_and_object(spark):
+    u, a = {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}
+    other = [
+        {"messages": [u, {"from": "gpt", "value": "a"}]}, {"messages": [u, a | {"name": "n"}]}, {"messages": [u, "text"]}, {"messages": [u, ["text"]]},
+        {"messages": [u, {"role": "assistant", "content": {"text": "a"}}]}, {"messages": [u, {"role": "assistant", "content": ["a"]}]},
+        {"prompt": {"text": "p"}, "completion": "c"}, {"prompt": ["p"], "completion": "c"}, {"messages": {"role": "user", "content": "u"}}, {"messages": [[u, a]]},
+        {"messages[].role": "user", "messages[].content": "u"}, {"prompt\nresponse": "p"}, {"messages": [u], "conversations": [{"from": "gpt", "value": "a"}]},
+    ]
+    same = [
+        ({"messages": [u, a, {"role": "user", "content": None}, {"content": "late", "role": None}]}, "messages", ["u", "a", None, "late"]),
+        ({"messages": [{"role": "user"}, {"content": '{"x": [1]}'}]}, "messages", [None, '{"x": [1]}']), ({"prompt": "[1, 2]", "completion": 5}, "prompt_completion", ["[1, 2]", "5"]),
+    ]
+    rows = [(i, json.dumps(x)) for i, x in enumerate([*other, *[x for x, _, _ in same]])]
+    rows += [(90, '{"prompt": "p", "prompt": "q", "completion": "c"}'), (91, "{'prompt': 'p', 'completion': 'c'}"), (92, '{"prompt": "p", "completion": "c"'), (93, '{"prompt": "p\n", "completion": "c"}')]
+    got = {r["id"]: (r["layout"], [t["text"] for t in r["turns"]]) for r in chat_format.record_turns(frame(spark, rows, "id int, record string")).collect()}
+    assert [got[i] for i in range(len(other))] == [(None, [])] * len(other)
+    assert [got[len(other) + i] for i in range(len(same))] == [(name, texts) for _, name, texts in same]
+    assert got[91] == ("prompt_completion", ["p", "c"]) and got[90] == got[92] == got[93] == (None, [])
+
+
 def test_chat_main_path_is_native_and_empty_tables_pass(spark):
     chats = frame(spark, [], "conv_id bigint, turn bigint, role string, text string")
     out = chat_format.read_back(chat_format.formatted(chat_format.row_turns(chats)))
