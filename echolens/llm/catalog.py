@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat_format, decontaminate, langid, packed_ids, parity_join, suffix_dedup, token_counts, toxicity, vector_dedup
+from . import bpe, chat_format, decontaminate, filter_audit, langid, packed_ids, parity_join, suffix_dedup, token_counts, toxicity, vector_dedup
 
 _QUERIES = {
     "op1_chat_format": chat_format.op1,
@@ -17,6 +17,7 @@ _QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_vector_dedup": vector_dedup.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
+    "op11_filter_audit": filter_audit.op11,
 }
 _SQL = {
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
@@ -24,6 +25,7 @@ _SQL = {
     "op9_vector_dedup": vector_dedup.OP9_SQL,
     "op1_chat_format": chat_format.OP1_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
 
 
