@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat_format, conversation_repair, decontaminate, filter_audit, langid, packed_ids, parity_join, suffix_dedup, token_counts, toxicity, vector_dedup
+from . import bpe, chat_format, conversation_repair, decontaminate, filter_audit, langid, packed_ids, parity_join, quality, suffix_dedup, token_counts, toxicity, vector_dedup
 
 _QUERIES = {
     "op1_chat_format": chat_format.op1,
@@ -18,6 +18,7 @@ _QUERIES = {
     "op9_vector_dedup": vector_dedup.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
     "op11_filter_audit": filter_audit.op11,
+    "op12_quality": quality.op12,
     "op13_conversation_repair": conversation_repair.op13,
 }
 _SQL = {
