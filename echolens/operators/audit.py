@@ -52,17 +52,25 @@ def ends_with_label(opinions: DataFrame, labels: list[str]) -> DataFrame:
     return opinions.agg(packed.alias("cells")).select(F.inline("cells"))
 
 
+def fallback_opinions(opinions: DataFrame, fallback_path: str, comments: DataFrame | None = None, platform: str | None = None) -> DataFrame:
+    """Opinions under the fallback path; with a platform those of its comments only."""
+    rows = opinions.filter(F.startswith("full_path", F.lit(fallback_path)))
+    if platform is None:
+        return rows
+    ids = comments.filter(F.col("platform") == platform).select(F.col("id").alias("comment_id")).distinct()
+    return rows.join(ids, "comment_id", "left_semi")
+
+
 def dictionary_gaps(
     opinions: DataFrame, lex: Lexicon, fallback_path: str, min_length: int = 6, min_count: int = 1,
+    comments: DataFrame | None = None, platform: str | None = None,
 ) -> DataFrame:
     """Fallback quotes with their count, sorted into rescued, overall, noise and candidate.
 
     Quotes are counted before matching, so each is matched once.
     """
-    counts = (
-        opinions.filter(F.startswith("full_path", F.lit(fallback_path))).groupBy("quote").agg(F.count("*").alias("n"))
-        .filter(F.length("quote") >= min_length)
-    )
+    rows = fallback_opinions(opinions, fallback_path, comments, platform)
+    counts = rows.groupBy("quote").agg(F.count("*").alias("n")).filter(F.length("quote") >= min_length)
     words = [*lex.overall_words, *lex.recommend_words]
     general = [lex.overall_label, lex.recommend_label]
     kind = (
@@ -83,6 +91,13 @@ def gap_summary(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("kind").agg(F.count("*").alias("phrases"), F.sum("n").alias("opinions"))
 
 
+def gap_totals(opinions: DataFrame, gaps: DataFrame, fallback_path: str, comments: DataFrame | None = None, platform: str | None = None) -> DataFrame:
+    """The summary with one more row, ``total``: all fallback opinions, those too short to be mined too."""
+    every = fallback_opinions(opinions, fallback_path, comments, platform)
+    total = every.agg(F.count_distinct("quote").alias("phrases"), F.count("*").alias("opinions"))
+    return gap_summary(gaps).unionByName(total.select(F.lit("total").alias("kind"), "phrases", "opinions"))
+
+
 def refresh_coverage(comments: DataFrame, now: datetime) -> DataFrame:
     """A31"""
     age = lambda ts: F.date_diff(F.lit(now).cast("timestamp_ntz"), ts)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed_values as fixed
+from .dictionary import KeyIndex, WordIndex
 
 MAX_LEAVES = 10_000
 MAX_KEYWORDS = 50_000
@@ -42,10 +42,9 @@ class Lexicon:
     def taxonomy_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.taxonomy), "ord int, l1 string, l2 string, l3 string, is_fallback boolean")
 
-    def path_map(self) -> Column:
-        """Literal map from label to full path; a label that holds a slash already carries its second level."""
-        paths = {l3: f"{l1}/{l3}" if "/" in l3 else f"{l1}/{l2}/{l3}" for _, l1, l2, l3, _ in reversed(self.taxonomy)}
-        return F.from_json(F.lit(json.dumps(paths, ensure_ascii=False)), "map<string, string>")
+    def path_index(self) -> KeyIndex:
+        """Label to full path; a label that holds a slash already carries its second level."""
+        return KeyIndex({l3: f"{l1}/{l3}" if "/" in l3 else f"{l1}/{l2}/{l3}" for _, l1, l2, l3, _ in reversed(self.taxonomy)})
 
     def keywords_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.keywords), "l3 string, keyword string, pos int")
@@ -64,22 +63,18 @@ class Lexicon:
         # A label outside the taxonomy comes after those inside, in the order met.
         return sorted(weights.items(), key=lambda item: ords.get(item[0], MAX_LEAVES))
 
-    def scored_labels(self) -> Column:
-        """Literal array of (rank, l3, words) of the competing labels; a word appears once per listing."""
-        labels = [
-            {"rank": -rank, "l3": l3, "words": [w for w, n in words.items() for _ in range(n // len(w))]}
-            for rank, (l3, words) in enumerate(self.competing())
-        ]
-        return F.from_json(
-            F.lit(json.dumps(labels, ensure_ascii=False)), "array<struct<rank: int, l3: string, words: array<string>>>"
-        )
-
-    def competing_words(self) -> list[str]:
-        """Words in the order of ``keyword_rows``."""
-        return [k for l3, k, _ in self.keywords if l3 not in self.fallback and k]
-
-    def keyword_rows(self) -> Column:
-        rows = [{"l3": l3, "keyword": k, "pos": p} for l3, k, p in self.keywords if l3 not in self.fallback and k]
-        return F.from_json(
-            F.lit(json.dumps(rows, ensure_ascii=False)), "array<struct<l3: string, keyword: string, pos: int>>"
-        )
+    def label_index(self) -> WordIndex:
+        """Competing words, each with the labels it speaks for and its weight there."""
+        points: dict[str, list[dict]] = {}
+        for rank, (_, words) in enumerate(self.competing()):
+            for word, weight in words.items():
+                points.setdefault(word, []).append({"rank": rank, "weight": weight})
+        return WordIndex(points, "array<struct<rank: int, weight: int>>")
+
+    def entry_index(self) -> WordIndex:
+        """Competing words, each with its dictionary entries."""
+        entries: dict[str, list[dict]] = {}
+        for l3, word, pos in self.keywords:
+            if l3 not in self.fallback and word:
+                entries.setdefault(word, []).append({"l3": l3, "keyword": word, "pos": pos})
+        return WordIndex(entries, "array<struct<l3: string, keyword: string, pos: int>>")

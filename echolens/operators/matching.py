@@ -1,21 +1,15 @@
 """Phrase to topic label.
 
-The dictionary is part of the expression, so matching is a narrow projection: no join, no shuffle,
-and a phrase that makes up a third of the rows costs the same as any other.
+The dictionary is part of the expression (``dictionary``), so matching is a narrow projection: no join, no shuffle,
+one path for dictionaries of any size, and a phrase that makes up a third of the rows costs the same as any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 from ..functions import fixed_values as fixed
 from ..functions.text import has_any, let, strip
 from .lexicon import Lexicon
@@ -28,81 +22,18 @@ def masked(phrase: Column, lex: Lexicon) -> Column:
     return bare
 
 
-FEW_KEYWORDS = 100
-
-
 def best_label(text: Column, lex: Lexicon) -> Column:
-    """Label with the highest sum of matched keyword lengths; the earliest label wins a tie.
+    """Label with the highest sum of matched keyword lengths; the earliest label wins a tie."""
+    names = F.from_json(F.lit(json.dumps([l3 for l3, _ in lex.competing()], ensure_ascii=False)), "array<string>")
 
-    A short dictionary stays inside Spark's own expressions. Those look for one word at a time, about
-    0.6 microseconds each, so a long dictionary is searched for all words in one pass instead.
-    """
-    if ahocorasick is None or len(lex.keywords) <= FEW_KEYWORDS:
-        return best_label_by_lambda(text, lex)
-    names = F.array(*[F.lit(l3) for l3, _ in lex.competing()])
-    return F.try_element_at(names, label_finder(lex)(text) + 1)
-
-
-def machine_of(words):
-    machine = ahocorasick.Automaton()
-    for word in words:
-        machine.add_word(word, word)
-    machine.make_automaton()
-    return machine
-
-
-def label_finder(lex: Lexicon):
-    """Index of the best label of each text, in Arrow batches; the automaton is built once per task."""
-    weights: dict[str, list[tuple[int, int]]] = {}
-    for index, (_, words) in enumerate(lex.competing()):
-        for word, weight in words.items():
-            weights.setdefault(word, []).append((index, weight))
-
-    @F.pandas_udf("int")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = machine_of(weights)
-
-        def best(text):
-            scores: dict[int, int] = {}
-            for word in {w for _, w in machine.iter(text)} if text else ():
-                for index, weight in weights[word]:
-                    scores[index] = scores.get(index, 0) + weight
-            return min(scores, key=lambda i: (-scores[i], i)) if scores else None
-
-        for texts in batches:
-            yield pd.Series([best(x) for x in texts], dtype="Int32")
-
-    return find
-
-
-def entry_finder(words: list[str]):
-    """Indexes of the dictionary entries contained in each text."""
-    @F.pandas_udf("array<int>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        at: dict[str, list[int]] = {}
-        for index, word in enumerate(words):
-            at.setdefault(word, []).append(index)
-        machine = machine_of(at)
-        for texts in batches:
-            yield pd.Series([[i for w in {w for _, w in machine.iter(x)} for i in at[w]] if x else [] for x in texts])
-
-    return find
-
-
-def best_label_by_lambda(text: Column, lex: Lexicon) -> Column:
-    def best(p: Column) -> Column:
-        matched = lambda label: F.filter(label["words"], lambda w: F.contains(p, w))
-        scored = F.transform(
-            lex.scored_labels(),
-            lambda label: F.struct(
-                F.aggregate(matched(label), F.lit(0), lambda total, w: total + F.length(w)).alias("score"),
-                label["rank"].alias("rank"),
-                label["l3"].alias("l3"),
-            ),
-        )
-        return F.array_max(F.filter(scored, lambda s: s["score"] > 0))["l3"]
-
-    return let(text, best)
+    def best(found: Column) -> Column:
+        points = F.flatten(found)
+        ranks = F.array_distinct(F.transform(points, lambda x: x["rank"]))
+        scored = F.transform(ranks, lambda r: F.struct(
+            F.aggregate(F.filter(points, lambda x: x["rank"] == r), F.lit(0), lambda total, x: total + x["weight"]).alias("score"), (-r).alias("rank")))
+        return F.element_at(names, 1 - F.array_max(scored)["rank"])
+
+    return let(lex.label_index().found(text), best)
 
 
 def with_label(df: DataFrame, phrase: str, lex: Lexicon, label: str = "l3", only_matched: bool = False) -> DataFrame:
@@ -132,18 +63,13 @@ def with_label(df: DataFrame, phrase: str, lex: Lexicon, label: str = "l3", only
 def keyword_hits(df: DataFrame, phrase: str, lex: Lexicon) -> DataFrame:
     """One row per phrase row and dictionary entry contained in it."""
     rows = df.withColumn("_phrase", masked(F.col(phrase), lex))
-    p = F.col("_phrase")
-    if ahocorasick is None or len(lex.keywords) <= FEW_KEYWORDS:
-        hits = rows.withColumn("_hit", F.explode(F.filter(lex.keyword_rows(), lambda k: F.contains(p, k["keyword"]))))
-    else:
-        hits = rows.withColumn("_at", F.explode(entry_finder(lex.competing_words())(p))).withColumn(
-            "_hit", F.element_at(lex.keyword_rows(), F.col("_at") + 1))
+    hits = rows.withColumn("_hit", F.explode(F.flatten(lex.entry_index().found(F.col("_phrase")))))
     return hits.select(*df.columns, "_hit.l3", "_hit.keyword", "_hit.pos")
 
 
 def with_path(df: DataFrame, lex: Lexicon, label: str = "l3", path: str = "full_path") -> DataFrame:
-    """Label to full path by a literal map (size checked by ``Lexicon``): no join, so no row moves for its label."""
-    return df.withColumn(path, F.try_element_at(lex.path_map(), F.col(label)))
+    """Label to full path by a literal hash table (size checked by ``Lexicon``): no join, so no row moves for its label."""
+    return df.withColumn(path, lex.path_index().value(F.col(label)))
 
 
 def labelled(df: DataFrame, phrase: str, lex: Lexicon, only_matched: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import paths, text as tx, values as v
 from ..operators import audit, filters, joins, matching
 from ..sources import config, exports, landed
 from .registry import report
-from .tables import Tables, labels_sql, strip_sql
+from .tables import LARGE, Tables, labels_sql, strip_sql
 
 PARSED = "from_json(sub_topics, '[\"VARCHAR\"]')"
 JAN = datetime(2024, 1, 10), datetime(2024, 1, 20)
@@ -453,6 +453,13 @@ def j6(t: Tables):
     return matching.keyword_hits(t.vp.select("phrase"), "phrase", t.lex).groupBy("l3", "keyword", "pos").agg(F.count("*").alias("n"))
 
 
+@report("j6_large_dictionary", r"""
+    SELECT k.l3, k.keyword, k.pos, count(*) AS n FROM (SELECT replace(phrase, 'orreon', '×') AS p FROM vp) JOIN kwl k ON contains(p, k.keyword) JOIN taxl t ON t.l3 = k.l3
+    WHERE NOT t.is_fallback GROUP BY ALL""")
+def j6b(t: Tables):
+    return matching.keyword_hits(t.vp.select("phrase"), "phrase", LARGE).groupBy("l3", "keyword", "pos").agg(F.count("*").alias("n"))
+
+
 @report("j7_reconcile", """
     SELECT platform, source_id, CASE WHEN d.id IS NULL THEN 'only_remote' WHEN r.id IS NULL THEN 'only_local' ELSE 'matched' END AS state
     FROM (SELECT * FROM vc WHERE likes IS NULL) d FULL JOIN (SELECT * FROM vc WHERE rating IS NOT NULL) r USING (platform, source_id)""")

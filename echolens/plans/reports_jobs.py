@@ -12,7 +12,7 @@ from ..operators import annotate, incremental, matching, merge, ordering, vector
 from ..streaming import jobs
 from . import daily
 from .registry import report
-from .tables import Tables, labels_sql, strip_sql
+from .tables import LARGE, Tables, labels_sql, strip_sql
 
 NOW = datetime(2024, 3, 1)
 NOW_SQL = "TIMESTAMP '2024-03-01'"
@@ -170,6 +170,12 @@ def t1(t: Tables):
     return matching.with_label(t.vp, "phrase", t.lex).select("id", "pos", "l3")
 
 
+@report("t1_large_dictionary", f"WITH {labels_sql('SELECT id, pos, phrase FROM vp', 'kwl', 'taxl')} SELECT id, pos, l3, full_path FROM labp")
+def t1b(t: Tables):
+    """The same ladder with 1,573 dictionary entries."""
+    return matching.labelled(t.vp, "phrase", LARGE).select("id", "pos", "l3", "full_path")
+
+
 @report("t2_normalised_opinions", f"WITH {labels_sql('SELECT id, quote AS phrase FROM vo')} SELECT id, l3, full_path FROM labp WHERE m <> ''")
 def t2(t: Tables):
     return matching.normalise_opinions(t.vo.select("id", F.col("quote").alias("phrase")), t.lex).select("id", "l3", "full_path")

@@ -402,6 +402,18 @@ def a30c(t: Tables):
     return audit.gap_candidates(gaps(t)).select("quote", "n")
 
 
+STEAM = "comment_id IN (SELECT id FROM vc WHERE platform = 'steam') AND full_path LIKE 'Meta/Impression/Overall%'"
+
+
+@report("a30_gap_totals", GAPS.replace("FROM vo WHERE", f"FROM vo WHERE {STEAM} AND") + f"""
+    SELECT kind, count(*) AS phrases, CAST(sum(n) AS BIGINT) AS opinions FROM k GROUP BY kind
+    UNION ALL SELECT 'total', count(DISTINCT quote), count(*) FROM vo WHERE {STEAM}""")
+def a30d(t: Tables):
+    """One platform, with the total."""
+    path, only = "Meta/Impression/Overall", {"comments": t.vc, "platform": "steam"}
+    return audit.gap_totals(t.vo, audit.dictionary_gaps(t.vo, t.lex, path, **only), path, **only)
+
+
 @report("a31_refresh_coverage", """
     SELECT target_id, count(*) FILTER (WHERE likes IS NULL) AS null_likes, count(likes) AS filled_likes, min(posted_at) AS first, max(posted_at) AS last,
       CAST(date_diff('day', min(posted_at), TIMESTAMP '2024-02-01') AS INT) AS oldest_days, CAST(date_diff('day', max(posted_at), TIMESTAMP '2024-02-01') AS INT) AS newest_days,

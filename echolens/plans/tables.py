@@ -33,15 +33,30 @@ LEXICON = Lexicon(
     masked_terms=("orreon",), meme_label="Meme", recommend_label="Recommend", overall_label="Overall", meta_l1="Meta",
 )
 
+# A dictionary of realistic size: every word of three syllables, labelled by its first two, which is a keyword twice more.
+SYLLABLES = ("th", "er", "an", "on", "in", "at", "st", "re", "ha", "en", "ou")
+LARGE = Lexicon(
+    tuple((11 * i + j, f"Group{i}", f"Part{j}", a + b, (11 * i + j) % 40 == 39) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES)),
+    tuple((a + b, a + b + c, k) for a in SYLLABLES for b in SYLLABLES for k, c in enumerate(SYLLABLES))
+    + tuple((a + b, a + b, 11 + k) for a in SYLLABLES for b in SYLLABLES for k in range(2)),
+    meme_words=("onon",), recommend_words=("anti",), praise_words=("ing",), criticize_words=("er",),
+    masked_terms=("orreon",), meme_label="Meme", recommend_label="Recommend", overall_label="Overall", meta_l1="Meta",
+)
+
 
 def values(rows) -> str:
     cell = lambda x: "true" if x is True else "false" if x is False else f"'{x}'" if isinstance(x, str) else str(x)
     return ", ".join("(" + ", ".join(cell(x) for x in row) + ")" for row in rows)
 
 
+_PARTS = f"(SELECT * FROM (VALUES {values(enumerate(SYLLABLES))}) AS t(i, s))"
 VIEWS = {
     "tax": f"SELECT * FROM (VALUES {values(TAXONOMY)}) AS t(ord, l1, l2, l3, is_fallback)",
     "kw": f"SELECT * FROM (VALUES {values(KEYWORDS)}) AS t(l3, keyword, pos)",
+    "taxl": f"""SELECT 11 * a.i + b.i AS ord, concat('Group', CAST(a.i AS VARCHAR(9))) AS l1, concat('Part', CAST(b.i AS VARCHAR(9))) AS l2, concat(a.s, b.s) AS l3,
+          (11 * a.i + b.i) % 40 = 39 AS is_fallback FROM {_PARTS} a CROSS JOIN {_PARTS} b""",
+    "kwl": f"""SELECT concat(a.s, b.s) AS l3, concat(a.s, b.s, c.s) AS keyword, c.i AS pos FROM {_PARTS} a CROSS JOIN {_PARTS} b CROSS JOIN {_PARTS} c
+          UNION ALL SELECT concat(a.s, b.s), concat(a.s, b.s), 11 + c.i FROM {_PARTS} a CROSS JOIN {_PARTS} b CROSS JOIN {_PARTS} c WHERE c.i < 2""",
     # Comments.
     "vc": """
         SELECT d.doc_id AS id,
@@ -137,13 +152,13 @@ def with_views(sql: str) -> str:
     return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
 
 
-def labels_sql(source: str) -> str:
+def labels_sql(source: str, kw: str = "kw", tax: str = "tax") -> str:
     """Common table expressions that label ``phrase`` of ``source``: result ``labp`` adds l3 and full_path."""
     return f"""
         lab_m AS (SELECT *, replace({strip_sql('phrase')}, 'orreon', '×') AS m FROM ({source})),
         lab_hit AS (
           SELECT d.m, k.l3, sum(length(k.keyword)) AS score, min(t.ord) AS ord
-          FROM (SELECT DISTINCT m FROM lab_m) d JOIN kw k ON contains(d.m, k.keyword) JOIN tax t ON t.l3 = k.l3
+          FROM (SELECT DISTINCT m FROM lab_m) d JOIN {kw} k ON contains(d.m, k.keyword) JOIN {tax} t ON t.l3 = k.l3
           WHERE NOT t.is_fallback GROUP BY d.m, k.l3),
         lab_best AS (
           SELECT m, l3 AS best FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, ord) AS rn FROM lab_hit)
@@ -155,7 +170,7 @@ def labels_sql(source: str) -> str:
           FROM lab_m LEFT JOIN lab_best USING (m)),
         labp AS (
           SELECT lab.*, CASE WHEN t.l3 IS NULL THEN NULL ELSE concat(t.l1, '/', t.l2, '/', t.l3) END AS full_path, t.l1
-          FROM lab LEFT JOIN tax t ON t.l3 = lab.l3)"""
+          FROM lab LEFT JOIN {tax} t ON t.l3 = lab.l3)"""
 
 
 class Tables:

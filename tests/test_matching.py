@@ -5,7 +5,7 @@ import random
 import pytest
 
 from echolens.functions import fixed_values as fixed
-from echolens.operators import audit, matching
+from echolens.operators import audit, dictionary, matching
 from echolens.operators.lexicon import Lexicon
 from echolens.sources import config
 
@@ -88,18 +88,51 @@ def test_random_phrases_match_brute_force(spark, lex):
     assert [got[i] for i in range(len(phrases))] == [brute(p, lex) for p in phrases]
 
 
-def test_long_dictionaries_give_the_same_labels(spark, lex, monkeypatch):
-    rng = random.Random(6)
-    bits = ["打击", "手感", "连招", "连击手", "菜单", "按钮", "卡", "卡总", "甲乙", "推荐", "神", " ", "xxxx", "一二三四五六", "😀"]
-    phrases = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(400)] + [None]
-    rows = spark.createDataFrame(list(enumerate(phrases)), "i int, phrase string").repartition(5)
-    short_hits = sorted(map(tuple, matching.keyword_hits(rows, "phrase", lex).select("i", "l3", "keyword", "pos").collect()))
-    monkeypatch.setattr(matching, "FEW_KEYWORDS", 0)
+def syllable_lexicon(n):
+    """``n`` words of three syllables, a label per first two, some words listed twice, some prefixes of others."""
+    parts = ["th", "er", "an", "on", "in", "at", "st", "re", "ha", "en", "卡", "顿"]
+    words = [a + b + c for a in parts for b in parts for c in parts][:n]
+    names = list(dict.fromkeys(w[:-2] if w.isascii() else w[:-1] for w in words))
+    taxonomy = tuple((i, f"L{i % 7}", f"M{i % 20}", name, i % 50 == 49) for i, name in enumerate(names))
+    keywords = [(w[:-2] if w.isascii() else w[:-1], w, i) for i, w in enumerate(words)]
+    keywords += [(names[0], names[0], n), (names[0], names[0], n + 1), (names[-1], "e", n + 2), (names[-1], words[0], n + 3)]
+    return Lexicon(taxonomy, tuple(keywords), meme_words=("qq",), recommend_words=("zz",), praise_words=("yy",), criticize_words=("xx",), masked_terms=("hahaha",))
+
+
+@pytest.mark.parametrize("size", [1, 12, 1391, 1728])
+def test_dictionaries_of_any_size(spark, size):
+    rng, lex = random.Random(size), syllable_lexicon(size)
+    bits = ["th", "er", "an", "on", "in", "at", "st", "re", "ha", "en", "卡", "顿", " ", "qq", "zz", "yy", "É", "😀"]
+    phrases = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(300)] + [None, "", "e", "e" * 5000, "ther" * 3000]
+    rows = spark.createDataFrame(list(enumerate(phrases)), "i int, phrase string").repartition(3)
     got = {r["i"]: r["l3"] for r in matching.with_label(rows, "phrase", lex).collect()}
     assert [got[i] for i in range(len(phrases))] == [brute(p, lex) for p in phrases]
     kept = matching.with_label(rows, "phrase", lex, only_matched=True)
     assert kept.count() == sum(brute(p, lex) is not None for p in phrases)
-    assert sorted(map(tuple, matching.keyword_hits(rows, "phrase", lex).select("i", "l3", "keyword", "pos").collect())) == short_hits
+    hits = sorted(map(tuple, matching.keyword_hits(rows, "phrase", lex).select("i", "l3", "keyword", "pos").collect()))
+    masked = [(i, p.strip().replace("hahaha", "×")) for i, p in enumerate(phrases) if p]
+    assert hits == sorted((i, l3, w, pos) for i, p in masked for l3, w, pos in lex.keywords if l3 not in lex.fallback and w in p)
+
+
+def test_matching_has_one_plan_without_python(spark):
+    for size in (12, 1391):
+        plan = matching.labelled(spark.createDataFrame([("x",)], "phrase string"), "phrase", syllable_lexicon(size))._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Exchange", "Join"))
+
+
+def test_words_are_filed_under_grams_they_hold():
+    words = [w for _, w, _ in syllable_lexicon(1728).keywords]
+    by_gram = dictionary.filed(dict.fromkeys(words))
+    assert sorted(w for members in by_gram.values() for w in members) == sorted(set(words))
+    assert all(g in w for g, members in by_gram.items() for w in members)
+    assert max(map(len, by_gram.values())) < 40  # a phrase meets few words it does not hold
+
+
+def test_empty_dictionary(spark):
+    lex = Lexicon((), (), meme_words=(), recommend_words=(), praise_words=(), criticize_words=(), masked_terms=())
+    rows = spark.createDataFrame([("short",), ("x" * 30,), (None,)], "phrase string")
+    assert [r["l3"] for r in matching.labelled(rows, "phrase", lex).collect()] == [lex.overall_label, None, None]
+    assert matching.keyword_hits(rows, "phrase", lex).count() == 0
 
 
 def test_paths_and_unmatched_rows(spark, lex):
