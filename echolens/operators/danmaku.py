@@ -61,14 +61,17 @@ def windows(danmaku: DataFrame, lex: Lexicon, seconds: int = WINDOW_SECONDS, per
     )
 
 
-def tone_windows(danmaku: DataFrame, lex: Lexicon, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Volume and tone per video and window: the part of A29 that a stream can keep up to date."""
+def tone_windows(danmaku: DataFrame, lex: Lexicon, seconds: int = WINDOW_SECONDS, newest: str | None = None) -> DataFrame:
+    """Volume and tone per video and window: the part of A29 that a stream can keep up to date.
+
+    ``newest`` names a time column whose maximum per window is added.
+    """
     sign = tone(F.col("content"), lex)
+    counts = [
+        F.count("*").alias("volume"), F.count_if(F.col("_tone") == "positive").alias("praise"),
+        F.count_if(F.col("_tone") == "negative").alias("criticize"),
+    ]
     return (
         danmaku.withColumn("window", F.floor(F.col("progress") / seconds)).withColumn("_tone", sign)
-        .groupBy("video_id", "window")
-        .agg(
-            F.count("*").alias("volume"), F.count_if(F.col("_tone") == "positive").alias("praise"),
-            F.count_if(F.col("_tone") == "negative").alias("criticize"),
-        )
+        .groupBy("video_id", "window").agg(*counts, *([F.max(newest).alias("newest")] if newest else []))
     )

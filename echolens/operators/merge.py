@@ -1,6 +1,6 @@
 """Merges: each takes the old table and a batch and gives the new table.
 
-Callers write the result to a new folder and switch over; nothing is overwritten while it is read.
+Callers write the result to a new folder and switch over (``sources.snapshots`` does both); nothing is overwritten while it is read.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx, values as v
 from ..functions.paths import segment
 from ..session import settled
+from ..sources.snapshots import Snapshots
 from .filters import derived_target
 from .lexicon import Lexicon
 from .matching import labelled, with_path
@@ -109,6 +110,11 @@ def replace_vectors(comments: DataFrame, batch: DataFrame) -> DataFrame:
     return batch
 
 
+def replace_all_vectors(table: Snapshots, comments: DataFrame, batch: DataFrame) -> int:
+    """M4 on a versioned table: the new vectors become visible at once and whole, or the old version stays."""
+    return table.replace(replace_vectors(comments, batch))
+
+
 def insert_danmaku(current: DataFrame, batch: DataFrame, arrival: str = "id") -> DataFrame:
     """M5: insert what is not there yet; blank content dropped, a missing user hash is the empty string."""
     clean = batch.withColumns({

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..operators import annotate, incremental, matching, merge, ordering, vectors
+from ..session import run_dir
+from ..sources.snapshots import Snapshots
 from ..streaming import jobs
 from . import daily
 from .registry import report
@@ -321,6 +323,16 @@ def m1(t: Tables):
     return merge.upsert_comments(full_comments(t).filter(F.col("likes").isNotNull()), landed_rows(t), now()).select(*UPSERT_COLUMNS)
 
 
+@report("m1_bucketed_upsert", UPSERT)
+def m1c(t: Tables):
+    """M1 on a table of buckets: a first version, then a merge that rewrites the buckets it touches."""
+    current = full_comments(t).filter(F.col("likes").isNotNull())
+    table = Snapshots(t.spark, run_dir(t.spark, "buckets"), current.schema, merge.KEY, 16)
+    first = table.replace(current)
+    table.merge(lambda old, batch: merge.upsert_comments(old, batch, now()), landed_rows(t), first + 1)
+    return table.read().select(*UPSERT_COLUMNS)
+
+
 def replaced(t: Tables):
     labels = t.vc.filter(F.col("language") == "en").select(
         F.when(F.col("id") % 10 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"), F.lit("negative").alias("sentiment"), F.lit(-0.3).alias("sentiment_score"),
@@ -645,6 +657,17 @@ def i7(t: Tables):
     return jobs.current_table(t.spark, root, t.spark.createDataFrame([], "video_id string, window bigint, volume bigint, praise bigint, criticize bigint"))
 
 
+@report("i7_ending_windows", """
+    SELECT video_id, CAST(floor(progress / 30) AS BIGINT) AS "window", count(*) AS volume, count(*) FILTER (WHERE contains(content, 'ing')) AS praise,
+      count(*) FILTER (WHERE contains(content, 'er') AND NOT contains(content, 'ing')) AS criticize FROM vd GROUP BY ALL""")
+def i7b(t: Tables):
+    """Closed, late and open windows together."""
+    root, checkpoint = jobs.folders(t.spark, "ending")
+    windows = jobs.EndingWindows(t.spark, root, t.lex, "1 day")
+    windows.start(danmaku_stream(t), checkpoint).awaitTermination()
+    return windows.totals()
+
+
 @report("i8_stream_inserts", "SELECT video_id, progress, content, user_hash, min(id) AS id FROM vd GROUP BY ALL")
 def i8(t: Tables):
     rows = danmaku_stream(t)

@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from ..functions import text as tx, values as v
 from ..operators import merge
-from ..operators.danmaku import tone_windows
+from ..operators.danmaku import WINDOW_SECONDS, tone_windows
 from ..operators.lexicon import Lexicon
-from ..session import run_dir
+from ..session import run_dir, settled
+from ..sources.snapshots import BUCKETS, Snapshots
 
 
 def read_landed(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -30,49 +32,40 @@ def start(query, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     return (query.trigger(availableNow=True) if available_now else query).start()
 
 
-def table_versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished versions under ``root``; a version counts once Spark has left its success marker."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    done = [n for n in names if n.startswith("v") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
-
-
 def current_table(spark: SparkSession, root: str, empty: DataFrame) -> DataFrame:
-    versions = table_versions(spark, root)
-    return spark.read.schema(empty.schema).parquet(f"{root}/v{versions[-1]}") if versions else empty
+    return Snapshots(spark, root, empty.schema).read()
 
 
-def merge_into(root: str, empty: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]):
-    """``foreachBatch`` body: version ``n + 1`` is the merge of version ``n`` and batch ``n``.
+def merge_into(root: str, empty: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], buckets: int = BUCKETS):
+    """``foreachBatch`` body: version ``n + 1`` is the merge of version ``n`` and batch ``n``, touched buckets only.
 
-    A batch that runs again after a failure rewrites its own version from the same input version, so the
-    result does not depend on how often it ran, and no version is read while it is written.
+    A batch that runs again after a failure starts from the same version; one that was committed is left alone.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [n for n in table_versions(spark, root) if n <= batch_id]
-        current = spark.read.schema(empty.schema).parquet(f"{root}/v{before[-1]}") if before else empty
-        step(current, batch).write.mode("overwrite").parquet(f"{root}/v{batch_id + 1}")
+        Snapshots(batch.sparkSession, root, empty.schema, keys, buckets).merge(step, batch, batch_id + 1)
 
     return body
 
 
-def ingest(stream: DataFrame, root: str, empty: DataFrame, now, checkpoint: str, arrival: str = "arrival", available_now: bool = True) -> StreamingQuery:
+def ingest(
+    stream: DataFrame, root: str, empty: DataFrame, now, checkpoint: str, arrival: str = "arrival", available_now: bool = True, buckets: int = BUCKETS,
+) -> StreamingQuery:
     """Review batches merged by key, last arrival of a batch first."""
     step = lambda current, batch: merge.upsert_comments(current, batch, now, arrival)
-    return start(stream.writeStream.foreachBatch(merge_into(root, empty, step)), checkpoint, available_now)
+    return start(stream.writeStream.foreachBatch(merge_into(root, empty, step, merge.KEY, buckets)), checkpoint, available_now)
 
 
-def danmaku_inserts(stream: DataFrame, root: str, empty: DataFrame, checkpoint: str, arrival: str = "id", available_now: bool = True) -> StreamingQuery:
-    """I8, exact form: insert what is not there yet, against the whole table."""
+def danmaku_inserts(
+    stream: DataFrame, root: str, empty: DataFrame, checkpoint: str, arrival: str = "id", available_now: bool = True, buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """I8, exact form: insert what is not there yet, against the whole table.
+
+    Buckets follow video and progress, the part of the key that cleaning leaves as it is.
+    """
     def step(current: DataFrame, batch: DataFrame) -> DataFrame:
         return current.unionByName(merge.insert_danmaku(current, batch, arrival).select(*current.columns))
 
-    return start(stream.writeStream.foreachBatch(merge_into(root, empty, step)), checkpoint, available_now)
+    return start(stream.writeStream.foreachBatch(merge_into(root, empty, step, ["video_id", "progress"], buckets)), checkpoint, available_now)
 
 
 def deduplicated_danmaku(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -100,17 +93,80 @@ def append_files(result: DataFrame, path: str, checkpoint: str, available_now: b
     return start(result.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, available_now)
 
 
-def tone_stream(stream: DataFrame, lex: Lexicon, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Volume and tone per video and 30-second window, changed windows replaced batch by batch."""
-    windows = tone_windows(stream, lex)
-    keys = ["video_id", "window"]
-    empty = stream.sparkSession.createDataFrame([], windows.schema)
+def tone_stream(stream: DataFrame, lex: Lexicon, root: str, checkpoint: str, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    """Volume and tone per video and 30-second window, kept for ever: each batch adds to the windows it meets."""
+    empty = stream.sparkSession.createDataFrame([], tone_windows(stream, lex).schema)
+
+    def step(current: DataFrame, batch: DataFrame) -> DataFrame:
+        return added(current.unionByName(tone_windows(batch, lex)), ["video_id", "window"])
+
+    body = merge_into(root, empty, lambda current, batch: step(current, batch.drop("window")), ["video_id", "window"], buckets)
+    windowed = stream.withColumn("window", F.floor(F.col("progress") / WINDOW_SECONDS))
+    return start(windowed.writeStream.foreachBatch(body), checkpoint, available_now)
+
 
-    def step(current: DataFrame, changed: DataFrame) -> DataFrame:
-        return current.join(changed.select(*keys), keys, "left_anti").select(*changed.columns).unionByName(changed)
+COUNTS = ("volume", "praise", "criticize")
+
+
+def added(windows: DataFrame, keys: list[str]) -> DataFrame:
+    return windows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+class EndingWindows:
+    """I7 with ending state: open windows are kept, closed and late ones are handed on.
+
+    A window is open while bullet comments posted within ``delay`` of the newest one fall into it. Then it goes to
+    ``closed`` and out of the state, which holds a ``delay`` of windows however long the stream runs. A comment posted
+    before that limit is late: it is counted in ``late`` beside. A closed window may open again for comments in time, so
+    both outputs hold parts of windows; ``totals`` adds them up to what the batch report says.
+
+    The limit a batch is judged by is that of the batch before, as with watermarks; it is kept in the state's manifest.
+    Outputs are written per batch under its number before the manifest commits, so a repeated batch overwrites its own. Comments
+    without a time are never late and do not hold a window open.
+    """
 
-    return start(
-        windows.writeStream.outputMode("update").foreachBatch(merge_into(root, empty, step)), checkpoint, available_now)
+    def __init__(self, spark: SparkSession, root: str, lex: Lexicon, delay: str = "1 day", buckets: int = 8):
+        self.spark, self.root, self.lex, self.delay = spark, root, lex, delay
+        self.kind = spark.createDataFrame([], "video_id string, window bigint, volume bigint, praise bigint, criticize bigint").schema
+        self.open = Snapshots(spark, f"{root}/open", StructType([*self.kind.fields, StructField("newest", TimestampNTZType())]), ["video_id", "window"], buckets)
+
+    def body(self, batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + 1
+        if version in self.open.versions():
+            return
+        before = self.open.before(version)
+        limit = before["facts"].get("limit")
+        since = F.lit(limit).cast("timestamp_ntz")
+        late = F.coalesce(F.col("posted_at") < since, F.lit(False))
+        rows = settled(batch.withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz")).withColumn("_late", late))
+        self._put("late", batch_id, tone_windows(rows.filter("_late"), self.lex))
+        timely = rows.filter("NOT _late")
+        reached = timely.agg(F.max("posted_at") - F.expr(f"interval {self.delay}")).first()[0]
+        limit = max(filter(None, [limit, reached and reached.isoformat(" ")]), default=None)
+        fresh = tone_windows(timely, self.lex, newest="posted_at")
+        held = self.open._rows(before["buckets"].values()).unionByName(fresh).groupBy("video_id", "window").agg(
+            *[F.sum(c).alias(c) for c in COUNTS], F.max("newest").alias("newest"))
+        held = settled(held)
+        ended = F.coalesce(F.col("newest") < F.lit(limit).cast("timestamp_ntz"), F.lit(True))
+        self._put("closed", batch_id, held.filter(ended).drop("newest"))
+        self.open.replace(held.filter(~ended), {"limit": limit}, version)
+        self.open.expire(keep=2)
+
+    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        return start(stream.writeStream.foreachBatch(self.body), checkpoint, available_now)
+
+    def output(self, name: str) -> DataFrame:
+        """``closed`` or ``late``: parts of windows of all committed batches."""
+        folder = f"{self.root}/{name}"
+        done = [n for n in self.open.files.names(folder) if int(n.split("=")[1]) < max(self.open.versions(), default=0)]
+        return self.spark.read.schema(self.kind).parquet(*[f"{folder}/{n}" for n in done]) if done else self.spark.createDataFrame([], self.kind)
+
+    def totals(self) -> DataFrame:
+        every = self.open.read().drop("newest").unionByName(self.output("closed")).unionByName(self.output("late"))
+        return added(every, ["video_id", "window"])
+
+    def _put(self, name: str, batch_id: int, rows: DataFrame) -> None:
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in self.kind]).coalesce(8).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
 
 
 def finished(spark: SparkSession, query: StreamingQuery, root: str, empty: DataFrame) -> DataFrame:
