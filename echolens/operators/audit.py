@@ -12,6 +12,7 @@ from .filters import purge_rules, within
 from .lexicon import Lexicon
 from .matching import with_label
 from .metrics import over_all
+from .vectors import foreign
 
 
 def ingest_by_day(comments: DataFrame, column: str = "posted_at") -> DataFrame:
@@ -172,11 +173,11 @@ def rating_split(comments: DataFrame) -> DataFrame:
     return comments.groupBy("target_id", "rating").agg(F.count("*").alias("n"))
 
 
-def single_space(vectors: DataFrame, current: str) -> None:
+def single_space(vectors: DataFrame, current: str, dim: int | None = None) -> None:
     """Refuse to mix vector spaces."""
-    other = [r["model"] for r in vectors.select("model").distinct().limit(10).collect() if r["model"] != current]
+    other = foreign(vectors, current, dim)
     if other:
-        raise ValueError(f"vectors of another model present: {sorted(other)}; expected only {current!r}")
+        raise ValueError(f"vectors of another model present: {other}; expected only {current!r}")
 
 
 def label_coverage(used: DataFrame, known: DataFrame, column: str = "l3") -> DataFrame:

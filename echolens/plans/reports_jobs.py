@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schemas
 from ..operators import annotate, incremental, matching, merge, ordering, vectors
@@ -499,12 +499,49 @@ def v1(t: Tables):
       SELECT comment_id, list_dot_product(CAST(vector AS DOUBLE[]), q.q) AS s FROM ve, q ORDER BY s DESC, comment_id LIMIT 10) h JOIN vc c ON c.id = h.comment_id""")
 def v2(t: Tables):
     query = t.ve.filter("comment_id = 7").select("vector").first()["vector"]
-    return vectors.semantic_search(t.ve, t.vc, query, 10, ("target_id",))
+    return vectors.semantic_search(t.ve, t.vc, query, 10, ("target_id",), "m-1")
 
 
-@report("v3_single_space", "SELECT DISTINCT model, dim FROM ve")
+@report("v2_many_queries", """
+    WITH q AS (SELECT comment_id AS query_id, CAST(vector AS DOUBLE[]) AS q FROM ve WHERE comment_id % 20 = 0),
+    s AS (SELECT query_id, comment_id, round(list_dot_product(CAST(vector AS DOUBLE[]), q), 9) AS s FROM ve, q),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, comment_id) AS rn FROM s)
+    SELECT h.query_id, h.comment_id, round(h.s, 4) AS score, c.target_id FROM h JOIN vc c ON c.id = h.comment_id WHERE rn <= 10""")
+def v2b(t: Tables):
+    """Every twentieth vector as a query against all."""
+    queries = t.ve.filter("comment_id % 20 = 0").select(F.col("comment_id").alias("query_id"), "vector")
+    return vectors.semantic_search_many(t.ve, t.vc, queries, 10, ("target_id",), "m-1")
+
+
+@report("v1_space_norms", """
+    SELECT id, CASE WHEN regexp_matches(regexp_replace(content, 'http[^\\s]+', ' ', 'g'), '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM vc""")
+def v1b(t: Tables):
+    """A space fitted once on one platform, kept, loaded and used for all comments: vectors of length one, or zero without words."""
+    folder = run_dir(t.spark, "space")
+    vectors.Space.fitted(t.vc, "content", "tfidf-1", 128, folder)
+    found = vectors.Space.load(t.spark, folder, "tfidf-1").vectors(t.vc, "content")
+    return found.select("id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3).alias("norm"))
+
+
+@report("v1_two_landings", """
+    WITH x AS (SELECT id, max(id) OVER (PARTITION BY content) AS top FROM vc WHERE id < 400 AND language = 'en') SELECT id, top = id AS newest FROM x""")
+def v1c(t: Tables):
+    """Two landings in one space are searched together: equal texts of different landings have one vector."""
+    rows = t.vc.filter("id < 400 AND language = 'en'").select("id", "content")
+    space = vectors.Space.fitted(rows, "content", "tfidf-1", 256)
+    landed = [space.vectors(rows.filter(f"id % 2 = {i}"), "content") for i in (0, 1)]
+    both = landed[0].unionByName(landed[1])
+    newest = Window.partitionBy("vector")
+    return both.withColumn("top", F.max("id").over(newest)).select("id", (F.col("top") == F.col("id")).alias("newest"))
+
+
+MIXED = "SELECT comment_id, vector, CASE WHEN label >= 8 THEN 'm-2' ELSE 'm-1' END AS model, CASE WHEN label = 5 THEN 32 ELSE 64 END AS dim FROM ve"
+
+
+@report("v3_single_space", f"SELECT model, dim, count(*) AS n, model = 'm-1' AND dim = 64 AS ok FROM ({MIXED}) GROUP BY ALL")
 def v3(t: Tables):
-    return t.ve.select("model", "dim").distinct()
+    """The guard's verdict per model and length of a table that mixes two models."""
+    return vectors.guard(t.sql(MIXED), "m-1", 64)
 
 
 @report("v4_assigned", """

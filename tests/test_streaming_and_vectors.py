@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolens import schemas
-from echolens.operators import annotate, merge, vectors
+from echolens.operators import annotate, audit, merge, vectors
 from echolens.operators.danmaku import tone_windows
 from echolens.plans import daily
 from echolens.plans.tables import LEXICON
@@ -199,3 +199,56 @@ def test_anchored_takes_all_and_falls_back_to_the_content(spark):
     got = {r["id"]: r["quote"] for r in vectors.anchored(opinions, comments, "B").collect()}
     assert len(got) == 700 and got[5] == "content 2" and got[6] == "q6"
     assert vectors.anchored(opinions, comments, "B", limit=10).count() == 10
+
+
+def test_one_space_for_two_landings(spark, texts, tmp_path):
+    space = vectors.Space.fitted(texts, "content", "tfidf-1", 128, str(tmp_path))
+    again = vectors.Space.load(spark, str(tmp_path), "tfidf-1")
+    assert (again.name, again.dim) == ("tfidf-1", 128)
+    get = lambda s, df: {r["id"]: list(r["vector"]) for r in s.vectors(df, "content").collect()}
+    whole = get(space, texts)
+    parts = get(again, texts.filter("id < 3")) | get(again, texts.filter("id >= 3"))
+    assert parts == whole and any(x for x in parts[1])  # a landing of few rows has the weights of all
+    with pytest.raises(Exception):
+        vectors.Space.fitted(texts.filter("id = 1"), "content", "tfidf-1", 128, str(tmp_path))
+
+
+def test_guard_and_search_refuse_another_model(spark):
+    rows = spark.createDataFrame([(1, "a", 2, [1.0, 0.0]), (2, "b", 2, [0.0, 1.0]), (3, None, 2, [0.0, 1.0]), (4, "a", 3, [0.0, 1.0, 0.0])], "comment_id bigint, model string, dim int, vector array<float>")
+    comments = spark.createDataFrame([(1, "x")], "id bigint, content string")
+    assert {(r["model"], r["dim"], r["n"], r["ok"]) for r in vectors.guard(rows, "a", 2).collect()} == {("a", 2, 1, True), ("b", 2, 1, False), (None, 2, 1, False), ("a", 3, 1, False)}
+    assert vectors.foreign(rows, "a") == ["(none)", "b"] and vectors.foreign(rows.filter("model = 'a'"), "a", 2) == ["a"]
+    assert vectors.foreign(rows.limit(0), "a") == []
+    with pytest.raises(ValueError, match="another model"):
+        audit.single_space(rows, "a")
+    with pytest.raises(Exception, match="more than one space"):  # equal length, other model
+        vectors.semantic_search(rows.filter("dim = 2"), comments, [1.0, 0.0], 1, model="a").collect()
+    with pytest.raises(Exception, match="more than one space"):
+        vectors.semantic_search_many(rows.filter("dim = 2"), comments, rows.filter("comment_id = 1").selectExpr("1 AS query_id", "vector"), 1, model="a").collect()
+    assert vectors.semantic_search(rows.filter("comment_id = 1"), comments, [1.0, 0.0], 1, model="a").count() == 1
+
+
+@pytest.mark.parametrize("rows_n,queries_n,top", [(3000, 40, 7), (50, 600, 3), (4, 3, 9)])
+def test_many_queries_against_every_product(spark, monkeypatch, rows_n, queries_n, top):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 64)
+    r = np.random.default_rng(rows_n)
+    m = r.integers(-2, 3, (rows_n, 6)).astype(float)  # many ties
+    q = r.integers(-2, 3, (queries_n, 6)).astype(float)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "comment_id bigint, vector array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id bigint, vector array<float>")
+    want = {(k, int(i)) for k, x in enumerate(q) for i in np.lexsort((np.arange(rows_n), -(m @ x)))[:top]}
+    assert {(x["query_id"], x["comment_id"]) for x in vectors.many_scored(table, asked, top).collect()} == want
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 400)  # several passes
+    assert {(x["query_id"], x["comment_id"]) for x in vectors.many_scored(table, asked, top).collect()} == want
+
+
+def test_many_queries_of_empty_tables(spark):
+    table = spark.createDataFrame([(1, [1.0]), (None, [1.0]), (2, None)], "comment_id bigint, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0]), (None, [1.0])], "query_id bigint, vector array<float>")
+    with pytest.raises(Exception, match="more than one space"):
+        vectors.many_scored(table, asked, 3).collect()  # a missing vector is of no space
+    table = table.filter("vector IS NOT NULL")
+    assert [(r["query_id"], r["comment_id"]) for r in vectors.many_scored(table, asked, 3).collect()] == [(1, 1)]
+    assert vectors.many_scored(table, asked.limit(0), 3).count() == 0 and vectors.many_scored(table.limit(0), asked, 3).count() == 0
