@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from .filters import within
-from ..session import small
+from .filters import derived_target, within
+from ..session import settled, small
 from .ordering import ranked
 
 
@@ -57,3 +58,71 @@ def isolated(stage: str, step: Callable[[], DataFrame], errors: list[tuple[str,
     except Exception as error:  # noqa: BLE001 - the next stage must still run
         errors.append((stage, str(error)[:500]))
         return None
+
+
+def with_failures(raw: DataFrame) -> DataFrame:
+    """The landed rows with their target and, where a row cannot be merged, the reason.
+
+    A reader that could not fetch or parse a payload lands a row with a ``failure``.
+    """
+    target = derived_target(F.col("platform"), F.col("target_key"), F.col("extra_json"))
+    no_key = F.coalesce(F.trim("platform"), F.lit("")) == ""
+    no_id = F.coalesce(F.trim("source_id"), F.lit("")) == ""
+    reason = (
+        F.when(no_key, "no platform").when(no_id, "no source id")
+        .when(F.col("extra_json").isNotNull() & F.try_parse_json("extra_json").isNull(), "extras are no JSON")
+    )
+    given = F.col("failure").cast("string") if "failure" in raw.columns else F.lit(None).cast("string")
+    return raw.withColumn("failure", F.coalesce(given, reason)).withColumn("_target", F.coalesce(target, F.lit("(unknown)")))
+
+
+def split_by_target(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """Rows to land, quarantined rows, failed targets, and the counts of all.
+
+    A target with a row that failed lands nothing this time; its other rows are held back in the quarantine beside it. All other
+    targets land. The counts are taken while the rows are written.
+    """
+    seen = Observation()
+    marked = settled(with_failures(raw).observe(seen, F.count("*").alias("rows"), F.count("failure").alias("failed")))
+    failed = small(marked.filter("failure IS NOT NULL").groupBy("_target").agg(F.min("failure").alias("error")))
+    good = marked.join(failed, "_target", "left_anti").drop("failure", "_target")
+    held = marked.join(failed, "_target").withColumn("failure", F.coalesce("failure", F.concat(F.lit("held back: "), "error"))).drop("error")
+    return good, held.withColumnRenamed("_target", "target_id"), failed.withColumnRenamed("_target", "target_id"), seen.get
+
+
+MAX_TARGETS = 10_000  # targets are a configuration; beyond this a failing stage is not divided
+
+
+def divided(rows: DataFrame, step: Callable[[DataFrame], DataFrame], target: str = "target_id") -> tuple[DataFrame | None, dict[str, str]]:
+    """Run a stage on all targets at once; when it fails, on halves of them, until the failing targets stand alone.
+
+    Returns what the others gave and the error of each failing target. A stage that works costs one run; each
+    failing target costs about twice the logarithm of their number.
+    """
+    try:
+        return settled(step(rows)), {}
+    except Exception as error:  # noqa: BLE001 - find the targets that cause it
+        first = str(error)[:500]
+    names = [r[0] for r in rows.select(target).distinct().limit(MAX_TARGETS + 1).collect()]
+    if len(names) > MAX_TARGETS:
+        raise RuntimeError(first)
+    found: list[DataFrame] = []
+    bad: dict[str, str] = {}
+
+    def run(part: list, error: str | None) -> None:
+        if error is None:
+            try:
+                one = F.coalesce(F.col(target), F.lit("")).isin([x or "" for x in part])
+                found.append(settled(step(rows.filter(one))))
+                return
+            except Exception as e:  # noqa: BLE001
+                error = str(e)[:500]
+        if len(part) == 1:
+            bad[part[0]] = error
+        else:
+            for half in (part[: len(part) // 2], part[len(part) // 2 :]):
+                run(half, None)
+
+    if names:
+        run(sorted(names, key=lambda x: x or ""), first)
+    return (reduce(DataFrame.unionByName, found) if found else None), bad

@@ -630,18 +630,79 @@ def i3(t: Tables):
         t.vc, t.vc.filter(F.col("likes").isNotNull()), t.vc.filter(F.col("analyzed_at").isNotNull()).select("target_id", "id"), embedded, failed)
 
 
-@report("i4_landing_log", """
-    WITH k AS (SELECT CASE WHEN likes IS NOT NULL THEN target_id WHEN platform = 'steam' AND extra_json IS NOT NULL THEN concat('steam:', CAST(id % 9 AS VARCHAR)) ELSE concat(platform, ':key') END AS target_id,
-      likes IS NULL AS new, likes IS NULL OR analyzed_at IS NULL AS todo FROM vf)
-    SELECT target_id, true AS ok, count(*) AS fetched, count(*) FILTER (WHERE new) AS inserted, count(*) FILTER (WHERE todo) AS analyzed, count(*) AS embedded, CAST(NULL AS VARCHAR) AS error
-    FROM k GROUP BY target_id""")
-def i4(t: Tables):
-    stored = t.spark.createDataFrame([], schemas.EMBEDDINGS)
-    opinions = t.spark.createDataFrame([], schemas.OPINIONS)
-    done = daily.land(landed_rows(t), full_comments(t).filter(F.col("likes").isNotNull()), opinions, stored, t.lex, NOW, dim=128)
+# A landing in which one target fails: the reader could not fetch some rows of store app 4.
+LANDED = f"""
+    k AS (SELECT v.*, CASE WHEN platform = 'steam' AND extra_json IS NOT NULL THEN concat('steam:', CAST(id % 9 AS VARCHAR)) ELSE concat(platform, ':key') END AS derived FROM vf v),
+    good AS (SELECT *, likes IS NULL AS new FROM k WHERE derived <> 'steam:4'),
+    landed AS (SELECT id, CASE WHEN new THEN derived ELSE target_id END AS target_id, CASE WHEN platform = 'steam' THEN 'early' ELSE concat('new ', language) END AS content,
+      new OR analyzed_at IS NULL AS todo, sentiment, topic, platform, source_id FROM good
+      UNION ALL SELECT id, target_id, content, analyzed_at IS NULL, sentiment, topic, platform, source_id FROM k WHERE derived = 'steam:4' AND likes IS NOT NULL)"""
+
+
+def landing(t: Tables):
+    failure = F.when(F.startswith("extra_json", F.lit('{"appid": "4"')) & (F.col("platform") == "steam") & (F.col("arrival") % 5 == 0), "timeout")
+    raw = landed_rows(t).withColumn("failure", failure)
+    stored, opinions = t.spark.createDataFrame([], schemas.EMBEDDINGS), t.spark.createDataFrame([], schemas.OPINIONS)
+    bullets = t.vd.withColumns({"cid": F.lit("c"), "color": F.lit(0), "fetched_at": now()})
+    none = t.spark.createDataFrame([], schemas.DANMAKU)
+    done = daily.land(raw, full_comments(t).filter(F.col("likes").isNotNull()), opinions, stored, t.lex, NOW, dim=128, bullets=bullets, danmaku=none)
     if done.errors:
         raise RuntimeError(done.errors)
-    return done.log
+    return done
+
+
+@report("i4_landing_log", f"""
+    WITH {LANDED}, b AS (SELECT DISTINCT platform, source_id FROM good)
+    SELECT coalesce(l.target_id, 'steam:4') AS target_id, l.target_id IS NOT NULL AS ok, coalesce(fetched, 0) AS fetched, coalesce(inserted, 0) AS inserted, coalesce(analyzed, 0) AS analyzed,
+      coalesce(embedded, 0) AS embedded, CASE WHEN l.target_id IS NULL THEN 'timeout' END AS error
+    FROM (SELECT l.target_id, count(*) FILTER (WHERE b.platform IS NOT NULL) AS fetched, count(*) FILTER (WHERE b.platform IS NOT NULL AND v.likes IS NULL) AS inserted,
+        count(*) FILTER (WHERE todo) AS analyzed, count(*) AS embedded
+      FROM landed l JOIN vf v ON v.id = l.id LEFT JOIN b ON b.platform = l.platform AND b.source_id = l.source_id GROUP BY l.target_id) l
+    FULL JOIN (SELECT DISTINCT derived FROM k WHERE derived = 'steam:4') f ON f.derived = l.target_id""")
+def i4(t: Tables):
+    return landing(t).log
+
+
+TODO = "SELECT id, content FROM landed WHERE todo"
+PIECES = f"""SELECT id, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS pos, unnest(parts) AS phrase FROM (SELECT id, regexp_split_to_array(content, '[.!?。！？\n]+') AS parts FROM ({TODO}))"""
+LAND_LABELS = f"""
+    WITH {LANDED}, pieces AS (SELECT id, pos, {strip_sql('phrase')} AS phrase FROM ({PIECES})),
+    {labels_sql("SELECT * FROM pieces WHERE length(phrase) > 1")},
+    toned AS (SELECT id, pos, m AS masked, phrase, l3, full_path, CASE WHEN contains(phrase, 'ing') THEN 'positive' WHEN contains(phrase, 'er') THEN 'negative' ELSE 'neutral' END AS sentiment
+      FROM labp WHERE l3 IS NOT NULL),
+    {labels_sql("SELECT id, content AS phrase FROM landed WHERE todo AND id NOT IN (SELECT id FROM toned)").replace('lab_', 'whole_').replace('lab ', 'whole ').replace('lab.', 'whole.').replace('labp', 'wholep')},
+    valid AS (SELECT id, pos, phrase, sentiment, CASE sentiment WHEN 'neutral' THEN 0.0 ELSE 0.6 END::DOUBLE AS confidence, l3, full_path FROM toned
+      UNION ALL SELECT id, 0, substr(phrase, 1, 60), 'neutral', 0.0::DOUBLE, l3, full_path FROM wholep WHERE full_path IS NOT NULL),
+    ranked AS (SELECT v.*, t.is_fallback, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM valid v JOIN tax t ON t.l3 = v.l3),
+    spec AS (SELECT id, full_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM ranked WHERE NOT is_fallback) WHERE k = 1)"""
+
+
+@report("i4_landing_comments", LAND_LABELS + f"""
+    SELECT l.platform, l.source_id, l.target_id, l.content, CASE WHEN todo THEN coalesce(r.sentiment, 'neutral') ELSE l.sentiment END AS sentiment,
+      CASE WHEN todo THEN coalesce(split_part(CASE WHEN r.is_fallback AND s.full_path IS NOT NULL THEN s.full_path ELSE r.full_path END, '/', 1), 'Meta') ELSE l.topic END AS topic
+    FROM landed l LEFT JOIN ranked r ON r.id = l.id AND r.rn = 1 LEFT JOIN spec s ON s.id = l.id""")
+def i4b(t: Tables):
+    return landing(t).comments.select("platform", "source_id", "target_id", "content", "sentiment", "topic")
+
+
+@report("i4_landing_opinions", LAND_LABELS + """
+    SELECT l.platform, l.source_id, r.full_path, r.sentiment, r.confidence AS sentiment_confidence, trim(r.phrase) AS quote FROM ranked r JOIN landed l ON l.id = r.id""")
+def i4c(t: Tables):
+    done = landing(t)
+    key = done.comments.select(F.col("id").alias("comment_id"), "platform", "source_id")
+    return done.opinions.join(key, "comment_id").select("platform", "source_id", "full_path", "sentiment", "sentiment_confidence", "quote")
+
+
+@report("i4_landing_quarantine", f"""
+    WITH {LANDED}, a AS (SELECT *, id * 2 + 1 AS arrival FROM k WHERE derived = 'steam:4' UNION ALL SELECT *, id * 2 FROM k WHERE derived = 'steam:4')
+    SELECT derived AS target_id, source_id, arrival, CASE WHEN arrival % 5 = 0 THEN 'timeout' ELSE 'held back: timeout' END AS failure FROM a""")
+def i4d(t: Tables):
+    return landing(t).quarantine.select("target_id", "source_id", "arrival", "failure")
+
+
+@report("i4_landing_danmaku", "SELECT video_id, progress, content, user_hash, min(id) AS id FROM vd GROUP BY ALL")
+def i4e(t: Tables):
+    return landing(t).danmaku.select("video_id", "progress", "content", "user_hash", "id")
 
 
 def stream_of(t: Tables, name: str) -> DataFrame:

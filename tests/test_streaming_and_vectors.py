@@ -122,7 +122,7 @@ def test_landing_job(spark):
     log = done.log.first()
     assert (log["fetched"], log["inserted"], log["analyzed"], log["embedded"], log["ok"]) == (2, 2, 2, 2, True)
     # A second landing of the same rows inserts, embeds and labels nothing.
-    again = daily.land(batch, done.comments, done.opinions, done.vectors, LEXICON, NOW, dim=64)
+    again = daily.land(batch, done.comments, done.opinions, done.vectors, LEXICON, NOW, space=done.space)
     log = again.log.first()
     assert (log["fetched"], log["inserted"], log["analyzed"], log["embedded"]) == (2, 0, 0, 0)
     assert again.opinions.count() == 2
@@ -135,10 +135,64 @@ def test_a_failing_annotator_is_isolated(spark):
     batch = spark.createDataFrame([raw("1", "a", None, 0)], RAW)
     none = lambda s: spark.createDataFrame([], s)
     done = daily.land(batch, none(schemas.COMMENTS), none(schemas.OPINIONS), none(schemas.EMBEDDINGS), LEXICON, NOW, [broken], dim=16)
-    assert done.errors == [("annotate", "model away")]
+    assert done.errors == [("annotate", "steam:730: model away")]
     assert done.comments.count() == 1 and done.vectors.count() == 1 and done.opinions.count() == 0
 
 
+def both(a, b):
+    return ("steam", a, "730" if a < "5" else "bad", f"text {b}", None, None, None, "en", None, None, None, None, int(a))
+
+
+def test_one_bad_target_does_not_stop_the_others(spark):
+    none = lambda s: spark.createDataFrame([], s)
+    rows = [(*both(str(i), i), "timeout" if i == 7 else None) for i in range(10)] + [("steam", " ", "9", *[None] * 9, 11, None), ("steam", "x", "8", *[None] * 8, "{", 12, None), (None, "y", "7", *[None] * 9, 13, None)]
+    batch = spark.createDataFrame(rows, RAW + ", failure string")
+    done = daily.land(batch, none(schemas.COMMENTS), none(schemas.OPINIONS), none(schemas.EMBEDDINGS), LEXICON, NOW, dim=16)
+    assert sorted(r["source_id"] for r in done.comments.collect()) == list("01234") and done.errors == []
+    assert done.counts == {"rows": 13, "failed": 4}
+    log = {r["target_id"]: (r["ok"], r["fetched"], r["inserted"], r["analyzed"], r["embedded"], r["error"]) for r in done.log.collect()}
+    assert log == {
+        "steam:730": (True, 5, 5, 5, 5, None), "steam:bad": (False, 0, 0, 0, 0, "timeout"), "steam:9": (False, 0, 0, 0, 0, "no source id"),
+        "steam:8": (False, 0, 0, 0, 0, "extras are no JSON"), "(unknown)": (False, 0, 0, 0, 0, "no platform")}
+    held = sorted((r["source_id"], r["failure"]) for r in done.quarantine.filter("target_id = 'steam:bad'").collect())
+    assert held == [(str(i), "timeout" if i == 7 else "held back: timeout") for i in range(5, 10)]
+
+
+def test_an_annotator_that_fails_for_one_target(spark):
+    def picky(df):
+        assert_fine = F.when(F.contains("content", F.lit("poison")), F.raise_error(F.lit("cannot read"))).otherwise(F.col("content"))
+        return annotate.lexicon_annotator(LEXICON)(df.withColumn("content", assert_fine))
+
+    none = lambda s: spark.createDataFrame([], s)
+    rows = [("steam", f"{t}-{i}", f"t{t}", "poison" if t == 3 and i == 1 else "thatin. fine", None, None, None, "en", None, None, None, None, 10 * t + i) for t in range(6) for i in range(3)]
+    done = daily.land(spark.createDataFrame(rows, RAW), none(schemas.COMMENTS), none(schemas.OPINIONS), none(schemas.EMBEDDINGS), LEXICON, NOW, [picky], dim=16)
+    log = {r["target_id"]: (r["ok"], r["fetched"], r["analyzed"], r["embedded"]) for r in done.log.collect()}
+    assert log == {f"steam:t{t}": (t != 3, 3, 0 if t == 3 else 3, 3) for t in range(6)}
+    assert len(done.errors) == 1 and done.errors[0][1].startswith("steam:t3: ") and "cannot read" in done.errors[0][1]
+    todo = {r["target_id"] for r in done.comments.filter("analyzed_at IS NULL").collect()}
+    assert todo == {"steam:t3"}  # next time again
+
+
+def test_vectors_are_not_written_beside_another_space(spark):
+    none = lambda s: spark.createDataFrame([], s)
+    stored = spark.createDataFrame([(99, "old-model", 16, [0.0] * 16, NOW)], schemas.EMBEDDINGS)
+    done = daily.land(spark.createDataFrame([raw("1", "a", None, 0)], RAW), none(schemas.COMMENTS), none(schemas.OPINIONS), stored, LEXICON, NOW, dim=16)
+    assert [s for s, _ in done.errors] == ["vectors"] and "old-model" in done.errors[0][1]
+    assert done.vectors.count() == 1 and done.comments.count() == 1 and done.opinions.count() == 1
+
+
+def test_bullet_comments_land_and_fail_alone(spark):
+    none = lambda s: spark.createDataFrame([], s)
+    old = spark.createDataFrame([(1, "v", "c", "a", 1, 0, 0, "u", NOW, NOW)], schemas.DANMAKU)
+    new = spark.createDataFrame([(2, "v", "c", " a", 1, 0, 0, "u", NOW, NOW), (3, "v", "c", "b", 1, 0, 0, None, NOW, NOW), (4, "v", "c", " ", 1, 0, 0, "u", NOW, NOW)], schemas.DANMAKU)
+    args = (spark.createDataFrame([raw("1", "a", None, 0)], RAW), none(schemas.COMMENTS), none(schemas.OPINIONS), none(schemas.EMBEDDINGS), LEXICON, NOW)
+    done = daily.land(*args, dim=16, bullets=new, danmaku=old)
+    assert sorted((r["id"], r["user_hash"]) for r in done.danmaku.collect()) == [(1, "u"), (3, "")] and done.errors == []
+    broken = new.withColumn("content", F.raise_error(F.lit("torn file")).cast("string"))
+    done = daily.land(*args, dim=16, bullets=broken, danmaku=old)
+    assert [s for s, _ in done.errors] == ["danmaku"] and done.danmaku.count() == 1 and done.comments.count() == 1
+
+
 def test_prompts_and_replies_round_trip(spark):
     comments = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "id bigint, content string")
     rows = {r["batch"]: r for r in annotate.prompt_batches(comments, size=3).collect()}
