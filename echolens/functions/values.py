@@ -24,9 +24,9 @@ def naive_utc(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds.try_cast("double")).cast("timestamp_ntz")
 
 
-def sentiment_label(text: Column) -> Column:
-    """Lower-cased sentiment, neutral when unknown."""
-    low = F.lower(strip(text))
+def sentiment_label(text: Column, stripped: bool = True) -> Column:
+    """Lower-cased sentiment, neutral when unknown; blanks around it count unless ``stripped``."""
+    low = F.lower(strip(text) if stripped else text)
     return F.when(low.isin(*fixed.SENTIMENTS), low).otherwise("neutral")
 
 

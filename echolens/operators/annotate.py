@@ -19,7 +19,9 @@ Annotator = Callable[[DataFrame], DataFrame]
 
 def prompt_batches(comments: DataFrame, size: int = 10, chars: int = 500) -> DataFrame:
     """T5: one row per batch of ``size`` comments: ids in order and the numbered texts, one per line."""
-    numbered = batches(comments.select("id", F.substring("content", 1, chars).alias("text")), [F.asc("id")], size)
+    # Only ids are put in order; the texts join their number afterwards.
+    texts = comments.select("id", F.substring("content", 1, chars).alias("text"))
+    numbered = batches(comments.select("id"), [F.asc("id")], size).join(texts, "id")
     line = F.concat(F.lit("["), F.col("idx"), F.lit("] "), F.col("text"))
     # A batch holds at most ``size`` rows.
     packed = numbered.groupBy("batch").agg(
@@ -33,27 +35,35 @@ def prompt_batches(comments: DataFrame, size: int = 10, chars: int = 500) -> Dat
 def parse_responses(responses: DataFrame) -> DataFrame:
     """T4: (batch, batch_size, response) to one row per batch index with cleaned opinions.
 
-    Indexes outside the batch are dropped, the last of a repeated index wins, missing ones come out empty.
+    Indexes outside the batch and those that are no JSON integers (true and false count as 1 and 0) are dropped, the last
+    of a repeated index wins, missing ones come out empty. The label of a comment counts as it stands, those of opinions are stripped.
     """
     body = F.from_json(tx.response_body(F.col("response")), schemas.MODEL_RESPONSE)
     indexes = F.when(F.col("batch_size") > 0, F.sequence(F.lit(0), F.col("batch_size") - 1))
     results = F.coalesce(F.col("_r.results"), F.array().cast(F_RESULTS))
     # The results of one reply: at most a batch of them, and a model's worth of opinions each.
-    item = lambda i: F.try_element_at(F.filter(results, lambda x: x["index"] == i.cast("string")), F.lit(-1))
+    item = lambda i: F.try_element_at(F.filter(results, lambda x: whole_number(x["index"]) == i), F.lit(-1))
     slots = F.transform(indexes, lambda i: F.struct(i.alias("idx"), item(i).alias("item")))
     found = responses.select("batch", "batch_size", body.alias("_r")).select("batch", F.inline(slots))
     answered = F.col("item").isNotNull()
     return found.select(
         "batch", "idx",
-        v.sentiment_label(F.coalesce(F.col("item.sentiment"), F.lit("neutral"))).alias("sentiment"),
+        v.sentiment_label(F.coalesce(F.col("item.sentiment"), F.lit("neutral")), stripped=False).alias("sentiment"),
         v.clamped_score(F.col("item.sentiment_score")).alias("sentiment_score"),
         F.when(answered, 0.5).otherwise(0.0).alias("sentiment_confidence"),
         cleaned_opinions(F.col("item.opinions")).alias("opinions"),
     )
 
 
+def whole_number(value: Column) -> Column:
+    """A JSON integer, or a truth value as 1 or 0; NULL for a text or a fraction."""
+    kind = F.schema_of_variant(value)
+    flag = F.try_variant_get(value, "$", "boolean").cast("bigint")
+    return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(kind == "BOOLEAN", flag)
+
+
 F_OPINION = "struct<phrase: string, sentiment: string, sentiment_score: string, sentiment_confidence: string, is_core: boolean>"
-F_RESULTS = f"array<struct<index: string, sentiment: string, sentiment_score: string, opinions: array<{F_OPINION}>>>"
+F_RESULTS = f"array<struct<index: variant, sentiment: string, sentiment_score: string, opinions: array<{F_OPINION}>>>"
 
 
 def cleaned_opinions(raw: Column) -> Column:

@@ -17,10 +17,11 @@ WINDOW_SECONDS = 30
 def label_distribution(danmaku: DataFrame, lex: Lexicon, top: int = 15) -> DataFrame:
     """Matched and unmatched rows, L1, the largest L2 and the largest paths in long form.
 
-    Everything derives from one count per path, which the taxonomy bounds.
+    Everything derives from one count per label, which the dictionary bounds. A label outside the taxonomy is matched
+    but has no path.
     """
-    by_path = settled(labelled(danmaku, "content", lex).groupBy("full_path").agg(F.count("*").alias("n")))
-    state = F.when(F.col("full_path").isNull(), "unmatched").otherwise("matched")
+    by_path = settled(labelled(danmaku, "content", lex).groupBy("l3", "full_path").agg(F.count("*").alias("n")))
+    state = F.when(F.col("l3").isNull(), "unmatched").otherwise("matched")
     match = by_path.groupBy(state.alias("label")).agg(F.sum("n").alias("n")).withColumn(
         "pct", v.percent(F.col("n"), over_all("n")))
     hit = by_path.filter(F.col("full_path").isNotNull())

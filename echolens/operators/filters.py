@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx, values as v
 from ..functions.paths import path_dim
+from .dictionary import KeyIndex
+from .lexicon import MAX_LEAVES
 
 PUBLIC = [
     "id", "platform", "source_id", "target_id", "content", "author", "rating", "language", "likes", "replies",
@@ -109,22 +112,30 @@ def tag_hit(paths: Column, tags: set[str]) -> Column:
     return F.exists(paths, lambda p: F.exists(chosen, lambda t: meets(p, t)))
 
 
-def voice_paths(voices: DataFrame, opinions: DataFrame, tax: DataFrame) -> DataFrame:
-    """topic, ``L1/L2`` of the sub-topics and the distinct opinion paths of each comment.
+def path_hit(path: Column, tags: set[str]) -> Column:
+    """F7 for one path column: equalities and prefixes only, which reach the scan."""
+    above = {t[:i] for t in tags for i, c in enumerate(t) if c == "/"}
+    return reduce(lambda a, b: a | b, [F.startswith(path, F.lit(f"{t}/")) for t in sorted(tags)], path.isin(*sorted(tags | above)))
 
-    Opinion paths are collected as a set, which the taxonomy bounds however many opinions there are.
+
+def sub_topic_paths(tax: DataFrame) -> Column:
+    """Sub-topics of a comment as ``L1/L2`` where the taxonomy knows them."""
+    pairs = tax.select("l1", "l2").distinct().limit(MAX_LEAVES + 1).collect()
+    if len(pairs) > MAX_LEAVES:
+        raise ValueError("the taxonomy is sent to every task; split it or raise the limits knowingly")
+    index = KeyIndex({r["l2"]: r["l1"] for r in pairs})
+    return F.transform(parsed_list("sub_topics"), lambda s: F.coalesce(F.concat(index.value(s), F.lit("/"), s), s))
+
+
+def tagged_voices(voices: DataFrame, opinions: DataFrame, tax: DataFrame, tags: set[str]) -> DataFrame:
+    """comments hit by their topic, their sub-topics or the path of any opinion.
+
+    No comment's paths are gathered: opinions are cut to those that hit, by a predicate pushed to their scan, and only their
+    comment ids are joined.
     """
-    of_comment = opinions.groupBy(F.col("comment_id").alias("id")).agg(F.collect_set("full_path").alias("_ops"))
-    parents = {r["l2"]: r["l1"] for r in tax.select("l1", "l2").distinct().collect()}
-    known = F.create_map(*[F.lit(x) for pair in parents.items() for x in pair])
-    subs = F.transform(
-        parsed_list("sub_topics"), lambda s: F.coalesce(F.concat_ws("/", F.try_element_at(known, s), s), s)
-    )
-    none = F.array().cast("array<string>")
-    return voices.join(of_comment, "id", "left").withColumn(
-        "paths",
-        F.concat(F.when(F.col("topic").isNotNull(), F.array("topic")).otherwise(none), subs, F.coalesce("_ops", none)),
-    ).drop("_ops")
+    ids = opinions.filter(path_hit(F.col("full_path"), tags)).select(F.col("comment_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
+    own = F.coalesce(path_hit(F.col("topic"), tags), F.lit(False)) | F.coalesce(tag_hit(sub_topic_paths(tax), tags), F.lit(False))
+    return voices.join(ids, "id", "left").filter(F.col("_hit").isNotNull() | own).drop("_hit")
 
 
 def split_ids(raw: str) -> list[str]:
@@ -187,12 +198,26 @@ def refresh_due(comments: DataFrame, now: datetime, min_age_days: int = 7) -> Da
     return comments.filter((F.col("posted_at") < cutoff) & stamps)
 
 
+def carries_label(label: str) -> Column:
+    return (F.col("topic") == label) | F.array_contains(parsed_list("sub_topics"), label)
+
+
 def with_topic_or_sub(comments: DataFrame, label: str) -> DataFrame:
     """F13"""
-    return comments.filter(
-        F.col("analyzed_at").isNotNull()
-        & ((F.col("topic") == label) | F.array_contains(parsed_list("sub_topics"), label))
-    )
+    return comments.filter(F.col("analyzed_at").isNotNull() & carries_label(label))
+
+
+def labelled_dump(
+    comments: DataFrame, label: str | None = None, target_id: str | None = None, sentiment: str | None = None, id: int | None = None, limit: int = 10,
+) -> DataFrame:
+    """analyzed comments by label, target, sentiment and id, each if given; the last analyzed first."""
+    rows = comments.filter(F.col("analyzed_at").isNotNull())
+    for name, value in (("id", id), ("target_id", target_id), ("sentiment", sentiment)):
+        if value is not None and value != "":
+            rows = rows.filter(F.col(name) == value)
+    if label:
+        rows = rows.filter(carries_label(label))
+    return rows.orderBy(F.desc("analyzed_at"), "id").limit(limit)
 
 
 def purge_rules(cutoff: datetime, language: str) -> tuple[Column, Column]:

@@ -133,16 +133,17 @@ def top_topics(rows: DataFrame, top: int = 5) -> DataFrame:
         F.desc("n"), "topic").limit(top)
 
 
-def topic_by_game(rows: DataFrame, units: DataFrame, top: int = 5) -> DataFrame:
-    """The largest topics by the largest games, zero-filled; ``rows`` carry topic and target_id."""
-    games = top_game_ids(units, top)
-    topics = [r["topic"] for r in top_topics(rows, top).collect()]
-    counted = rows.filter(F.col("topic").isin(topics)).groupBy("topic").agg(
-        F.array(*[
-            F.struct(F.lit(g).alias("target_id"), F.count_if(F.col("target_id") == g).alias("n")) for g in games
-        ]).alias("cells")
-    )
-    return counted.select("topic", F.inline("cells"))
+def topic_by_game(units: DataFrame, topic: Column, keep: Column, top: int = 5) -> DataFrame:
+    """The largest topics by the largest games, zero-filled.
+
+    The units are read once, into a count per game and topic; largest games, largest topics and cells come from these.
+    """
+    cells = settled(units.groupBy("target_id", F.when(keep, topic).alias("topic")).agg(F.count("*").alias("n")))
+    largest = lambda key: cells.filter(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), key).limit(top).drop("_n")
+    # A grid of ``top`` squared cells: every topic carries the list of games.
+    games = largest("target_id").agg(F.sort_array(F.collect_list("target_id")).alias("games")).first()["games"]
+    grid = largest("topic").select("topic", F.explode(F.array(*map(F.lit, games)).cast("array<string>")).alias("target_id"))
+    return grid.join(cells, ["topic", "target_id"], "left").select("topic", "target_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def sentiment_rows(units: DataFrame, top: int = 5) -> DataFrame:
@@ -162,9 +163,3 @@ def sentiment_rows(units: DataFrame, top: int = 5) -> DataFrame:
         F.when(F.col("_all") == 1, overall).otherwise(F.col("_game")).alias("name"), "total", "pos",
         (F.col("total") - F.col("pos") - F.col("neg")).alias("neu"), "neg",
     )
-
-
-def unused_paths(tax: DataFrame, opinions: DataFrame) -> DataFrame:
-    return path_dim(tax).join(opinions.select("full_path").distinct(), "full_path", "left_anti")
-
-

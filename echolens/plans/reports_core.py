@@ -183,12 +183,16 @@ def s9(t: Tables):
 
 
 @report("s9_opinion_documents", """
-    SELECT o.id, o.comment_id, o.full_path AS path, o.sentiment, o.quote, f.source_id, f.target_id, f.posted_at, f.rating,
-      f.sentiment AS overall_sentiment, f.topic, f.likes, f.language
+    SELECT o.id, o.comment_id, o.full_path AS path, o.sentiment, o.sentiment_confidence, o.quote, f.source_id, f.target_id,
+      coalesce(nullif(json_extract_string(f.extra_json, '$.appid'), ''), split_part(f.target_id, ':', 2)) AS appid, json_extract_string(f.extra_meta, '$.name') AS game,
+      strftime(f.posted_at, '%Y-%m-%d %H:%M:%S') AS posted_at, f.rating, f.author, f.content, f.sentiment AS overall_sentiment, f.topic,
+      coalesce(array_to_string(CAST(json_extract_string(f.sub_topics, '$[*]') AS VARCHAR[]), '|'), '') AS sub_topics,
+      CAST(json_extract_string(f.extra_json, '$.playtime_at_review') AS BIGINT) AS playtime_at_review, CAST(json_extract_string(f.extra_json, '$.playtime_forever') AS BIGINT) AS playtime_forever,
+      f.likes, f.replies, coalesce(CAST(json_extract_string(f.extra_json, '$.refunded') AS BOOLEAN), false) AS refunded, false AS early_access, false AS steam_deck, false AS received_for_free,
+      CAST(json_extract_string(f.extra_json, '$.weighted_vote_score') AS DOUBLE) AS weighted_vote_score, f.language
     FROM vo o JOIN vf f ON f.id = o.comment_id WHERE f.platform = 'steam'""")
 def s9b(t: Tables):
-    return exports.opinion_documents(t.vf, t.vo).select(
-        "id", "comment_id", "path", "sentiment", "quote", "source_id", "target_id", "posted_at", "rating", "overall_sentiment", "topic", "likes", "language")
+    return exports.opinion_documents(t.vf, t.vo).withColumn("sub_topics", F.array_join("sub_topics", "|"))
 
 
 @report("s10_annotated_comments", """
@@ -270,7 +274,7 @@ def f6(t: Tables):
 @report("f7_tag_hit_opinions", """
     SELECT id, full_path FROM vo WHERE full_path LIKE 'Mechanics/%' OR full_path = 'Art/Visual/Style'""")
 def f7(t: Tables):
-    return t.vo.filter(filters.tag_hit(F.array("full_path"), {"Mechanics", "Art/Visual/Style"})).select("id", "full_path")
+    return t.vo.filter(filters.path_hit(F.col("full_path"), {"Mechanics", "Art/Visual/Style"})).select("id", "full_path")
 
 
 @report("f7_tag_hit_voices", f"""
@@ -282,8 +286,7 @@ def f7(t: Tables):
     s AS (SELECT unnest(['Audio/Music', 'Tech/Frames/Stutter']) AS tag)
     SELECT DISTINCT p.id FROM p JOIN s ON p.path = s.tag OR starts_with(p.path, s.tag || '/') OR starts_with(s.tag, p.path || '/')""")
 def f7b(t: Tables):
-    rows = filters.voice_paths(t.vf, t.vo, t.tax)
-    return rows.filter(filters.tag_hit(F.col("paths"), {"Audio/Music", "Tech/Frames/Stutter"})).select("id")
+    return filters.tagged_voices(t.vf, t.vo, t.tax, {"Audio/Music", "Tech/Frames/Stutter"}).select("id")
 
 
 @report("f8_voices_by_opinion_ids", "SELECT DISTINCT c.id FROM vc c JOIN vo o ON o.comment_id = c.id WHERE o.id IN (1001, 3001, 5000)")
@@ -328,6 +331,20 @@ def f13(t: Tables):
     return either.distinct()
 
 
+@report("f13_label_dump", f"""
+    SELECT id, target_id, topic, analyzed_at FROM vf WHERE analyzed_at IS NOT NULL AND sentiment = 'positive' AND (topic = 'Audio' OR list_contains({PARSED}, 'Music'))
+    ORDER BY analyzed_at DESC, id LIMIT 10""")
+def f13b(t: Tables):
+    return filters.labelled_dump(t.vf, "Audio", sentiment="positive").unionByName(
+        filters.labelled_dump(t.vf, "Music", sentiment="positive")).distinct().orderBy(F.desc("analyzed_at"), "id").limit(10).select("id", "target_id", "topic", "analyzed_at")
+
+
+@report("f13_target_dump", """
+    SELECT id, sentiment FROM vf WHERE analyzed_at IS NOT NULL AND target_id = 'steam:src3' ORDER BY analyzed_at DESC, id LIMIT 25""")
+def f13c(t: Tables):
+    return filters.labelled_dump(t.vf, target_id="steam:src3", limit=25).select("id", "sentiment")
+
+
 @report("f14_retention", "SELECT id FROM vc WHERE NOT (posted_at <= TIMESTAMP '2024-01-10' OR coalesce(language <> 'en', false))")
 def f14(t: Tables):
     return filters.retained(t.vc, datetime(2024, 1, 10), "en").select("id")

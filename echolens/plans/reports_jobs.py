@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import schemas
 from ..operators import annotate, incremental, matching, merge, ordering, vectors
 from ..session import run_dir
+from ..sources.pages import Pages
 from ..sources.snapshots import Snapshots
 from ..streaming import jobs
 from . import daily
@@ -141,6 +142,16 @@ def w10(t: Tables):
     return ordering.page(t.vc.select("id", "posted_at"), [F.desc("posted_at"), F.asc("id")], 3).select("id", "position", "page")
 
 
+@report("w10_indexed_pages", """
+    WITH p AS (SELECT id, row_number() OVER (ORDER BY posted_at DESC, id) AS position, count(*) OVER () AS n FROM vc)
+    SELECT id, position, CAST((position - 1) // 20 + 1 AS INT) AS page FROM p WHERE position <= 20 OR position BETWEEN 141 AND 160 OR position > (ceil(n / 20) - 1) * 20""")
+def w10c(t: Tables):
+    """First, eighth and last page from one layout; each reads the files it lies in."""
+    order = [F.desc("posted_at"), F.asc("id")]
+    pages = Pages.laid_out(t.vc.select("id", "posted_at"), order, run_dir(t.spark, "pages"), 100)
+    return pages.page(1).unionByName(pages.page(8)).unionByName(pages.page(10**9)).select("id", "position", "page")
+
+
 @report("w10_page_clamped", """
     WITH p AS (SELECT id, row_number() OVER (ORDER BY posted_at DESC, id) AS position, count(*) OVER () AS n FROM vc)
     SELECT id, position, CAST(ceil(n / 20) AS INT) AS page FROM p WHERE position > (ceil(n / 20) - 1) * 20""")

@@ -271,7 +271,7 @@ def a21w(t: Tables):
 def a22(t: Tables):
     units = opinion_units(t)
     topic, keep = matrix.opinion_topics("L1", [])
-    return matrix.topic_by_game(units.filter(keep).withColumn("topic", topic), units)
+    return matrix.topic_by_game(units, topic, keep)
 
 
 @report("a23_top_games", """

@@ -41,7 +41,7 @@ REPLY_JSON = """
 """
 
 MODEL_RESPONSE = """
-    results array<struct<index: string, sentiment: string, sentiment_score: string, opinions: array<struct<
+    results array<struct<index: variant, sentiment: string, sentiment_score: string, opinions: array<struct<
         phrase: string, sentiment: string, sentiment_score: string, sentiment_confidence: string,
         is_core: boolean>>>>
 """

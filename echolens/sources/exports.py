@@ -53,30 +53,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
-def voice_documents(comments: DataFrame, opinions: DataFrame, platform: str = "steam") -> DataFrame:
-    """Each comment once, with typed extras and all its opinions (``opinion_documents`` has them as rows)."""
+def voices(comments: DataFrame, platform: str) -> DataFrame:
+    """Comments with names and typed extras."""
     rows = comments.filter(F.col("platform") == platform)
     names = rows.groupBy("target_id").agg(F.min("extra_meta").alias("_meta"))
-    nested = whole_opinions(opinions).withColumnRenamed("comment_id", "id")
-    fields = ["id", "source_id", "content", "rating", "language", "sentiment", "sentiment_score", "sentiment_confidence", "topic"]
+    fields = ["id", "source_id", "content", "author", "rating", "language", "sentiment", "sentiment_score", "sentiment_confidence", "topic"]
     # The payload's own id comes first; the target is the fallback.
     own = F.nullif(F.get_json_object("extra_json", "$.appid"), F.lit(""))
     appid = F.coalesce(own, F.element_at(F.split("target_id", ":"), -1))
-    return (
-        rows.join(names, "target_id").join(nested, "id", "left").select(
-            *fields, parsed_list("sub_topics").alias("sub_topics"), "target_id", appid.alias("appid"),
-            v.meta_name(F.col("_meta"), appid).alias("game"),
-            F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), "likes",
-            *v.extras_with_defaults(F.col("extra_json")), "opinions",
-        )
-    )
+    return rows.join(names, "target_id").select(
+        *fields, parsed_list("sub_topics").alias("sub_topics"), "target_id", appid.alias("appid"), v.meta_name(F.col("_meta"), appid).alias("game"),
+        F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), "likes", "replies", *v.extras_with_defaults(F.col("extra_json")))
+
+
+def voice_documents(comments: DataFrame, opinions: DataFrame, platform: str = "steam") -> DataFrame:
+    """Each comment once, with typed extras and all its opinions (``opinion_documents`` has them as rows)."""
+    nested = whole_opinions(opinions).withColumnRenamed("comment_id", "id")
+    return voices(comments, platform).join(nested, "id", "left")
 
 
 def opinion_documents(comments: DataFrame, opinions: DataFrame, platform: str = "steam") -> DataFrame:
-    """Opinions with the fields of their comment."""
-    rows = comments.filter(F.col("platform") == platform).withColumn("overall_sentiment", F.col("sentiment"))
-    side = ["source_id", "target_id", "posted_at", "rating", "content", "overall_sentiment", "topic", "sub_topics", "likes", "language"]
-    return with_comment(opinions, rows, *side).withColumn("path", F.col("full_path")).drop("full_path")
+    """Opinions with the fields of their comment, by which reports filter and show them."""
+    side = voices(comments, platform).withColumnRenamed("sentiment", "overall_sentiment").drop("sentiment_score", "sentiment_confidence", "developer_response")
+    own = opinions.select("id", "comment_id", F.col("full_path").alias("path"), "sentiment", "sentiment_confidence", "quote")
+    return own.join(side.withColumnRenamed("id", "comment_id"), "comment_id")
 
 
 def write_json(df: DataFrame, path: str, *partition_by: str) -> None:

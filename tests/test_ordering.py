@@ -124,3 +124,27 @@ def test_matrices_take_any_number_of_targets(spark):
     assert got.count() == 40_000 and got.filter("n = 0").count() == 20_000
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
+
+
+def test_pages_read_the_files_they_lie_in(spark):
+    import random
+
+    from echolens.session import run_dir
+    from echolens.sources.pages import Pages
+
+    r = random.Random(2)
+    rows = [(i, r.randrange(50)) for i in range(1000)]
+    order = [F.desc("score"), F.asc("id")]
+    pages = Pages.laid_out(spark.createDataFrame(rows, "id bigint, score int"), order, run_dir(spark, "pages"), 40)
+    want = [i for i, _ in sorted(rows, key=lambda x: (-x[1], x[0]))]
+    assert pages.total == 1000 and len(pages.paths) >= 25
+    for number, size in ((1, 20), (7, 20), (50, 20), (10**9, 30), (0, 20), (3, 100)):
+        got = pages.page(number, size)
+        page, low, high = pages.span(number, size)
+        assert [(x["id"], x["position"], x["page"]) for x in got.orderBy("position").collect()] == [(want[k], k + 1, page) for k in range(low, high)]
+        # Files are 40 rows at most, and shorter only at the end of a range.
+        assert len(got.inputFiles()) <= 2 + size // 8
+    first, last = pages.page(1), pages.page(10**9)
+    assert len(first.inputFiles()) <= 3 and len(last.inputFiles()) <= 3
+    none = Pages.laid_out(spark.createDataFrame([], "id bigint, score int"), order, run_dir(spark, "pages"))
+    assert none.page(5).collect() == [] and none.page(5).columns == ["id", "score", "position", "page"]

@@ -127,3 +127,45 @@ def test_json_export(spark, tmp_path):
     df = spark.createDataFrame([("steam", 1), ("bilibili", 2)], "platform string, id int")
     exports.write_json(df, str(tmp_path / "out"), "platform")
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_tagged_voices_gather_no_paths(spark, tmp_path):
+    voices = spark.createDataFrame([(1, "A", None), (2, None, '["y"]'), (3, "B", '["z"]'), (4, None, None), (5, "A/x", None)], "id bigint, topic string, sub_topics string")
+    opinions = spark.createDataFrame([(1, 3, "A/x/k"), (2, 4, "A/xx"), (3, 9, "A/x/k"), (4, 4, None), (5, 3, "A/x/k")], "id bigint, comment_id bigint, full_path string")
+    opinions.write.parquet(str(tmp_path / "o"))
+    opinions = spark.read.parquet(str(tmp_path / "o"))
+    tax = spark.createDataFrame([("A", "x", "k"), ("A", "y", "k")], "l1 string, l2 string, l3 string")
+    hit = lambda *tags: sorted(r["id"] for r in filters.tagged_voices(voices, opinions, tax, set(tags)).collect())
+    assert hit("A/x") == [1, 3, 5] and hit("A/y") == [1, 2] and hit("A/x/k") == [1, 3, 5] and hit("z") == [3] and hit("A/xx") == [1, 4] and hit("Q") == []
+    plan = filters.tagged_voices(voices, opinions, tax, {"A/x"})._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "StringStartsWith(full_path,A/x/)" in plan
+
+
+def test_label_dump(spark):
+    from datetime import datetime
+
+    day = lambda n: datetime(2024, 1, n)
+    rows = [(1, "t", "positive", "A", None, day(1)), (2, "t", "negative", None, '["A"]', day(3)), (3, "u", "positive", "B", '["AA"]', day(2)), (4, "t", "positive", "A", None, None)]
+    df = spark.createDataFrame(rows, "id bigint, target_id string, sentiment string, topic string, sub_topics string, analyzed_at timestamp")
+    got = lambda **kw: [r["id"] for r in filters.labelled_dump(df, **kw).collect()]
+    assert got() == [2, 3, 1] and got(label="A") == [2, 1] and got(label="A", sentiment="positive") == [1] and got(target_id="u") == [3]
+    assert got(id=2) == [2] and got(id=4) == [] and got(limit=1) == [2] and got(sentiment="") == [2, 3, 1]
+
+
+def test_reply_indexes_must_be_integers(spark):
+    from echolens.operators import annotate
+
+    reply = '{"results": [{"index": "0", "sentiment": "positive"}, {"index": 1.0, "sentiment": "positive"}, {"index": true, "sentiment": " positive"}, {"index": 2, "sentiment": "POSITIVE"}, {"sentiment": "positive"}, {"index": null}]}'
+    rows = spark.createDataFrame([(0, 4, reply)], "batch bigint, batch_size int, response string")
+    got = {r["idx"]: (r["sentiment"], r["sentiment_confidence"]) for r in annotate.parse_responses(rows).collect()}
+    assert got == {0: ("neutral", 0.0), 1: ("neutral", 0.5), 2: ("positive", 0.5), 3: ("neutral", 0.0)}
+
+
+def test_a_label_without_path_is_matched(spark):
+    from echolens.operators import danmaku
+    from echolens.operators.lexicon import Lexicon
+
+    lex = Lexicon(((0, "A", "B", "C", False),), (("C", "cc", 0), ("Lost", "lost", 0)), meme_words=(), recommend_words=(), praise_words=(), criticize_words=(), masked_terms=())
+    rows = spark.createDataFrame([("cc " + "." * 30,), ("lost " + "." * 30,), ("." * 30,)], "content string")
+    got = {(r["kind"], r["label"]): r["n"] for r in danmaku.label_distribution(rows, lex).collect()}
+    assert got == {("match", "matched"): 2, ("match", "unmatched"): 1, ("L1", "A"): 1, ("L2", "B"): 1, ("path", "A/B/C"): 1}
