@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .frames import table
+from .frames import give_back, table
 
 CHUNK = 512
 CACHE = 150_000  # pieces or words remembered per task, and as many of the generation before
@@ -313,6 +313,9 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             n, a, b = zip(*map(work, batch.column(at).to_pylist()))
             made = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=columns)
+        del work
+        tokenizer.cache_clear()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -3,7 +3,8 @@
 Every run of ``window`` consecutive words of a test item is a pattern; an item with fewer words is one shorter
 pattern. Patterns of equal length share one search machine, whose alphabet is the 64-bit word hash: a block of two
 words looks up how far the search may move on (shift table), a block that ends some pattern names a bucket of
-patterns by their suffix, and a direct comparison of the whole word sequence confirms each occurrence.
+patterns by their suffix, and a direct comparison, of the hashes and then of the bytes, confirms each occurrence. The
+shift table grows with the patterns, so that most blocks of a text stay unknown to it.
 
 The texts of a batch are searched in lock step: the words are cut into lanes, and numpy moves the cursors of all
 lanes at once. Patterns are broadcast in blocks of at most ``PATTERNS`` (about 128 bytes each), whatever the size of
@@ -28,7 +29,7 @@ from .ragged import ALPHANUMERIC, Words, blocks, sequence_hash
 
 WINDOW = 13
 PATTERNS = 100_000
-TABLE_BITS = 16
+TABLE_BITS = (16, 24)  # least and most bits of a shift table; in between, 16 slots per block of a pattern
 LANES = 1024
 FOUND = "n_words bigint, n_hit bigint, item_ids array<string>, hit_spans array<struct<start:bigint,stop:bigint>>"
 
@@ -36,10 +37,12 @@ FOUND = "n_words bigint, n_hit bigint, item_ids array<string>, hit_spans array<s
 class Machine:
     """Shift table, suffix buckets and patterns of one pattern length."""
 
-    def __init__(self, patterns: np.ndarray):
-        self.patterns, self.length = patterns, patterns.shape[1]
+    def __init__(self, patterns: np.ndarray, texts: list[bytes]):
+        self.patterns, self.length, self.texts = patterns, patterns.shape[1], texts
         self.block = min(2, self.length)
-        self.shift = np.full(1 << TABLE_BITS, self.length - self.block + 1, np.uint8)
+        least, most = TABLE_BITS
+        self.bits = min(most, max(least, (16 * patterns.size).bit_length()))
+        self.shift = np.full(1 << self.bits, self.length - self.block + 1, np.uint8)
         for end in range(self.block, self.length + 1):  # block that ends at word ``end`` of a pattern
             at = self.slot(self.block_hash(patterns[:, end - self.block : end]))
             np.minimum.at(self.shift, at, np.uint8(self.length - end))
@@ -51,12 +54,26 @@ class Machine:
     def block_hash(words: np.ndarray) -> np.ndarray:
         return sequence_hash(list(words.T))
 
-    @staticmethod
-    def slot(block_hash: np.ndarray) -> np.ndarray:
-        return (block_hash >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-    def occurrences(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (first word, pattern) of all occurrences in one word sequence."""
+    def slot(self, block_hash: np.ndarray) -> np.ndarray:
+        return (block_hash >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def occurrences(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (first word, pattern) of all occurrences in the texts of a block, equal byte for byte."""
+        at, which = self.candidates(w.hash)
+        if not len(at):
+            return at, which
+        within = w.text[at] == w.text[np.minimum(at + self.length - 1, len(w.text) - 1)]
+        at, which = at[within], which[within]
+        same = np.fromiter((self.spelt(w, a) == self.texts[p] for a, p in zip(at.tolist(), which.tolist())), bool, len(at))
+        return at[same], which[same]
+
+    def spelt(self, w: Words, at: int) -> bytes:
+        """The words of a window as bytes, one space between them."""
+        ends = slice(at, at + self.length)
+        return b" ".join([w.data[a:b].tobytes() for a, b in zip(w.start[ends].tolist(), w.end[ends].tolist())])
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (first word, pattern) whose word hashes agree, in one word sequence."""
         n = len(words) - self.block + 1
         none = np.zeros(0, np.int64)
         if n <= self.length - self.block:
@@ -90,9 +107,9 @@ class Machine:
 
 
 def item_patterns(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    """(item, pattern) rows of test items; a pattern is its word hashes."""
+    """(item, pattern, spelt) rows of test items; a pattern is its word hashes, beside its words as bytes."""
     for batch in batches:
-        items, patterns = [], []
+        items, patterns, spelt = [], [], []
         ids = batch.column(0).to_pylist()
         for block in blocks(batch.column(1)):
             w = Words(block, ALPHANUMERIC)
@@ -102,18 +119,20 @@ def item_patterns(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> It
                 for j in range(len(h) - size + 1 if size else 0):
                     items.append(ids[block.lo + i])
                     patterns.append(h[j : j + size].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(patterns, pa.binary())], names=["item", "pattern"])
+                    at = slice(w.first[i] + j, w.first[i] + j + size)
+                    spelt.append(b" ".join([w.data[a:b].tobytes() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]))
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(patterns, pa.binary()), pa.array(spelt, pa.binary())], names=["item", "pattern", "spelt"])
 
 
 class Finder:
     """The machines of one block of patterns and the items that hold each pattern."""
 
-    def __init__(self, rows: list[tuple[bytes, list[str]]]):
+    def __init__(self, rows: list[tuple[bytes, bytes, list[str]]]):
         self.machines = []
-        for size in sorted({len(p) for p, _ in rows}):
-            own = [(p, items) for p, items in rows if len(p) == size]
-            words = np.frombuffer(b"".join(p for p, _ in own), np.uint64).reshape(len(own), size // 8)
-            self.machines.append((Machine(words), [items for _, items in own]))
+        for size in sorted({len(p) for p, _, _ in rows}):
+            own = [r for r in rows if len(r[0]) == size]
+            words = np.frombuffer(b"".join(p for p, _, _ in own), np.uint64).reshape(len(own), size // 8)
+            self.machines.append((Machine(words, [s for _, s, _ in own]), [items for _, _, items in own]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch], text_at: int, schema: pa.Schema, keep: list[int]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +143,7 @@ class Finder:
                 step = np.zeros(len(w.hash) + 1, np.int32)
                 own: list[set] = [set() for _ in range(len(block))]
                 for machine, holders in self.machines:
-                    at, which = machine.occurrences(w.hash)
-                    within = w.text[at] == w.text[np.minimum(at + machine.length - 1, len(w.text) - 1)] if len(at) else at.astype(bool)
-                    at, which = at[within], which[within]
+                    at, which = machine.occurrences(w)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + machine.length, -1)
                     pairs = np.unique(np.stack([w.text[at], which]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
@@ -148,62 +165,68 @@ class Finder:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], schema=schema)
 
 
-def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, size: int) -> Iterator[list[tuple[bytes, list[str]]]]:
+def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, size: int) -> Iterator[list[tuple[bytes, bytes, list[str]]]]:
     """Distinct patterns with the items that hold them, in blocks that never exceed ``size`` patterns."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    pairs = rows.mapInArrow(lambda it: item_patterns(it, window), "item string, pattern binary").distinct()
-    held = written(pairs.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")), "patterns")
+    pairs = rows.mapInArrow(lambda it: item_patterns(it, window), "item string, pattern binary, spelt binary").distinct()
+    held = written(pairs.groupBy("pattern", "spelt").agg(F.sort_array(F.collect_set("item")).alias("items")), "patterns")
     total = held.count()
     if total == 0:
         yield []
     parts = min(total, 1) if total <= size else -(-2 * total // size)  # a hash slice then holds half the size on average
     for part in range(parts):
         block = held if parts == 1 else held.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part)
-        yield [(bytes(r["pattern"]), list(r["items"])) for r in block.toLocalIterator()]
+        yield [(bytes(r["pattern"]), bytes(r["spelt"]), list(r["items"])) for r in block.toLocalIterator()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, patterns: int = PATTERNS) -> DataFrame:
     """All columns of ``docs`` plus ``n_words``, ``n_hit``, ``item_ids`` (sorted), ``hit_spans`` (word ranges) and
     ``contaminated`` (5 % of the words or more are hit)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     added = StructType(_parse_datatype_string(FOUND).fields)
     names = [f.name for f in added] + ["contaminated"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    full = StructType([*docs.schema.fields, *added.fields])
-    keep, text_at = list(range(len(docs.columns))), docs.columns.index(text)
-    out = docs
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    searched = []
-    for block in pattern_blocks(benchmark, item_id, item_text, window, patterns):
-        finder = docs.sparkSession.sparkContext.broadcast(Finder(block))
-        schema = to_arrow_schema(full)
-        searched.append(docs.mapInArrow(lambda it, f=finder, s=schema: f.value(it, text_at, s, keep), full))
-    out = searched[0] if len(searched) == 1 else united(searched, docs.columns)
+    sets = pattern_blocks(benchmark, item_id, item_text, window, patterns)
+    first, second = next(sets), next(sets, None)
+
+    def searched(rows: DataFrame, keep: list[str], block) -> DataFrame:
+        finder = rows.sparkSession.sparkContext.broadcast(Finder(block))
+        full = StructType([*(rows.schema[c] for c in keep), *added.fields])
+        places, at, schema = [rows.columns.index(c) for c in keep], rows.columns.index(text), to_arrow_schema(full)
+        return rows.mapInArrow(lambda it: finder.value(it, at, schema, places), full)
+
+    if second is None:
+        out = searched(docs, docs.columns, first)
+    else:
+        # Several blocks: rows are numbered once, found by their number in each block, and the hits of a number united.
+        numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+        found = None
+        for block in (first, second, *sets):
+            hits = written(searched(numbered.select(ROW, text), [ROW], block).filter("n_hit > 0"), "hits")
+            found = hits if found is None else found.unionByName(hits)
+        counts = searched(numbered, numbered.columns, []).drop("n_hit", "item_ids", "hit_spans")
+        none = {"n_hit": F.lit(0).cast("bigint"), "item_ids": F.array().cast("array<string>"), "hit_spans": F.array().cast(added["hit_spans"].dataType)}
+        joined = counts.join(united(found), ROW, "left")
+        out = joined.select(*docs.columns, "n_words", *[F.coalesce(F.col(c), other).alias(c) for c, other in none.items()])
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def united(searched: list[DataFrame], columns: list[str]) -> DataFrame:
-    """Hits of several pattern blocks per document row: spans and items are united.
+ROW = "_searched_row"
+
 
-    Rows are matched by all their columns; equal rows have equal hits, so a repeated row keeps its count.
-    """
-    blocks_ = [s.withColumn("_block", F.lit(i)) for i, s in enumerate(searched)]
-    rows = blocks_[0]
-    for s in blocks_[1:]:
-        rows = rows.unionByName(s)
-    held = [F.struct(*columns).alias("_row")]
-    got = rows.select(*held, "_block", "n_words", "item_ids", "hit_spans").groupBy("_row").agg(
-        F.first("n_words").alias("n_words"),
+def united(found: DataFrame) -> DataFrame:
+    """Hits of several pattern blocks per row number: spans and items are united."""
+    got = found.groupBy(ROW).agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("hit_spans")))).alias("_spans"),
-        F.sum((F.col("_block") == 0).cast("int")).alias("_copies"))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("hit_spans")))).alias("_spans"))
     merged = F.expr("""aggregate(_spans, cast(array() as array<struct<start:bigint,stop:bigint>>), (acc, s) ->
         CASE WHEN size(acc) > 0 AND element_at(acc, -1).stop >= s.start
              THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, s.stop))))
              ELSE concat(acc, array(s)) END)""")
     got = got.withColumn("hit_spans", merged).withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (a, s) -> a + s.stop - s.start)"))
-    return got.select("_row.*", "n_words", "n_hit", "item_ids", "hit_spans", F.expr("explode(sequence(1, _copies))").alias("_copy")).drop("_copy")
+    return got.select(ROW, "n_hit", "item_ids", "hit_spans")
 
 
 def op10(spark: SparkSession, folder: str) -> DataFrame:

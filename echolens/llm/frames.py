@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,6 +30,16 @@ def checked(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if (df.agg(F.sum(size + 16)).first()[0] or 0) <= limit else df
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers are reused: what a task leaves is missing in the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, *keep: str) -> DataFrame:
     """Map Arrow batches; ``work`` gives the new columns, ``keep`` names those passed through unchanged."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -28,6 +28,7 @@ SLOTS = 4096
 PER_LANGUAGE, CLUSTERS, ROUNDS = 1000, 4, 10
 STRAY, SLACK = 0.01, 0.1
 TEXTS = 512  # vectors at a time
+SALTS = 64  # parts of a language that are cut to size before they meet
 ADDED = "lang_pred string, score double, rejected boolean"
 
 
@@ -83,11 +84,10 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np
     mean = x.mean(axis=0)
     near = x @ (mean / max(np.linalg.norm(mean), 1e-12))
     starts = [int(near.argmax())]
-    while len(starts) < min(k, len(x)):
-        far = (x @ x[starts].T).max(axis=1)
-        if far.min() > 1 - 1e-9:
-            break
+    far = x @ x[starts[0]]  # nearest start so far
+    while len(starts) < min(k, len(x)) and far.min() <= 1 - 1e-9:
         starts.append(int(far.argmin()))
+        far = np.maximum(far, x @ x[starts[-1]])
     centroids = x[starts]
     for _ in range(rounds):
         own = (x @ centroids.T).argmax(axis=1)
@@ -116,8 +116,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     known = known.filter("key IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     seen = frequencies(known.select("text"))
     idf = np.log((1 + seen[SLOTS]) / (1 + seen[:SLOTS])).astype(np.float32) + np.float32(1)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    chosen = known.select("key", "lang").withColumn("place", place).filter(F.col("place") <= per_language).select("key", "lang").distinct()
+    # First within salts of a language, then among what these keep: no task sees more than SALTS * per_language rows of one.
+    order = (F.xxhash64("key"), "key")
+    chosen = known.select("key", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SALTS)))
+    for by in (("lang", "salt"), ("lang",)):
+        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= per_language).drop("place")
+    chosen = chosen.select("key", "lang")
     chosen = written(chosen, "language-sample")
     sample = known.join(checked(chosen, F.length("lang") + 16), ["key", "lang"])
     found = sample.groupBy("lang").applyInPandas(lambda f: centroids_of(f, idf), "lang string, vector array<float>, floor double")

@@ -5,8 +5,9 @@ slots). Training keeps a gradient sum and a squared-gradient sum per coordinate,
 its own, and a coordinate whose gradients never exceed the L1 bound keeps the weight zero. The model is therefore a
 short list of (slot, weight) pairs, at most 2**20 of them, small enough to broadcast.
 
-The fit reads a bounded sample: the ``FIT_ROWS`` labelled rows with the smallest hash of their key, one after the
-other in one task, as the method is sequential. The L1 bound grows with the square root of the rows, as the noise of
+The fit reads a bounded sample: the ``FIT_ROWS`` labelled keys with the smallest hash, and of these, in the same order,
+the rows whose features add up to ``FIT_SLOTS`` at most. One task reads them one after the other, as the method is
+sequential, and holds one copy of them in 32-bit slots. The L1 bound grows with the square root of the rows, as the noise of
 a gradient sum does. Scoring reads every whole text.
 
 Cases: null or empty text has no feature and gets the model's bias; a null label is not learned from; of several
@@ -20,16 +21,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .frames import table, written
+from .frames import give_back, table, written
 from .ragged import NOT_SPACE, Words, blocks, sequence_hash
 
 BITS = 20
 FIT_ROWS, EPOCHS = 20_000, 4
+FIT_SLOTS = 1 << 26  # features of the sample; 256 MB
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.3, 1.0
 BIAS = 1 << BITS  # slot of the intercept
 
@@ -71,11 +72,15 @@ def text_features(column: pa.Array) -> Iterator[np.ndarray]:
             yield both[cut[i] : cut[i + 1]] & ((1 << (BITS + 1)) - 1)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Train on sparse binary rows, rows shuffled by a fixed seed in each epoch."""
+def ftrl(slots: np.ndarray, ends: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """Train on sparse binary rows, rows shuffled by a fixed seed in each epoch.
+
+    Row k holds the slots up to ``ends[k]`` from where row k - 1 ends, the intercept included.
+    """
     z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
     positive = labels.mean()
-    bound = L1 * np.sqrt(len(rows))
+    bound = L1 * np.sqrt(len(ends))
+    starts = np.append(0, ends[:-1])
     weight = np.where(labels == 1, min(10.0, np.sqrt((1 - positive) / positive)) if positive else 1.0, 1.0)
     order = np.random.default_rng(7)
 
@@ -83,10 +88,9 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Mo
         zi = z[i]
         return np.where(np.abs(zi) <= bound, 0.0, -(zi - np.sign(zi) * bound) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    rows = [np.append(r, BIAS) for r in rows]
     for _ in range(epochs):
-        for k in order.permutation(len(rows)):
-            i = rows[k]
+        for k in order.permutation(len(ends)):
+            i = slots[starts[k] : ends[k]]
             w = value(i)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = weight[k] * (p - labels[k])
@@ -94,8 +98,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Mo
             z[i] += g - rate * w
             n[i] += g * g
     w = value(np.arange(BIAS + 1))
-    slots = np.flatnonzero(w)
-    return Model(slots, w[slots])
+    used = np.flatnonzero(w)
+    return Model(used, w[used])
 
 
 def packed_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +109,29 @@ def packed_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.binary())], names=["key", "label", "slots"])
 
 
-def train(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["key", "slots"], kind="stable")
-    model = ftrl([np.frombuffer(x, np.int32) for x in frame["slots"]], frame["label"].to_numpy(float))
-    return pd.DataFrame({"slot": model.slots, "weight": model.weights})
+def train(batches: Iterator[pa.RecordBatch], limit: int = 0) -> Iterator[pa.RecordBatch]:
+    """(key, label, slots) rows in the order of the sample to the model's (slot, weight) rows."""
+    limit = limit or FIT_SLOTS
+    held, ends, labels, total, full = np.zeros(1 << 16, np.int32), [], [], 0, False
+    for batch in batches:
+        if full:
+            continue  # what lies beyond the limit is read and left
+        for label, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
+            row = np.frombuffer(raw.as_buffer(), np.int32)
+            size = len(row) + 1
+            full = bool(ends) and total + size > limit
+            if full:
+                break
+            if total + size > len(held):
+                held = np.concatenate([held, np.zeros(max(len(held) // 2, size), np.int32)])
+            held[total : total + size - 1], held[total + size - 1] = row, BIAS
+            total += size
+            ends.append(total), labels.append(label)
+    if ends:
+        model = ftrl(held, np.array(ends), np.array(labels, float))
+        del held
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array(model.slots), pa.array(model.weights)], names=["slot", "weight"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = FIT_ROWS) -> Model:
@@ -119,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen), "key").select("key", "label", "text")
     rows = sample.mapInArrow(packed_features, "key bigint, label int, slots binary")
-    weights = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(lambda frame: train(frame), "slot long, weight double")
+    weights = rows.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "slots").mapInArrow(lambda it: train(it), "slot long, weight double")
     model = weights.toArrow()  # 2**20 + 1 rows at most
     return Model(model["slot"].to_numpy(), model["weight"].to_numpy())
 
