@@ -106,7 +106,8 @@ def join_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-SIZES = "doc bigint, n int, f1 bigint, f2 bigint, bits array<bigint>"
+SIZES = "doc bigint, n int, f1 bigint, f2 bigint, class bigint, bits array<bigint>"
+SEEN = 1 << 20  # classes a task remembers having sent
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
@@ -115,43 +116,56 @@ def parity_bits(s: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8)).view("<i8")
 
 
+def digest(s: np.ndarray) -> tuple[np.uint64, np.uint64, np.uint64]:
+    """128-bit digest of a set, and both halves and the size in one number: the set's class."""
+    if not len(s):
+        return np.uint64(0), np.uint64(0), np.uint64(0)
+    f1, f2 = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64)
+    return f1, f2, mix(np.array([f1], np.uint64) + mix(np.array([f2], np.uint64)) + np.uint64(len(s)))[0]
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, set size, 128-bit digest of the set, parity bits)."""
+    """(doc, set size, digest of the set, class, parity bits)."""
     for batch in batches:
-        n, f1, f2, bits = [], [], [], []
+        n, digests, bits = [], [], []
         for s in shingle_sets(batch.column(1), K):
             n.append(len(s))
-            f1.append(mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0))
-            f2.append(mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) if len(s) else np.uint64(0))
+            digests.append(digest(s))
             bits.append(parity_bits(s))
+        f1, f2, cls = zip(*digests) if digests else ((), (), ())
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), as_long(f1), as_long(f2), pa.array(bits, pa.list_(pa.int64()))], names=["doc", "n", "f1", "f2", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), as_long(f1), as_long(f2), as_long(cls), pa.array(bits, pa.list_(pa.int64()))], names=["doc", "n", "f1", "f2", "class", "bits"])
 
 
 def keys_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """(key, class) of every set; a task sends the keys of equal sets once, as long as it remembers their class."""
     held = texts.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(held.value).astype(bool)
+        seen: set[int] = set()
         for batch in batches:
-            docs = batch.column(0).to_numpy()
             keys, ids = [], []
-            for doc, s in zip(docs, shingle_sets(batch.column(1), K)):
-                if len(s):
+            for s in shingle_sets(batch.column(0), K):
+                own = digest(s)[2]
+                if len(s) and int(own) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(int(own))
                     k = join_keys(s, frequent)
                     keys.append(k)
-                    ids.append(np.full(len(k), doc))
+                    ids.append(np.full(len(k), own).view(np.int64))
                 if sum(map(len, keys[-1:])) and len(keys) >= 256:
                     yield _key_batch(keys, ids)
                     keys, ids = [], []
             if keys:
                 yield _key_batch(keys, ids)
 
-    return texts.mapInArrow(run, "key bigint, doc bigint")
+    return texts.mapInArrow(run, "key bigint, class bigint")
 
 
 def _key_batch(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "doc"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "class"])
 
 
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -224,9 +238,12 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sketch = live.select("doc", "n", "bits").join(stands, "doc").groupBy("doc").agg(
         F.max("n").alias("n"), F.when(F.first("several"), F.lit(0)).otherwise(F.max("n")).alias("least"), F.first("bits").alias("bits"))
 
-    keys = keys_of(texts, common_cells(texts.select("text")))
-    shared = keys.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1").select("key", "doc")
-    members = written(shared.join(nodes.select("doc", "rep"), "doc").select("key", F.col("rep").alias("doc")).distinct(), "members")
+    # Equal sets have one class and one representative: a key that only they share is of no use.
+    keys = keys_of(texts.select("text"), common_cells(texts.select("text")))
+    of_class = Window.partitionBy("key")
+    shared = keys.withColumn("lo", F.min("class").over(of_class)).withColumn("hi", F.max("class").over(of_class)).filter("lo < hi").select("key", "class").distinct()
+    classes = live.groupBy("class").agg(F.min("doc").alias("doc"))
+    members = written(shared.join(classes, "class").select("key", "doc").distinct(), "members")
     of_key = Window.partitionBy("key")
     score = members.withColumn("many", F.count("*").over(of_key)).groupBy("doc").agg(F.sum("many").alias("score"))
     ranked = members.join(score, "doc").withColumn("pivot", F.max(F.struct("score", (-F.col("doc")).alias("doc"))).over(of_key))
