@@ -30,7 +30,7 @@ def test_query_against_sql(name, spark, duck):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
