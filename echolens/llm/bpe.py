@@ -24,9 +24,10 @@ import codecs
 import json
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from hashlib import sha256
+from itertools import batched, chain
 
 import pyarrow as pa
 import regex
@@ -36,8 +37,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .frames import give_back, table
 
 CHUNK = 512
-CACHE = 150_000  # pieces or words remembered per task, and as many of the generation before
+CACHE = 500_000  # pieces or words remembered per task, and as many of the generation before: about 250 bytes each
 LONG_PIECE = 64  # longer pieces are not remembered
+STRETCH = 1 << 16  # characters normalised and cut into words at once
 
 
 def byte_alphabet() -> list[str]:
@@ -155,19 +157,28 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace") if tokenizer.byte_decoder else None
 
     def push(self, token_id: int) -> str:
-        token = self.tokenizer.tokens.get(token_id)
-        if token is None:
+        return self.run((token_id,))
+
+    def run(self, ids: Iterable[int]) -> str:
+        """The text that the next ids settle; the same as pushing one after the other."""
+        tokens = [t for t in map(self.tokenizer.tokens.get, ids) if t is not None]
+        if self.utf8:
+            return self.utf8.decode(b"".join(map(token_bytes, tokens)))
+        if not tokens:
             return ""
-        if self.tokenizer.byte_decoder:
-            if any(c not in CHAR_BYTES for c in token):
-                return self.utf8.decode(token.encode())
-            return self.utf8.decode(bytes(CHAR_BYTES[c] for c in token))
-        out = token if self.first else " " + token
+        out = " ".join(tokens) if self.first else " ".join(["", *tokens])
         self.first = False
         return out
 
     def close(self) -> str:
-        return self.utf8.decode(b"", True) if self.tokenizer.byte_decoder else ""
+        return self.utf8.decode(b"", True) if self.utf8 else ""
+
+
+def token_bytes(token: str) -> bytes:
+    """Bytes of a byte-level token; one with other characters stands for itself."""
+    if any(c not in CHAR_BYTES for c in token):
+        return token.encode()
+    return bytes([CHAR_BYTES[c] for c in token])
 
 
 # The piece pattern of a byte-level pre-tokenizer.
@@ -216,12 +227,6 @@ class Tokenizer:
         for token in machine.close():
             yield from self._id(token)
 
-    def short(self, piece: str) -> list[str]:
-        """Tokens of a piece that fits the transducer's buffer: it only ever closes."""
-        symbols = list(piece.encode().decode("latin-1").translate(_TRANSLATE))
-        symbols[-1] += self.merges.suffix
-        return [t for t in self.merges.apply(symbols) if t in self.vocab]
-
     def _id(self, token: str) -> tuple[int, ...]:
         got = self.vocab.get(token)
         return () if got is None else (got,)
@@ -229,9 +234,8 @@ class Tokenizer:
     def remembered(self, piece: str) -> tuple[int, ...]:
         got = self.known.get(piece)
         if got is None:
-            short = len(piece) <= LONG_PIECE
-            got = tuple([self.vocab[t] for t in self.short(piece)] if short else self.piece(piece))
-            if short:
+            got = tuple(self.piece(piece))
+            if len(piece) <= LONG_PIECE:
                 if len(self.known) >= CACHE:
                     self.known.clear()
                 self.known[piece] = got
@@ -256,7 +260,7 @@ class Tokenizer:
 
     def decode(self, ids) -> str:
         decoder = Decoder(self)
-        return "".join([*map(decoder.push, ids), decoder.close()])
+        return decoder.run(ids) + decoder.close()
 
 
 _TRANSLATE = {ord(k): v for k, v in BYTE_TABLE.items()}
@@ -321,47 +325,73 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 class Digester:
-    """Digests of one text after the other; the ids and decoded forms of common pieces are remembered."""
+    """Digests of one text after the other. Ids leave the transducer in short runs, go through the decoder, and both sides
+    are hashed on the way; only the ids of common words are remembered, nothing of the decoded text."""
 
     def __init__(self, tok: Tokenizer):
         self.tok = tok
-        self.joined: dict[str, tuple[str, str]] = {}
-        self.before: dict[str, tuple[str, str]] = {}
+        self.decimal = [str(i) for i in range(max(tok.tokens, default=-1) + 1)]
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
-    def _join(self, word: str) -> tuple[str, str]:
-        """Ids and decoded form of a run without white space, which may hold several pieces."""
+    def _learn(self, word: str) -> tuple[int, ...]:
+        """Ids of a short run without white space, which may hold several pieces."""
         got = self.before.get(word)
         if got is None:
-            ids: list[int] = []
-            for piece in self.tok.pieces.findall(word):
-                ids += [self.tok.vocab[t] for t in self.tok.short(piece)] if len(piece) <= LONG_PIECE else self.tok.piece(piece)
-            got = " ".join(map(str, ids)), " ".join([self.tok.tokens[i] for i in ids])
-        if len(word) <= LONG_PIECE:
-            if len(self.joined) >= CACHE:  # the oldest half goes; what is still in use moves up
-                self.before, self.joined = self.joined, {}
-            self.joined[word] = got
+            got = tuple(self._pieces(word))
+        if len(self.known) >= CACHE:  # the oldest half goes; what is still in use moves up
+            self.before, self.known = self.known, {}
+        self.known[word] = got
         return got
 
+    def _pieces(self, word: str) -> Iterator[int]:
+        for match in self.tok.pieces.finditer(word):
+            yield from self.tok.piece(match.group())
+
     def _words(self, text: str) -> list[str]:
         """Runs without white space: no piece crosses them. Four control characters are blank to split() only."""
         return self.tok.pieces.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
-    def __call__(self, text: str | None) -> tuple[int, str, str]:
-        tok, text = self.tok, text or ""
-        if tok.byte_decoder:  # characters may straddle tokens
-            ids = list(tok.encode(text))
-            return len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(tok.decode(ids).encode()).hexdigest()
-        rows: list[tuple[str, str]] = []
-        join = self._join
+    def runs(self, text: str) -> Iterator[Sequence[int]]:
+        """The ids of a text, some thousands at a time."""
+        tok = self.tok
+        if tok.byte_decoder:  # pieces hold white space
+            yield from batched(tok.encode(text), CHUNK)
+            return
         for part, special in tok.segments(text):
             if special:
-                rows.append((str(tok.special[part]), part))
-            else:
-                get = self.joined.get
-                rows += [get(p) or join(p) for p in self._words(tok.normalise(part))]
-        ids = " ".join([i for i, _ in rows if i])
-        decoded = " ".join([d for i, d in rows if i])
-        return ids.count(" ") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
+                yield (tok.special[part],)
+                continue
+            for stretch in stretches(part):
+                words = self._words(tok.normalise(stretch))
+                get, learn = self.known.get, self._learn
+                if max(map(len, words), default=0) <= LONG_PIECE:
+                    yield list(chain.from_iterable([get(w) or learn(w) for w in words]))
+                else:
+                    for w in words:
+                        yield from (self.known.get(w) or learn(w),) if len(w) <= LONG_PIECE else batched(self._pieces(w), CHUNK)
+
+    def __call__(self, text: str | None) -> tuple[int, str, str]:
+        n, ids_hash, text_hash, decoder = 0, sha256(), sha256(), Decoder(self.tok)
+        for ids in self.runs(text or ""):
+            if ids:
+                decimal = " ".join(map(self.decimal.__getitem__, ids))
+                ids_hash.update((" " + decimal if n else decimal).encode())
+                text_hash.update(decoder.run(ids).encode())
+                n += len(ids)
+        text_hash.update(decoder.close().encode())
+        return n, ids_hash.hexdigest(), text_hash.hexdigest()
+
+
+def stretches(text: str) -> Iterator[str]:
+    """The text in stretches of about ``STRETCH`` characters, each but the first beginning with a space: neither a piece nor
+    a composed character crosses that place."""
+    low = 0
+    while low < len(text):
+        high = text.find(" ", low + STRETCH)
+        high = len(text) if high < 0 else high
+        yield text[low:high]
+        low = high
 
 
 def op4(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:

@@ -190,6 +190,40 @@ def test_decoding_by_bytes():
     assert own.decode(ids[:1]) == LIBRARY[BYTE].decode(ids[:1], skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_digests_in_short_stretches(path, monkeypatch):
+    """Stretches, runs and the memory of words show in no digest: special strings, combining marks after a space, long words."""
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    monkeypatch.setattr(bpe, "CHUNK", 5)
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    work, library = bpe.Digester(bpe.tokenizer(path)), LIBRARY[path]
+    texts = [
+        "", None, " ", "a", "The cat's 12 naps,  twice\n\ttoo \x1c end ", "e \u0301e\u0301 \u0301x 각 \u1100\u1161\u11a8", "<|endoftext|> x <|endoftext|><|startoftext|>y<|end",
+        "word" * 60 + " short " + "naïve😀" * 40, "ΣΑΣ Σ ΟΔΟΣ", " ".join(brute.prose(s, 30) for s in range(4)), "a" * 700 + " " + "-" * 300,
+    ]
+    for text in texts + texts[::-1]:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert work(text) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(decoded)), text
+        one, many = bpe.Decoder(work.tok), bpe.Decoder(work.tok)
+        pushed = [one.push(i) for i in ids]
+        assert [many.run(ids[:3]), many.run(ids[3:]), many.close()] == ["".join(pushed[:3]), "".join(pushed[3:]), one.close()]
+
+
+def test_the_digest_hangs_on_the_decoder(monkeypatch):
+    monkeypatch.setattr(bpe.Decoder, "run", lambda self, ids: "x" * len(ids))
+    assert bpe.Digester(bpe.tokenizer(WORD))("a cat")[2] == brute.sha("xx")
+
+
+def test_forgotten_words_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(library_ids, "CACHE", 2)
+    own = library_ids.LibraryEncoder(BYTE)
+    texts = ["one two three two", "two four one", None, "", "five  six two", "one two three two"]
+    for _ in range(3):
+        for text, raw in zip(texts, own.many(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == LIBRARY[BYTE].encode(text or "", add_special_tokens=False).ids
+
+
 def test_bpe_of_odd_documents(spark, odd, odd_rows):
     want = []
     for d, t in odd_rows:
