@@ -19,10 +19,11 @@ seldom become keys.
 more bits differ than shingles may, the pair is dropped without its sets.
 
 **Verification.** Each document is first compared, on full shingle sets, with one pivot: of the documents it shares a
-key with, the one that shares most keys with others (in a group of near copies, the original). What is linked forms
-components. Components that still share a key are compared by one delegate each, twice; at last all members of one key
-that are in different components are compared with each other. So each
-candidate pair is either compared or already connected, and a group of copies costs its size, not its square.
+key with, the one that shares most keys with others (in a group of near copies, the original). Keys that exactly the
+same sets share propose the same pairs, so they are one key. What is linked forms components. Components that still
+share a key are compared by one delegate each, twice; at last all members of one key that are in different components
+are compared with each other. So each candidate pair is either compared or already connected, and a group of copies
+costs its size, not its square.
 Documents with equal sets are one class from the start.
 
 Cases: null, empty and word-less text has an empty set and links with nothing; with fewer than five words the whole
@@ -168,6 +169,15 @@ def _key_batch(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "class"])
 
 
+def merged_keys(shared: DataFrame) -> DataFrame:
+    """(key, class, keys): keys with the same classes become one key, ``keys`` of them. Near copies share most of their
+    keys, which all propose the same pairs. A chance collision only proposes more pairs than needed."""
+    by_class = Window.partitionBy("key").orderBy("class")
+    once = shared.withColumn("before", F.lag("class").over(by_class)).filter("before IS NULL OR before <> class")
+    same = once.withColumn("same", F.bit_xor(F.xxhash64("class")).over(Window.partitionBy("key")))
+    return same.groupBy(F.col("same").alias("key"), "class").agg(F.count("*").alias("keys"))
+
+
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
     """Whether two sorted sets link."""
     if not len(s) or not len(t):
@@ -240,12 +250,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     # Equal sets have one class and one representative: a key that only they share is of no use.
     keys = keys_of(texts.select("text"), common_cells(texts.select("text")))
-    of_class = Window.partitionBy("key")
-    shared = keys.withColumn("lo", F.min("class").over(of_class)).withColumn("hi", F.max("class").over(of_class)).filter("lo < hi").select("key", "class").distinct()
-    classes = live.groupBy("class").agg(F.min("doc").alias("doc"))
-    members = written(shared.join(classes, "class").select("key", "doc").distinct(), "members")
     of_key = Window.partitionBy("key")
-    score = members.withColumn("many", F.count("*").over(of_key)).groupBy("doc").agg(F.sum("many").alias("score"))
+    shared = keys.withColumn("lo", F.min("class").over(of_key)).withColumn("hi", F.max("class").over(of_key)).filter("lo < hi").select("key", "class")
+    classes = live.groupBy("class").agg(F.min("doc").alias("doc"))
+    members = written(merged_keys(shared).join(classes, "class").groupBy("key", "doc").agg(F.max("keys").alias("keys")), "members")
+    score = members.withColumn("many", F.count("*").over(of_key)).groupBy("doc").agg(F.sum(F.col("many") * F.col("keys")).alias("score"))
     ranked = members.join(score, "doc").withColumn("pivot", F.max(F.struct("score", (-F.col("doc")).alias("doc"))).over(of_key))
     ranked = ranked.filter("pivot.doc <> -doc").groupBy("doc").agg(F.max("pivot").alias("pivot"))
     first = written(ranked.select(F.col("doc").alias("a"), (-F.col("pivot.doc")).alias("b")), "pivots")

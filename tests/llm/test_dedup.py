@@ -44,6 +44,22 @@ def test_every_similar_pair_shares_a_key(n):
             assert set(parity_join.join_keys(a, common)) & set(parity_join.join_keys(b, common))
 
 
+def test_keys_of_the_same_sets_are_one_key_and_no_pair_is_lost(spark):
+    r = np.random.default_rng(5)
+    sets = [frozenset(r.choice(40, size, replace=False).tolist()) for size in (2, 2, 3, 7, 7, 20)]
+    of = {key: sets[key % 6] for key in range(300)}
+    rows = [(k, c) for k, members in of.items() for c in members for _ in range(1 + (k + c) % 3)]  # some sent by several tasks
+    got = parity_join.merged_keys(frame(spark, rows, "key bigint, class bigint").repartition(7)).collect()
+    found = {}
+    for row in got:
+        found.setdefault((row["key"], row["keys"]), []).append(row["class"])
+    want = {}
+    for members in of.values():
+        want[members] = want.get(members, 0) + 1
+    assert {(frozenset(c), n) for (_, n), c in found.items()} == set(want.items())
+    assert len(got) == sum(map(len, want))
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 180)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components.components(frame(spark, edges, "a bigint, b bigint")).collect()}
