@@ -1,9 +1,8 @@
-"""Dictionaries as literal hash tables inside an expression: whatever their size, a look-up is one array access.
+"""Dictionaries as literal tables inside an expression: whatever their size, a look-up costs the same.
 
-**Words in a text.** Every word is filed under one of its grams (one to three neighbouring characters): the shortest width
-at which one of its grams has few other words, the rarest such gram. A text emits its distinct grams of the
-widths in use, meets the words filed under them, and only these are searched for. A word that occurs has all its grams in the text,
-so none is missed; the work per text grows with its length, not with the dictionary.
+**Words in a text.** The words are one regular expression, their prefix tree: at each place of the text it walks down the tree and
+yields the longest word that starts there. Shorter words at that place are prefixes of it and stand beside it in a table.
+The work per text grows with its length and the words it holds, not with the dictionary.
 
 **Keys.** A key is filed under its checksum; an equal key is picked within the bucket.
 
@@ -18,8 +17,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import let
-
 WIDTHS = (1, 2, 3)
 FEW = 4  # words per gram up to which a shorter gram is preferred
 
@@ -61,39 +58,66 @@ def filed(words: Iterable[str]) -> dict[str, list[str]]:
     return out
 
 
+END = ""  # marks a node of the prefix tree where a word ends
+FORK = 6  # branches tried one by one; more are halved by a range test first
+
+
+def prefix_tree(words: Iterable[str]) -> dict:
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[END] = {}
+    return tree
+
+
+def _quoted(c: str) -> str:
+    return c if c.isalnum() or ord(c) > 0x7F and c.isprintable() else f"\\x{{{ord(c):x}}}"
+
+
+def expression(node: dict) -> str:
+    """Regular expression of the longest word below a node."""
+    run = ""
+    while len(node) == 1 and END not in node:
+        c, node = next(iter(node.items()))
+        run += _quoted(c)
+
+    def fork(chars: list[str]) -> str:
+        if len(chars) <= FORK:
+            return "|".join(_quoted(c) + expression(node[c]) for c in chars)
+        low, high = chars[: len(chars) // 2], chars[len(chars) // 2 :]
+        return f"(?=[{_quoted(low[0])}-{_quoted(low[-1])}])(?:{fork(low)})|{fork(high)}"
+
+    chars = sorted(c for c in node if c != END)
+    return run + (f"(?:{fork(chars)})" + "?" * (END in node) if chars else "")
+
+
 class WordIndex:
     """Words with a payload each; ``kind`` is the payload's Spark type."""
 
     def __init__(self, words: dict[str, object], kind: str):
-        by_gram = filed(w for w in words if w)
-        self.widths = sorted({len(g) for g in by_gram})
-        self.size = _buckets(len(by_gram))
-        rows: list[list[dict]] = [[] for _ in range(self.size)]
-        for gram, members in by_gram.items():
-            rows[_place(gram, self.size)] += [{"word": w, "payload": words[w]} for w in members]
-        self.rows, self.kind = rows, f"struct<word: string, payload: {kind}>"
+        number = {w: i for i, w in enumerate(w for w in words if w)}
+        self.pattern = f"(?=({expression(prefix_tree(number))}))" if number else None
+        self.size, self.kind = _buckets(len(number)), kind
+        self.payloads = [words[w] for w in number]
+        self.rows: list[list[dict]] = [[] for _ in range(self.size)]
+        for word in number:
+            parts = (word[:i] for i in range(1, len(word) + 1))
+            self.rows[_place(word, self.size)].append({"word": word, "held": [number[p] for p in parts if p in number]})
 
     def found(self, text: Column) -> Column:
         """Payloads of the words that the text holds, each word once; NULL for a NULL text."""
-        if not self.widths:
-            return F.when(text.isNotNull(), F.from_json(F.lit("[]"), f"array<{self.kind}>")["payload"])
-
-        def of_width(chars: Column, width: int) -> Column:
-            out = chars
-            for shift in range(1, width):
-                out = F.zip_with(out, F.slice(chars, shift + 1, F.size(chars)), lambda a, b: F.concat(a, b))
-            return out
-
-        def met(chars: Column) -> Column:
-            each = F.array_distinct(F.concat(*[of_width(chars, w) for w in self.widths]))
-            places = F.array_distinct(F.transform(F.array_compact(each), lambda g: _place_of(g, self.size)))
-            return F.flatten(F.transform(places, lambda p: F.element_at(_table(self.rows, self.kind), p)))
+        payloads = F.from_json(F.lit(json.dumps(self.payloads, ensure_ascii=False)), f"array<{self.kind}>")
+        if self.pattern is None:
+            return F.when(text.isNotNull(), payloads)
 
-        def search(bare: Column) -> Column:
-            held = F.filter(let(F.split(bare, ""), met), lambda e: F.contains(bare, e["word"]))
-            return F.transform(held, lambda e: e["payload"])
+        def held(word: Column) -> Column:
+            bucket = F.element_at(_table(self.rows, "struct<word: string, held: array<int>>"), _place_of(word, self.size))
+            return F.filter(bucket, lambda e: e["word"] == word)[0]["held"]
 
-        return let(text, search)
+        longest = F.array_distinct(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(1)))
+        return F.transform(F.array_distinct(F.flatten(F.transform(longest, held))), lambda i: F.get(payloads, i))
 
 
 class KeyIndex:

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import has_any, let, strip
+from ..functions.text import has_any, strip
 from .lexicon import Lexicon
 
 
@@ -26,14 +26,17 @@ def best_label(text: Column, lex: Lexicon) -> Column:
     """Label with the highest sum of matched keyword lengths; the earliest label wins a tie."""
     names = F.from_json(F.lit(json.dumps([l3 for l3, _ in lex.competing()], ensure_ascii=False)), "array<string>")
 
-    def best(found: Column) -> Column:
-        points = F.flatten(found)
-        ranks = F.array_distinct(F.transform(points, lambda x: x["rank"]))
-        scored = F.transform(ranks, lambda r: F.struct(
-            F.aggregate(F.filter(points, lambda x: x["rank"] == r), F.lit(0), lambda total, x: total + x["weight"]).alias("score"), (-r).alias("rank")))
-        return F.element_at(names, 1 - F.array_max(scored)["rank"])
+    # Points are added up in the order of their labels, so one pass has the running total of a label and the best so far.
+    start = F.struct(F.lit(-1).alias("rank"), F.lit(0).alias("total"), F.lit(0).alias("score"), F.lit(-1).alias("best"))
 
-    return let(lex.label_index().found(text), best)
+    def add(state: Column, point: Column) -> Column:
+        total = point["weight"] + F.when(point["rank"] == state["rank"], state["total"]).otherwise(0)
+        return F.struct(
+            point["rank"].alias("rank"), total.alias("total"), F.greatest(state["score"], total).alias("score"),
+            F.when(total > state["score"], point["rank"]).otherwise(state["best"]).alias("best"))
+
+    points = F.sort_array(F.flatten(lex.label_index().found(text)))
+    return F.get(names, F.aggregate(points, start, add, lambda state: state["best"]))
 
 
 def with_label(df: DataFrame, phrase: str, lex: Lexicon, label: str = "l3", only_matched: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from echolens.functions import fixed_values as fixed
 from echolens.operators import audit, dictionary, matching
@@ -179,3 +180,28 @@ def test_label_to_path_moves_no_row(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert {(r["l3"], r["full_path"]) for r in got.collect()} == {("Overall", "Meta/Impression/Overall"), ("none", None), (None, None)}
+
+
+def test_large_dictionaries_are_searched_by_their_prefix_tree(spark):
+    """The work of a text follows its length and hits: no part of the expression runs per word of the dictionary or pair of hits."""
+    import re
+
+    words = [w for _, w, _ in syllable_lexicon(1728).keywords]
+    index = dictionary.WordIndex({w: [i] for i, w in enumerate(dict.fromkeys(words))}, "array<int>")
+    longest = re.compile(index.pattern)  # letters only: the same in Python and Java
+    text = "therhahaen卡顿thonatenthe"
+    assert {m.group(1) for m in longest.finditer(text)} == {max((w for w in words if text.startswith(w, i)), key=len) for i in range(len(text)) if any(text.startswith(w, i) for w in words)}
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert sorted(rows.select(index.found(F.col("t"))).first()[0]) == sorted([i] for i, w in enumerate(dict.fromkeys(words)) if w in text)
+
+
+def test_words_with_special_characters_and_many_branches(spark):
+    """Words that are prefixes of each other, hold signs of a pattern, or begin with many different characters."""
+    words = ["a", "aa", "aab", "b.c", "(", "[x]", "\\E", "^$", "-", "é", "😀", "😀😀", " ", "\n", "&&", *map(chr, range(0x4E00, 0x4E00 + 300)), *(chr(c) + "z" for c in range(0x4E00, 0x4E00 + 300, 7))]
+    index = dictionary.WordIndex({w: w for w in words}, "string")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*words, "q", "bxc", "]"]) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string").repartition(3)
+    got = {r["i"]: r["f"] for r in rows.select("i", index.found(F.col("t")).alias("f")).collect()}
+    assert [sorted(got[i]) for i in range(len(texts))] == [sorted(w for w in words if w in t) for t in texts]
+    assert got[len(texts)] is None
