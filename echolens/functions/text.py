@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode white space plus the separators 1C-1F, which also count as blank when a phrase is stripped.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -61,14 +61,17 @@ def cut(text: Column, limit: int, tail: str = "...") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(tail))).otherwise(text)
 
 
-def quote_span(quote: Column, content: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """First occurrence of the quote, only where no start was given."""
-    at = F.instr(F.coalesce(content, F.lit("")), quote) - 1
-    found = start.isNull() & (at >= 0)
-    return (
-        F.when(found, at).otherwise(start).cast("int"),
-        F.when(found, at + F.length(quote)).otherwise(end).cast("int"),
-    )
+def with_quote_span(df: DataFrame, quote: Column, content: Column, start: Column, end: Column) -> DataFrame:
+    """Add ``quote_start`` and ``quote_end``, the first occurrence of the quote, only where no start was given.
+
+    The place is a column of its own, so the content is searched once for both ends.
+    """
+    at = F.col("_at")
+    placed = df.withColumn("_at", F.when(start.isNull(), F.instr(F.coalesce(content, F.lit("")), quote) - 1))
+    return placed.withColumns({
+        "quote_start": F.when(at >= 0, at).otherwise(start).cast("int"),
+        "quote_end": F.when(at >= 0, at + F.length(quote)).otherwise(end).cast("int"),
+    }).drop("_at")
 
 
 def response_body(response: Column) -> Column:

@@ -85,12 +85,12 @@ def replace_analysis(
         .join(touched, "comment_id", "left_semi")
         .join(comments.select(F.col("id").alias("comment_id"), "content"), "comment_id")
     )
-    start, end = tx.quote_span(F.col("quote"), F.col("content"), F.col("quote_start"), F.col("quote_end"))
-    fresh = clean.select(
+    spans = tx.with_quote_span(clean, F.col("quote"), F.col("content"), F.col("quote_start"), F.col("quote_end"))
+    fresh = spans.select(
         F.xxhash64("comment_id", "pos").alias("id"), "comment_id", "full_path",
         v.sentiment_label(F.coalesce("sentiment", F.lit("neutral"))).alias("sentiment"),
         v.stored_confidence(F.col("sentiment_confidence")).alias("sentiment_confidence"), "quote",
-        start.alias("quote_start"), end.alias("quote_end"), now.alias("created_at"),
+        "quote_start", "quote_end", now.alias("created_at"),
     )
     kept = opinions.join(touched, "comment_id", "left_anti").select(*opinions.columns)
     return new_comments, kept.unionByName(fresh.select(*opinions.columns))

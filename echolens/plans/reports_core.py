@@ -594,9 +594,8 @@ def c8(t: Tables):
 def c9(t: Tables):
     none = F.lit(None).cast("int")
     pieces = t.vc.select("id", "content", F.posexplode(F.split("content", "[.]")).alias("pos", "phrase"))
-    start, end = tx.quote_span(F.col("phrase"), F.col("content"), none, none)
     stripped = pieces.withColumn("phrase", tx.strip(F.col("phrase"))).filter(F.col("phrase") != "")
-    return stripped.select("id", "pos", start.alias("quote_start"), end.alias("quote_end"))
+    return tx.with_quote_span(stripped, F.col("phrase"), F.col("content"), none, none).select("id", "pos", "quote_start", "quote_end")
 
 
 @report("c10_response_bodies", """

@@ -120,3 +120,18 @@ def test_quote_spans_and_replacement(spark):
     _, got = merge.replace_analysis(comments, old, labels, new, stamp(T1))
     rows = {(r["comment_id"], r["quote"], r["sentiment"], r["sentiment_confidence"], r["quote_start"], r["quote_end"]) for r in got.collect()}
     assert rows == {(2, "q", None, None, None, None), (1, "很好", "positive", 0.5, 3, 5), (1, "没有", "neutral", None, None, None), (1, "手感", "neutral", None, 7, 9)}
+
+
+def test_a_quote_is_searched_once(spark):
+    """Start and end come from one search of the content, in the optimised plan too."""
+    from pyspark.sql import functions as F
+
+    from echolens.functions import text as tx
+
+    rows = spark.createDataFrame(
+        [(1, "bb", "abbabb", None, None), (2, "", "ab", None, None), (3, "x", None, None, None), (4, None, "ab", None, None), (5, "b", "ab", 7, 9), (6, "😀b", "a😀b", None, 5)],
+        "id int, quote string, content string, s int, e int")
+    spans = tx.with_quote_span(rows, F.col("quote"), F.col("content"), F.col("s"), F.col("e"))
+    got = spans.select("id", "quote_start", "quote_end")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 3), (2, 0, 0), (3, None, None), (4, None, None), (5, 7, 9), (6, 1, 3)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("instr(") == 1
