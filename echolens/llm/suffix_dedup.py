@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .frames import checked, table, written
+from .frames import checked, give_back, table, written
 from .ragged import Block, blocks, mix, prefix, span_hash
 
 LENGTH, ANCHOR = 50, 24
 REACH = LENGTH - ANCHOR + 1  # anchor positions within a string
 RUN = 16 << 20  # bytes of text per sorted run
 SHARE = 32 << 20  # bytes of text whose anchors one counting task takes
-PART = 16 << 20  # bytes of text whose suffixes one merge task takes
-SLICE = 100_000  # records resolved at a time
+PART = 8 << 20  # bytes of text whose suffixes one merge task takes
+SLICE = 20_000  # records resolved, or decoded, at a time
 KEY_BITS = 40
 
 
@@ -249,6 +249,8 @@ def runs_of(live: DataFrame, parts: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from build(held)
+        del held
+        give_back()
 
     return live.mapInArrow(work, RUNS)
 
@@ -269,10 +271,16 @@ class Run:
         self.docs, self.records = read("docs", "<i8"), read("records", "<u4")
         n, column = len(self.common), np.arange(LENGTH)
         own = (column >= self.common[:, None]) & (column < self.size[:, None])
-        text = np.zeros((n, LENGTH), np.uint8)
-        text[own] = read("tails", "u1")
-        source = np.maximum.accumulate(np.where(column >= self.common[:, None], np.arange(n)[:, None], 0), axis=0)
-        self.text = np.where(column < self.size[:, None], text[source, column], 0).astype(np.uint8)
+        self.text = np.zeros((n, LENGTH), np.uint8)
+        self.text[own] = read("tails", "u1")
+        last = np.zeros((1, LENGTH), np.uint8)  # the record before, with its bytes beyond its size as they were last set
+        for low in range(0, n, SLICE):
+            part = np.concatenate([last, self.text[low : low + SLICE]])
+            at = np.arange(1, len(part), dtype=np.int32)[:, None]
+            source = np.maximum.accumulate(np.where(column >= self.common[low : low + SLICE, None], at, 0), axis=0)
+            part = part[source, column]
+            last = part[-1:].copy()
+            self.text[low : low + SLICE] = np.where(column < self.size[low : low + SLICE, None], part, 0)
         self.lefts = np.zeros((n, REACH - 1), np.uint8)
         self.lefts[np.arange(REACH - 1) < self.left[:, None]] = read("lefts", "u1")
         raw = self.text.tobytes()
@@ -354,14 +362,18 @@ ANSWERS = "run bigint, answers binary"
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs of one partition to answers: per run the strings of its records that an earlier document holds."""
     by_part: dict[int, list[Run]] = {}
+    give_back()
     for batch in batches:
         for r in batch.to_pylist():
             by_part.setdefault(r["part"], []).append(Run(r))
-    for runs in by_part.values():
+    while by_part:
+        _, runs = by_part.popitem()
         run, place, common = merged(runs)
         # Per record in sorted order: its bytes, document and home.
         base = np.cumsum([0, *[len(r.numbers) for r in runs]])[run] + place
         take = lambda f: np.concatenate([f(r) for r in runs])[base]
+        for r in runs:  # the tree is done with them
+            r.numbers, r.shared = [], []
         text, lefts, size, left, docs, records = (take(f) for f in (lambda r: r.text, lambda r: r.lefts, lambda r: r.size, lambda r: r.left, lambda r: r.docs, lambda r: r.records))
         groups = np.flatnonzero(common < ANCHOR)
         cuts, low = [0], 0
@@ -383,6 +395,8 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mine.any():
                 answer = np.stack([record[mine].astype(np.int64), lo[mine], hi[mine], first[mine]], axis=1).astype("<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([r.run], pa.int64()), pa.array([answer.tobytes()], pa.binary())], names=["run", "answers"])
+        del runs, run, place, common, base, text, lefts, size, left, docs, records, groups, found, home, record, lo, hi, first
+    give_back()
 
 
 def merged(runs: list[Run]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -181,3 +181,20 @@ def test_empty_tables(spark, none):
     assert suffix_dedup.deduplicated(none).count() == 0
     assert vector_dedup.near_duplicates(frame(spark, [], "vec_id bigint, embedding array<float>")).count() == 0
     assert decontaminate.contamination(none, frame(spark, items(), "item_id bigint, text string")).count() == 0
+
+
+def test_runs_are_decoded_in_slices_of_little_memory():
+    import tracemalloc
+
+    n, size, rng = 50_000, suffix_dedup.LENGTH, np.random.default_rng(1)
+    flat = rng.choice(np.frombuffer(b"ab", "u1"), (n, size)).tobytes()
+    texts = sorted(flat[i * size : i * size + int(k)] for i, k in enumerate(rng.integers(24, size + 1, n)))
+    common = [0, *(next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y))) for x, y in zip(texts, texts[1:]))]
+    row = {"run": 1, "common": bytes(common), "sizes": bytes(map(len, texts)), "tails": b"".join(t[c:] for t, c in zip(texts, common)), "left_sizes": bytes(n),
+           "lefts": b"", "docs": np.zeros(n, "<i8").tobytes(), "records": np.arange(n, dtype="<u4").tobytes()}
+    tracemalloc.start()
+    run = suffix_dedup.Run(row)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [run.text[i].tobytes() for i in range(0, n, 7)] == [texts[i].ljust(size, b"\0") for i in range(0, n, 7)]
+    assert peak < 33 << 20
