@@ -15,8 +15,9 @@ is among the first d + 1 of either. These d + 1 parts are the document's join ke
 shingles last (frequency from a counting sketch over all documents; it steers cost, never results), so common passages
 seldom become keys.
 
-**Hamming test.** A second sketch of ``BITS`` parity bits per document tests every candidate pair inside the join: if
-more bits differ than shingles may, the pair is dropped without its sets.
+**Hamming test.** A second sketch of parity bits per document, ``BITS`` and at least one per shingle, tests every
+candidate pair inside the join: if more bits differ than shingles may, the pair is dropped without its sets. Sketches of
+different length are compared at the shorter one's: the halves of the longer, one XORed on the other, are its sketch there.
 
 **Verification.** Each document is first compared, on full shingle sets, with one pivot: of the documents it shares a
 key with, the one that shares most keys with others (in a group of near copies, the original). Keys that exactly the
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .components import components
 from .frames import checked, table, written
@@ -48,7 +49,7 @@ from .ragged import mix, shingle_sets
 K, PERCENT = 5, 80
 SMALL = 64
 CELL_BITS, SEGMENT = 21, 1 << 15
-BITS = 2048
+BITS = 2048  # parity bits of a set of up to so many shingles; larger ones have up to two per shingle
 DELEGATE_ROUNDS = 2  # cost only: what they leave apart is compared in full
 
 
@@ -112,8 +113,10 @@ SEEN = 1 << 20  # classes a task remembers having sent
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the number of shingles whose hash falls on i, as 64-bit words."""
-    count = np.bincount((mix(s ^ np.uint64(0x27BB2EE6)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS)
+    """Bit i is the parity of the number of shingles whose hash falls on i, as 64-bit words. Fewer bits than shingles
+    would differ in half of the bits at most, less than large sets may, and so drop nothing."""
+    size = max(BITS, 1 << (len(s) - 1).bit_length())
+    count = np.bincount((mix(s ^ np.uint64(0x27BB2EE6)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((count & 1).astype(np.uint8)).view("<i8")
 
 
@@ -226,7 +229,13 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def may_link(x: str, y: str):
     """Size and Hamming test of two rows (n, least, bits): false only for pairs that cannot link."""
     sizes = (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.least")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.least"))
-    differ = F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
+    width = F.least(F.size(f"{x}.bits"), F.size(f"{y}.bits"))  # sizes within 4 : 5 differ by one doubling at most
+
+    def folded(bits: Column) -> Column:
+        halves = F.zip_with(F.slice(bits, F.lit(1), width), F.slice(bits, width + 1, width), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(bits) > width, halves).otherwise(bits)
+
+    differ = F.aggregate(F.zip_with(folded(F.col(f"{x}.bits")), folded(F.col(f"{y}.bits")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
     # A key with several texts (least < n) has the bits of one of them only.
     return sizes & ((9 * differ <= F.col(f"{x}.n") + F.col(f"{y}.n")) | (F.col(f"{x}.least") < F.col(f"{x}.n")) | (F.col(f"{y}.least") < F.col(f"{y}.n")))
 

@@ -60,6 +60,24 @@ def test_keys_of_the_same_sets_are_one_key_and_no_pair_is_lost(spark):
     assert len(got) == sum(map(len, want))
 
 
+def test_parity_bits_tell_large_sets_apart_and_lose_no_link(spark):
+    r = np.random.default_rng(8)
+    rows, links = [], []
+    for n in (5, 300, 1900, 2048, 2049, 4000, 4096, 4097, 6000, 20_000):
+        core, other = (np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        for cut in (0, n // 10, n // 6, n // 2):
+            for x, y in ((core, core[cut:]), (core, np.unique(np.concatenate([core[: n // 3], other[: n - n // 3]]))), (core, np.unique(np.concatenate([core, other[: n // 5]])))):
+                sides = [(len(s), len(s), parity_join.parity_bits(s).tolist()) for s in (x, y)]
+                rows.append((len(links), *sides, *sides[::-1]))
+                links.append(parity_join.linked(x, y))
+    kind = "struct<n: int, least: int, bits: array<bigint>>"
+    pairs = frame(spark, rows, f"i int, x {kind}, y {kind}, u {kind}, v {kind}")
+    got = {p["i"]: (p["there"], p["back"]) for p in pairs.select("i", parity_join.may_link("x", "y").alias("there"), parity_join.may_link("u", "v").alias("back")).collect()}
+    assert all(got[i] == (True, True) for i, link in enumerate(links) if link) and sum(links) > 30
+    apart = [i for i, (_, x, y, *_) in enumerate(rows) if x[0] >= 300 and not links[i] and 4 * abs(x[0] - y[0]) <= x[0] and i % 3 == 1]
+    assert apart and all(got[i] == (False, False) for i in apart)  # a third in common
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 180)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components.components(frame(spark, edges, "a bigint, b bigint")).collect()}
