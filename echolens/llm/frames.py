@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,6 +41,33 @@ def give_back() -> None:
         pass
 
 
+def groups(column, limit: int = 1 << 22):
+    """Texts of an Arrow column in groups of about ``limit`` characters: (first row, texts)."""
+    low, held, size = 0, [], 0
+    for value in column:
+        text = value.as_py()
+        held.append(text)
+        size += len(text or "")
+        if size >= limit:
+            yield low, held
+            low, held, size = low + len(held), [], 0
+    if held:
+        yield low, held
+
+
+def coded(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct words, and the place of each word among them."""
+    found = pa.array(words, pa.large_string()).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def taken(values: pa.LargeBinaryArray, at: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of the values at these places in a row, and where each begins; the last entry is the end."""
+    got = values.take(pa.array(at, pa.int64()))
+    _, offsets, data = got.buffers()
+    return memoryview(data if data is not None else b""), np.frombuffer(offsets, np.int64)[: len(at) + 1] if len(at) else np.zeros(1, np.int64)
+
+
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, *keep: str) -> DataFrame:
     """Map Arrow batches; ``work`` gives the new columns, ``keep`` names those passed through unchanged."""
     from pyspark.sql.pandas.types import to_arrow_schema
