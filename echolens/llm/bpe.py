@@ -25,16 +25,17 @@ import json
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 from itertools import batched, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .frames import give_back, table
+from .frames import coded, give_back, groups, table, taken
 
 CHUNK = 512
 CACHE = 500_000  # pieces or words remembered per task, and as many of the generation before: about 250 bytes each
@@ -148,6 +149,13 @@ class Transducer:
             yield from self.merges.apply(symbols)
         self.buffer = ""
 
+    def whole(self, characters: str) -> list[str]:
+        """The tokens of a whole piece; of one that fits the buffer nothing is settled before its end."""
+        if len(characters) >= self.size:
+            return [*self.push(characters), *self.close()]
+        self.buffer = characters
+        return list(self.close())
+
 
 class Decoder:
     """Ids in, text out, with at most three bytes held back."""
@@ -173,6 +181,12 @@ class Decoder:
     def close(self) -> str:
         return self.utf8.decode(b"", True) if self.utf8 else ""
 
+    def many(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+        """The decoded bytes of whole texts whose ids stand in a row, for tokens that are joined by spaces."""
+        data, at = taken(self.tokenizer.spaced, ids)
+        for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist()):
+            yield data[a + 1 if b > a else a : b]
+
 
 def token_bytes(token: str) -> bytes:
     """Bytes of a byte-level token; one with other characters stands for itself."""
@@ -209,6 +223,12 @@ class Tokenizer:
         self.pieces = regex.compile(pattern.replace(r"[^\s", rf"[^{white}").replace(r"\s", white).replace(r"\S", r"\P{White_Space}"))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.machine = Transducer(self.merges)  # for pieces that come whole
+
+    @cached_property
+    def spaced(self) -> pa.LargeBinaryArray:
+        """A space and the token, by id; nothing for an id that is not in the vocabulary."""
+        return pa.array([b"" if i not in self.tokens else b" " + self.tokens[i].encode() for i in range(max(self.tokens, default=-1) + 1)], pa.large_binary())
 
     def normalise(self, text: str) -> str:
         for step in self.normal:
@@ -227,6 +247,11 @@ class Tokenizer:
         for token in machine.close():
             yield from self._id(token)
 
+    def short_piece(self, piece: str) -> list[int]:
+        """Ids of one piece that is not long."""
+        symbols = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_TRANSLATE)
+        return [i for i in map(self.vocab.get, self.machine.whole(symbols)) if i is not None]
+
     def _id(self, token: str) -> tuple[int, ...]:
         got = self.vocab.get(token)
         return () if got is None else (got,)
@@ -314,7 +339,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            n, a, b = zip(*map(work, batch.column(at).to_pylist()))
+            n, a, b = zip(*chain.from_iterable(work.many(texts) for _, texts in groups(batch.column(at))))
             made = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=columns)
         del work
@@ -325,12 +350,15 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 class Digester:
-    """Digests of one text after the other. Ids leave the transducer in short runs, go through the decoder, and both sides
-    are hashed on the way; only the ids of common words are remembered, nothing of the decoded text."""
+    """Digests of texts. Ids leave the transducer, go through the decoder, and both sides are hashed on the way; only the ids
+    of common words and their pieces are remembered, nothing of the decoded text. ``many`` looks each distinct word of some
+    texts up once; what does not fit there (long texts and words, special strings, byte-level tokens) is streamed."""
 
     def __init__(self, tok: Tokenizer):
         self.tok = tok
         self.decimal = [str(i) for i in range(max(tok.tokens, default=-1) + 1)]
+        self.spaced = pa.array([b" " + d.encode() for d in self.decimal], pa.large_binary())
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
 
@@ -338,12 +366,19 @@ class Digester:
         """Ids of a short run without white space, which may hold several pieces."""
         got = self.before.get(word)
         if got is None:
-            got = tuple(self._pieces(word))
+            got = tuple(chain.from_iterable([self.parts.get(p) or self._part(p) for p in self.tok.pieces.findall(word)]))
         if len(self.known) >= CACHE:  # the oldest half goes; what is still in use moves up
             self.before, self.known = self.known, {}
         self.known[word] = got
         return got
 
+    def _part(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece of a short run; many runs differ only in a mark at their end."""
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        got = self.parts[piece] = tuple(self.tok.short_piece(piece))
+        return got
+
     def _pieces(self, word: str) -> Iterator[int]:
         for match in self.tok.pieces.finditer(word):
             yield from self.tok.piece(match.group())
@@ -382,6 +417,41 @@ class Digester:
         text_hash.update(decoder.close().encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
+    def many(self, texts: Sequence[str | None]) -> list[tuple[int, str, str]]:
+        """Digests of some texts, as of each alone."""
+        tok, words, rows, ends = self.tok, [], [], [0]
+        out: list[tuple[int, str, str] | None] = [None] * len(texts)
+        for i, text in enumerate(texts):
+            text = text or ""
+            if tok.byte_decoder or len(text) > STRETCH or any(s in text for s in tok.special):
+                out[i] = self(text)
+                continue
+            words += self._words(tok.normalise(text))
+            rows.append(i)
+            ends.append(len(words))
+        if not rows:
+            return out
+        distinct, at = coded(words)
+        long = np.array([len(w) > LONG_PIECE for w in distinct], bool)
+        streamed = {k for k in (np.searchsorted(ends, np.flatnonzero(long[at]), "right") - 1).tolist()} if long.any() else set()
+        get, learn = self.known.get, self._learn
+        found = [() if skip else get(w) or learn(w) for w, skip in zip(distinct, long.tolist())]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+        each = size[at]  # ids of each word, and where they end
+        stop = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[at] - stop[:-1], each) + np.arange(stop[-1])]
+        cut = stop[ends]
+        decimal, place = taken(self.spaced, ids)
+        place = place[cut].tolist()
+        for k, (i, decoded) in enumerate(zip(rows, Decoder(tok).many(ids, cut))):
+            if k in streamed:
+                out[i] = self(texts[i])
+                continue
+            low, high = place[k], place[k + 1]
+            out[i] = int(cut[k + 1] - cut[k]), sha256(decimal[low + 1 if high > low else low : high]).hexdigest(), sha256(decoded).hexdigest()
+        return out
+
 
 def stretches(text: str) -> Iterator[str]:
     """The text in stretches of about ``STRETCH`` characters, each but the first beginning with a space: neither a piece nor

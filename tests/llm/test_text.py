@@ -224,6 +224,50 @@ def test_forgotten_words_keep_their_ids(monkeypatch):
             assert np.frombuffer(raw, "<u4").tolist() == LIBRARY[BYTE].encode(text or "", add_special_tokens=False).ids
 
 
+def test_ids_take_one_lookup_per_distinct_word_and_few_library_calls():
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, word):
+            self.asked += 1
+            return super().__contains__(word)
+
+        def get(self, word, *more):
+            self.asked += 1
+            return super().get(word, *more)
+
+    class Library:
+        calls = 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.calls += 1
+            return LIBRARY[BYTE].encode_batch_fast(texts, **more)
+
+    own = library_ids.LibraryEncoder(BYTE)
+    own.library, own.known = Library(), Counted()
+    texts = [f"{a} one two, three{n % 3}\nfour {b}" for n in range(200) for a, b in (("The", "end"), ("two,", "it's!"), ("a", "l'`x}~ _[] naïve, b2! <|x"))] + [None, "", "alone", "two  blanks"]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in own.many(texts)] == [LIBRARY[BYTE].encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.known.asked <= 60 and own.library.calls <= 5
+
+
+@pytest.mark.parametrize("cache,stretch", [(500_000, 1 << 16), (3, 20)])
+def test_digests_of_many_texts_merge_each_piece_once(monkeypatch, cache, stretch):
+    monkeypatch.setattr(bpe, "CACHE", cache)
+    monkeypatch.setattr(bpe, "STRETCH", stretch)
+    texts = [
+        "", None, " ", "The cat's 12 naps,  twice\n\ttoo \x1c end ", "e \u0301e\u0301 \u0301x 각", "<|endoftext|> x<|end", "word" * 60 + " short naïve😀", "ΣΑΣ Σ ΟΔΟΣ",
+        *[f"undandanhendes{mark} ertionhaat{mark}" for mark in ("", ",", ".", "!?", ",", ")")], "short " + "-" * 300, "x" * 64 + " " + "y" * 65,
+    ]
+    merged, apply = [], bpe.Merges.apply
+    monkeypatch.setattr(bpe.Merges, "apply", lambda self, symbols: merged.append("".join(symbols)) or apply(self, symbols))
+    got = bpe.Digester(bpe.tokenizer(WORD)).many(texts)
+    if cache > 3:
+        assert merged.count("undandanhendes</w>") == merged.count("ertionhaat</w>") == 1
+    for text, found in zip(texts, got, strict=True):
+        ids = LIBRARY[WORD].encode(text or "", add_special_tokens=False).ids
+        assert found == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(LIBRARY[WORD].decode(ids, skip_special_tokens=False))), text
+
+
 def test_bpe_of_odd_documents(spark, odd, odd_rows):
     want = []
     for d, t in odd_rows:
